@@ -15,15 +15,19 @@ import hashlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import blocks
+from .span_ids import SpanIds, gather
+
 #: Bytes up to which merges are applied to a piece directly.
 LEAF_BYTES = 8
-#: Encoded pieces that a worker keeps; those met first stay, which are the frequent ones.
-CACHE_PIECES = 150_000
+#: Encoded pieces that a worker keeps, for new units made of known pieces.
+CACHE_PIECES = 100_000
 
 
 class TreeBpe:
@@ -84,36 +88,50 @@ class TreeBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def _unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places that no match of the pattern crosses: row starts, and spaces with a character on either side that is surely
+    no white space (ASCII that prints, or two bytes from C3 up). What is between them is matched and encoded by itself."""
+    n = len(data)
+    lead = (data >= 0xC3) & (data <= 0xDF)
+    prints = (data > 0x20) & (data < 0x7F)
+    before = prints.copy()
+    before[1:] |= lead[:-1]
+    cut = np.zeros(n, bool)
+    cut[1:-1] = (data[1:-1] == 0x20) & before[:-2] & (prints | lead)[2:]
+    cut[offsets[:-1][offsets[:-1] < n]] = True
+    return np.flatnonzero(cut)
+
+
 class TextEncoder:
-    """Texts to ids, each match of a pattern by itself, with a bounded cache of pieces."""
+    """Texts to ids, each match of a pattern by itself."""
 
     def __init__(self, path: str, pattern: str) -> None:
         self.bpe, self.split = TreeBpe(path), regex.compile(pattern).findall
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.recent: dict[str, tuple[bytes, str]] = {}
-
-    def _new(self, piece: str) -> tuple[bytes, str]:
-        ids = self.bpe.piece(piece.encode("utf-8", "surrogatepass"))
-        out = (array("I", ids).tobytes(), ",".join(map(str, ids)))
-        if len(self.known) < CACHE_PIECES:
-            self.known[piece] = out
-        else:
-            if len(self.recent) > CACHE_PIECES // 4:
-                self.recent.clear()
-            self.recent[piece] = out
+        self.names = [str(i) for i in range(len(self.bpe.bytes_of))]
+        self.pieces: dict[str, bytes] = {}
+        self.spans = SpanIds(self._new)
+
+    def _piece(self, piece: str) -> bytes:
+        if (out := self.pieces.get(piece)) is None:
+            out = array("I", self.bpe.piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
+            if len(self.pieces) < CACHE_PIECES:
+                self.pieces[piece] = out
         return out
 
-    def encode(self, text: str) -> tuple[array, str]:
-        """The ids, and the same as decimal text joined by commas."""
-        known, recent, new = self.known.get, self.recent.get, self._new
-        found = [known(p) or recent(p) or new(p) for p in self.split(text)]
-        ids = array("I", b"".join([x[0] for x in found]))
-        return ids, ",".join([x[1] for x in found])
+    def _new(self, units: list[bytes]) -> list[bytes]:
+        split, piece = self.split, self._piece
+        return [b"".join(map(piece, split(u.decode("utf-8", "replace")))) for u in units]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows, and where each row's begin and the last end."""
+        starts = _unit_starts(data, offsets)
+        ids, total = gather(*self.spans.look_up(data, starts, np.append(starts[1:], len(data))))
+        return ids, np.append(0, total)[np.searchsorted(starts, offsets)]
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> TextEncoder:
-    """One for each worker process, so that its cache serves all its tasks."""
+    """One for each worker process, so that what it has met serves all its tasks."""
     return TextEncoder(path, pattern)
 
 
@@ -130,16 +148,18 @@ def encode_documents(documents: DataFrame, ranks: str, pattern: str, key: str =
         from .byte_bpe import encoder  # the module's own cache, which a pickled global would not be
 
         own = encoder(ranks, pattern)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(at, 256), []
-                for cell in part.column("text"):
-                    ids, said = own.encode(cell.as_py() or "")
-                    decoded = own.bpe.decode(ids)
-                    rows.append((len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), ids if with_ids else None))
-                n, first, second, ids = zip(*rows, strict=True)
-                columns = [part.column("id"), pa.array(n, pa.int64()), pa.array(first), pa.array(second)]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+        name, token = own.names.__getitem__, own.bpe.bytes_of.__getitem__
+        for rows, data, offsets in blocks(batches, "text"):
+            ids, at = own.encode(data, offsets)
+            said, decoded = [], []
+            for a, b in zip(at, at[1:], strict=False):
+                some = ids[a:b].tolist()
+                said.append(hashlib.sha256(",".join(map(name, some)).encode()).hexdigest())
+                decoded.append(hashlib.sha256(b"".join(map(token, some))).hexdigest())
+            columns = [rows.column("id"), pa.array(np.diff(at)), pa.array(said), pa.array(decoded)]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return documents.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", key)

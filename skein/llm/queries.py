@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, quality_model, quality_rules, suffix_dedup, token_output, toxicity, url_filter, warc
+from . import byte_bpe, decontaminate, jaccard, quality_model, quality_rules, suffix_dedup, token_output, toxicity, url_filter, warc
 from .common import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, path)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -75,7 +79,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_byte_bpe, op4_suffix_dedup, op5_warc, op7_url_filter, op8_quality_model, op9_decontaminate, op10_token_output)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_byte_bpe, op4_suffix_dedup, op5_warc, op6_jaccard_join, op7_url_filter, op8_quality_model, op9_decontaminate, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -25,20 +25,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import blocks, byte_set, spread, word_spans
+from .span_ids import SpanIds, gather
 
 SHARD_TOKENS = 1 << 20
 #: Rounds of pair replacement; each replaces all pairs that occur MIN_PAIRS times or more, most frequent first.
 ROUNDS, MIN_PAIRS, RULES_A_ROUND = 4, 64, 4096
-_SPACE = str.maketrans("\t\n\r", "   ")
-CACHE_WORDS = 200_000
+#: Bytes of text in a block.
+BLOCK_BYTES = 1 << 22
+#: Marks that may stand behind a word and make one token group together.
+_MARKS = "!#$%&*+,-./:;<=>?@|)"
+#: White space that ends a word; any other is left to the library.
+_SPACES = byte_set((0x20, 0x20), (0x09, 0x0A), (0x0D, 0x0D))
 
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library, a distinct word at a time.
+    """Ids of whole texts by the tokenizers library, a distinct word of a block at a time.
 
     The vocabulary drops white space before it merges, and neither its normaliser nor its pattern looks across it, so
-    the ids of a text are those of its words put together.
+    the ids of a text are those of its words put together. New words of letters, with a mark behind them or not, go to
+    the library many in a string; its tokens that end a word tell where each ends.
     """
 
     def __init__(self, path: str) -> None:
@@ -46,19 +52,42 @@ class WordEncoder:
 
         self.own = Tokenizer.from_file(path)
         self.own.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-        self.recent: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        known = self.known
-        split = [[w for w in t.translate(_SPACE).split(" ") if w] for t in texts]
-        new = list({w for words in split for w in words if w not in known and w not in self.recent})
-        if len(self.recent) > CACHE_WORDS // 2:
-            new, self.recent = list({w for words in split for w in words if w not in known}), {}
-        for word, got in zip(new, self.own.encode_batch(new, add_special_tokens=False), strict=True):
-            (known if len(known) < CACHE_WORDS else self.recent)[word] = np.array(got.ids, np.uint32).tobytes()
-        recent = self.recent
-        return [np.frombuffer(b"".join([known.get(w) or recent.get(w, b"") for w in words]), np.uint32) for words in split]
+        vocabulary = self.own.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.spans = SpanIds(self._new)
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(x.ids, np.uint32).tobytes() for x in self.own.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _new(self, raw: list[bytes]) -> list[bytes]:
+        words = [w.decode("utf-8", "replace") for w in raw]
+        count = [1 if w.isalpha() else 2 if w.rstrip(_MARKS).isalpha() else 0 for w in words]
+        plain = [i for i, n in enumerate(count) if n]
+        out: list[bytes] = [b""] * len(words)
+        odd = [i for i, n in enumerate(count) if not n]
+        groups = [plain[k : k + 256] for k in range(0, len(plain), 256)]
+        for group, got in zip(groups, self.own.encode_batch_fast([" ".join([words[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, np.uint32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            last = np.cumsum([count[i] for i in group]) - 1
+            if len(cuts) != last[-1] + 1:  # a letter became something else in lower case
+                odd += group
+                continue
+            cells, at = ids.tobytes(), 0
+            for i, end in zip(group, (4 * cuts[last]).tolist(), strict=True):
+                out[i], at = cells[at:end], end
+        for i, ids in zip(odd, self._each([words[i] for i in odd]), strict=True):
+            out[i] = ids
+        return out
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows, each followed by end, and how many each row has."""
+        starts, ends, first = word_spans(data, offsets, _SPACES)
+        table, begin, size = self.spans.look_up(data, starts, ends)
+        begin, size = np.insert(begin, first[1:], len(table)), np.insert(size, first[1:], 1)
+        ids, total = gather(np.append(table, np.uint32(end)), begin, size)
+        return ids, np.diff(np.concatenate([[0], total[first[1:] + np.arange(len(offsets) - 1)]]))
 
 
 @functools.lru_cache(maxsize=2)
@@ -66,39 +95,50 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def compress(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+def compress(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """Re-Pair: (symbols, each document's first symbol and the end, pair of each rule, expansion length of each rule, first
     nonterminal). No pair crosses the end of a document."""
-    seq = np.concatenate([np.zeros(0, np.uint32), *documents]).astype(np.uint64)
+    seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
-    last[np.cumsum([len(x) for x in documents], dtype=np.int64) - 1] = True
+    last[np.cumsum(sizes, dtype=np.int64) - 1] = True
     base = int(seq.max()) + 1 if len(seq) else 0
     rules = np.zeros((0, 2), np.uint32)
     for _ in range(ROUNDS):
         if len(seq) < 2:
             break
-        pair = (seq[:-1] << np.uint64(32)) | seq[1:]
-        pair[last[:-1]] = np.iinfo(np.uint64).max
-        value, count = np.unique(pair, return_counts=True)
-        often = np.flatnonzero((count >= MIN_PAIRS) & (value != np.iinfo(np.uint64).max))
+        top = base + len(rules)
+        small = top < 1 << 16  # then a pair fits into 32 bits, which sort faster
+        pair = (seq[:-1] << np.uint32(16)) | seq[1:] if small else (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+        order = np.argsort(pair)
+        ordered = pair[order]
+        head = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        del ordered
+        count = np.diff(np.append(head, len(pair)))
+        often = np.flatnonzero(count >= MIN_PAIRS)
+        often = np.sort(often[np.argsort(-count[often], kind="stable")[:RULES_A_ROUND]])
         if not len(often):
             break
-        often = np.sort(often[np.argsort(-count[often], kind="stable")[:RULES_A_ROUND]])
-        value = value[often]
-        place = np.minimum(np.searchsorted(value, pair), len(value) - 1)
-        at = np.flatnonzero(value[place] == pair)
+        number = np.full(len(count), -1, np.int32)
+        number[often] = np.arange(len(often))
+        place = np.empty(len(pair), np.int32)
+        place[order] = np.repeat(number, count)
+        value = pair[order[head[often]]].astype(np.uint64)
+        value = np.stack([value >> np.uint64(16), value & np.uint64(0xFFFF)] if small else [value >> np.uint64(32), value & np.uint64(0xFFFFFFFF)], 1)
+        at = np.flatnonzero((place >= 0) & ~last[:-1])
         # of places in a row every second one is taken, so that no two overlap
         head = np.concatenate([[True], np.diff(at) > 1])
         run = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
         at = at[run % 2 == 0]
-        seq[at] = (base + len(rules) + place[at]).astype(np.uint64)
+        seq[at] = (top + place[at]).astype(np.uint32)
         last[at] = last[at + 1]
-        seq, last = np.delete(seq, at + 1), np.delete(last, at + 1)
-        rules = np.concatenate([rules, np.stack([value >> np.uint64(32), value & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)])
-    sizes = np.ones(len(rules), np.uint32)
-    for k, (a, b) in enumerate(rules.tolist()):
-        sizes[k] = (sizes[a - base] if a >= base else 1) + (sizes[b - base] if b >= base else 1)
-    return seq.astype(np.uint32), np.concatenate([[0], np.flatnonzero(last) + 1]), rules, sizes, base
+        left = np.ones(len(seq), bool)
+        left[at + 1] = False
+        seq, last = seq[left], last[left]
+        rules = np.concatenate([rules, value.astype(np.uint32)])
+    lengths: list[int] = []
+    for a, b in rules.tolist():
+        lengths.append((lengths[a - base] if a >= base else 1) + (lengths[b - base] if b >= base else 1))
+    return seq, np.concatenate([[0], np.flatnonzero(last) + 1]), rules, np.array(lengths, np.uint32), base
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
@@ -114,11 +154,11 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def pack(documents: list[np.ndarray]) -> bytes:
-    """The bytes of a shard; each document has one id at least."""
-    symbols, starts, rules, sizes, base = compress(documents)
-    head = np.array([len(documents), len(rules), len(symbols), base])
-    return b"RPR1" + b"".join(x.astype("<u4").tobytes() for x in (head, rules.ravel(), sizes, starts, symbols))
+def pack(ids: np.ndarray, sizes: np.ndarray) -> bytes:
+    """The bytes of a shard of documents with so many ids each, one at least."""
+    symbols, starts, rules, lengths, base = compress(ids, sizes)
+    head = np.array([len(sizes), len(rules), len(symbols), base])
+    return b"RPR1" + b"".join(x.astype("<u4").tobytes() for x in (head, rules.ravel(), lengths, starts, symbols))
 
 
 class Shard:
@@ -160,25 +200,28 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str, end: int, key
         from .token_output import encoder  # the worker's own cache
 
         own, part, number = encoder(vocabulary), TaskContext.get().partitionId(), 0
-        keys: list[int | None] = []
-        held: list[np.ndarray] = []
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         tokens = before = 0
 
         def out() -> pa.RecordBatch:
-            rows = [[part], [number], [before], [tokens], [keys], [pack(held)]]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["part", "shard", "before", "tokens", "doc_ids", "body"])
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for k, ids in zip(some.column("key").to_pylist(), own.encode([t or "" for t in some.column("text").to_pylist()]), strict=True):
-                    keys.append(k)
-                    held.append(np.append(ids, np.uint32(end)))
-                    tokens += len(ids) + 1
-                    if tokens >= SHARD_TOKENS:
-                        yield out()
-                        keys, held, before, tokens, number = [], [], before + tokens, 0, number + 1
-        if keys:
+            keys, ids, sizes = (list(x) for x in zip(*held, strict=True))
+            keys = pa.ListArray.from_arrays([0, sum(map(len, keys))], pa.concat_arrays(keys))
+            cells = [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([before]), pa.array([tokens]), keys, pa.array([pack(np.concatenate(ids), np.concatenate(sizes))], pa.binary())]
+            return pa.RecordBatch.from_arrays(cells, ["part", "shard", "before", "tokens", "doc_ids", "body"])
+
+        for rows, data, offsets in blocks(batches, "text", BLOCK_BYTES):
+            ids, sizes = own.encode(data, offsets, end)
+            at = np.concatenate([[0], np.cumsum(sizes)])
+            row = 0
+            while row < len(sizes):
+                stop = min(len(sizes), max(row + 1, int(np.searchsorted(at, at[row] + SHARD_TOKENS - tokens))))
+                held.append((rows.column("key").slice(row, stop - row), ids[at[row] : at[stop]], sizes[row:stop]))
+                tokens += int(at[stop] - at[row])
+                row = stop
+                if tokens >= SHARD_TOKENS:
+                    yield out()
+                    held, before, tokens, number = [], before + tokens, 0, number + 1
+        if held:
             yield out()
 
     rows = documents.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
