@@ -1 +1,78 @@
-"""Corpus preparation: five stages over documents, each written as Parquet and read again by the next."""
+"""Corpus preparation: five stages over documents, each written as Parquet and read again by the next.
+
+Quality rules drop what they reject; of documents linked by near-equal shingle sets the one with the smallest id stays;
+repeated passages are cut out of the texts; documents that hold benchmark windows are dropped; the rest becomes token ids.
+
+All stages take null and empty texts, repeated rows, ties and empty tables as their operators state, and ignore extra
+columns until the last stage, which returns doc_id, n_tokens, ids and the digests of ids and decoded bytes.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.llm import byte_bpe, decontaminate, jaccard, quality_rules, suffix_dedup
+from skein.llm.common import saved
+
+
+def _aside(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and all others in a struct, out of reach of the names that operators give."""
+    return docs.select(*needed, F.struct(*(c for c in docs.columns if c not in needed)).alias("document_rest"))
+
+
+def _back(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    return df.select(*(new[c].alias(c) if c in new else F.col(f"document_rest.`{c}`").alias(c) for c in columns))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    own = {c: F.col(c) for c in ("doc_id", "text", "lang")}
+    judged = quality_rules.judge(_aside(docs, *own), quality_rules.references(docs))
+    return _back(judged.where("kept"), docs.columns, **own)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each linked group. A null id has no group and stays."""
+    lost = jaccard.link_documents(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with repeated passages cut out of text, by whole characters, and n_chars counted again."""
+    rest = suffix_dedup.remove_repeats(_aside(docs, "doc_id", "text"), whole_characters=True)
+    text = F.col("kept").cast("string")
+    return _back(rest, docs.columns, doc_id=F.col("doc_id"), text=text, n_chars=F.length(text).cast("long"))
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark window occurs."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    judged = decontaminate.decontaminate(_aside(docs, "doc_id", "text"), benchmark, carry=["text", "document_rest"])
+    return _back(judged.where("not contaminated"), docs.columns, doc_id=F.col("doc_id"), text=F.col("text"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document."""
+    return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("jaccard_join", near_duplicates),
+    ("suffix_dedup", repeats),
+    ("decontaminate", benchmark_leaks),
+    ("byte_bpe", tokens),
+]
+
+#: SQL can express neither byte runs cut out of texts nor BPE; tests/llm compares run() with a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage returns is a table in the shared folder before the next one starts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,7 +12,7 @@ documents, so what a task holds has a fixed bound whatever the benchmark's size.
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -136,17 +136,19 @@ def _blocks_of(benchmark: DataFrame, key: str, text: str) -> Iterator[list[tuple
         yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k).collect()]
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """Per document: n_words, n_hit (words inside an occurrence of a window), n_items, items (their ids as strings,
-    sorted), hits (runs of hit words as start and end, in words) and contaminated.
+    sorted), hits (runs of hit words as start and end, in words) and contaminated; also the columns named in carry.
 
     A null or empty text has no words; items with a null id or text take no part; an empty benchmark hits nothing. Each
-    row is judged by itself, so repeated rows repeat. Other columns are ignored. Documents are never shuffled; the counts
+    row is judged by itself, so repeated rows repeat. A carried column with the name of a result gives way to it. Documents are never shuffled; the counts
     that order the shingles cover all of them.
     """
+    carried = {c: f"c{i}" for i, c in enumerate(c for c in carry if c not in (key, "n_words", "n_hit", "n_items", "items", "hits", "contaminated"))}
     kind = documents.schema[key].dataType.simpleString()
-    schema = f"id {kind}, text string, n_words long, hits array<struct<start:int,end:int>>, items array<string>"
-    out = documents.select(F.col(key).alias("id"), F.col(text).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
+    more = "".join(f", {a} {documents.schema[c].dataType.simpleString()}" for c, a in carried.items())
+    schema = f"id {kind}, text string, n_words long, hits array<struct<start:int,end:int>>, items array<string>{more}"
+    out = documents.select(F.col(key).alias("id"), F.col(text).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"), *(F.col(c).alias(a) for c, a in carried.items()))
     for items in _blocks_of(benchmark, item_key, item_text):
         index = Index.of(items)
         if len(index.hashes):
@@ -164,6 +166,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
         "items",
         "hits",
         (F.size("hits") > 0).alias("contaminated"),
+        *(F.col(a).alias(c) for c, a in carried.items()),
     )
 
 
@@ -202,6 +205,7 @@ def _marker(index: Index):
                     hits[row] = [{"start": int(s), "end": int(e)} for s, e in edge.reshape(-1, 2)]
                     items[row] = sorted({*items[row], *names[index.item[window[touched == row]]]})
                 hits, items = pa.array(hits, rows.schema.field("hits").type), pa.array(items, pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("text"), pa.array(np.diff(first)), hits, items], ["id", "text", "n_words", "hits", "items"])
+            carried = [c for c in rows.schema.names if c not in ("id", "text", "n_words", "hits", "items")]
+            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("text"), pa.array(np.diff(first)), hits, items, *map(rows.column, carried)], ["id", "text", "n_words", "hits", "items", *carried])
 
     return mark

@@ -265,7 +265,7 @@ def link_documents(documents: DataFrame, key: str = "doc_id", text: str = "text"
     # a tile of one band meets itself alone; of a larger one, each band meets those whose sizes allow a link
     meet = banded.join(large, "tile", "left_anti").select("*", F.lit(0).alias("low"), F.lit(0).alias("high"))
     side = pairs.select("tile", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("band"))
-    wide = banded.join(side, ["tile", "band"])
+    wide = banded.join(side, ["tile", "band"]).select("tile", "node", "n", "band", "low", "high")
     meet = meet.select("tile", "node", "n", "band", "low", "high").unionAll(wide).join(nodes.select("node", "signature"), "node")
     columns = "tile long, low int, high int, band int, node long, n int, signature binary"
     able = meet.select("tile", "low", "high", "band", "node", "n", "signature").repartition(parts, *_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_bounded, columns)

@@ -10,6 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import byte_bpe, decontaminate, jaccard, quality_model, quality_rules, suffix_dedup, token_output, toxicity, url_filter, warc
 from .common import scratch_path
 
@@ -78,8 +80,12 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(spark, path)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_byte_bpe, op4_suffix_dedup, op5_warc, op6_jaccard_join, op7_url_filter, op8_quality_model, op9_decontaminate, op10_token_output)}
+    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_byte_bpe, op4_suffix_dedup, op5_warc, op6_jaccard_join, op7_url_filter, op8_quality_model, op9_decontaminate, op10_token_output, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

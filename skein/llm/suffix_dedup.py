@@ -295,9 +295,24 @@ def _merge_ranges(pieces: pa.Table) -> pa.Table:
     return pa.table({"doc": doc, "th": th.astype(np.int32), "lo": lo.astype(np.int32), "size": np.full(len(doc), WINDOW, np.int32)})
 
 
-def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _lead(raw: bytes, at: int) -> int:
+    """The start of the UTF-8 character that the byte at this place belongs to."""
+    while at and raw[at] & 0xC0 == 0x80:
+        at -= 1
+    return at
+
+
+def _after(raw: bytes, at: int) -> int:
+    """This place, or the next one at which a UTF-8 character starts."""
+    while at < len(raw) and raw[at] & 0xC0 == 0x80:
+        at += 1
+    return at
+
+
+def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", whole_characters: bool = False) -> DataFrame:
     """The documents with n_bytes, removed (maximal runs of removed bytes, as start and end), n_removed, n_spans and kept
-    (the remaining bytes, together).
+    (the remaining bytes, together). With whole_characters, a character that loses a byte is removed whole, so that kept
+    is UTF-8.
 
     A null text is empty; a text of less than WINDOW bytes has nothing removed. A null key comes first. Rows with equal
     keys and different texts are ordered by a hash of the text; rows equal in both are one document and get the same
@@ -343,6 +358,8 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
             for i in range(part.num_rows):
                 own = raw[offsets[i] : offsets[i + 1]]
                 start, end = _merged(lo[cuts[i] : cuts[i + 1]], (lo + size)[cuts[i] : cuts[i + 1]]) if cuts[i + 1] > cuts[i] else (lo[:0], lo[:0])
+                if whole_characters and len(start):
+                    start, end = _merged(np.array([_lead(own, a) for a in start.tolist()]), np.array([_after(own, b) for b in end.tolist()]))
                 spans = list(zip(start.tolist(), end.tolist(), strict=True))
                 removed.append([{"start": a, "end": b} for a, b in spans])
                 kept.append(b"".join(own[a:b] for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(own)], strict=True)))
