@@ -30,7 +30,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     own = {c: F.col(c) for c in ("doc_id", "text", "lang")}
     judged = quality_rules.judge(_aside(docs, *own), quality_rules.references(docs))
-    return _back(judged.where("kept"), docs.columns, **own)
+    # a filter on kept itself would be pushed below its steps, each of which the optimiser would then write out again
+    decided = judged.select(*own, "document_rest", F.explode(F.array("kept")).alias("stays")).where("stays")
+    return _back(decided, docs.columns, **own)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
