@@ -6,9 +6,10 @@
    form a tile; shingles with the same sets make one tile. Equal sets are one from the start.
 3. In a tile the sets stand by size, in bands; only pairs whose sizes allow a link are looked at. Bitmaps of SIGNATURE bits,
    in which each shingle flips one, bound the overlap from above: the bits that differ are at most the shingles that do.
-   Sets without a possible partner in the tile leave it.
-4. The rest meet again with their sorted shingles, and overlaps are counted exactly. A pair already joined through others
-   is skipped, so a tile gives at most one edge for each set. Components follow from the edges.
+   A tile gives a forest over the pairs that may link; the trees over all tiles are groups that no link leaves.
+4. Each group meets once, with its sorted shingles, and overlaps are counted exactly; pairs already joined through others
+   are skipped. A large group meets in bands, each with one set of the band before. Only if a group of several bands has
+   not become one component, its bands meet each other too.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ SHINGLE, LEAST = 5, 80
 SIGNATURE = 1024
 #: Bits of a shingle's counter number: the sketch has 4 MB however large the corpus is.
 SKETCH_BITS, SLICE_BITS = 20, 14
-#: Sets in a band of a tile; larger tiles are looked at band against band.
-BAND = 2000
+#: Sets in a band of a tile or group, and shingles in a band of a group; what is larger is looked at band by band.
+BAND, BAND_SHINGLES = 2000, 1 << 21
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -167,21 +168,25 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
 
 
 class _Bands:
-    """Sets of a tile by size. A group holds one band, or two of which only pairs across are wanted."""
+    """Sets of a tile or group by size. They may be of two bands of which only pairs across are wanted, and some may be
+    joined already (equal in root)."""
 
     def __init__(self, table: pa.Table) -> None:
         n, node, band = (np.array(table.column(c)) for c in ("n", "node", "band"))
         self.order = np.lexsort((node, n))
         self.n, self.node, self.band = n[self.order].astype(np.int64), node[self.order], band[self.order]
-        self.cross = len(self.band) > 0 and self.band[0] != self.band[-1]
+        self.cross = table.column("low")[0] != table.column("high")[0]
         raw = b"".join(x.as_py() for x in table.column("signature"))
         self.bits = np.frombuffer(raw, np.uint64).reshape(-1, SIGNATURE // 64)[self.order]
+        self.root = np.arange(len(n))
+        if "root" in table.column_names:
+            self.root = np.unique(np.array(table.column("root"))[self.order], return_inverse=True)[1].ravel()
 
     def partners(self, i: int) -> np.ndarray:
-        """Sets after i that sizes and bitmaps allow to link with it."""
+        """Sets after i, not joined with it yet, that sizes and bitmaps allow to link with it."""
         n, m = self.n[i], self.n
         last = int(np.searchsorted(m, 100 * n // LEAST, "right"))
-        some = np.arange(i + 1, last)
+        some = i + 1 + np.flatnonzero(self.root[i + 1 : last] != self.root[i])
         if self.cross:
             some = some[self.band[some] != self.band[i]]
         if not len(some):
@@ -189,19 +194,25 @@ class _Bands:
         differ = np.bitwise_count(self.bits[some] ^ self.bits[i]).sum(axis=1, dtype=np.int64)
         return some[links(n, m[some], (n + m[some] - differ) // 2)]
 
+    def edges(self, wanted) -> pa.RecordBatch:
+        """A forest over the pairs of which wanted(i, partners of i) keeps some."""
+        a, b = [], []
+        for i in range(len(self.n)):
+            some = self.partners(i)
+            for j in (wanted(i, some) if len(some) else some).tolist():
+                if self.root[j] != self.root[i]:
+                    a.append(int(self.node[i]))
+                    b.append(int(self.node[j]))
+                    self.root[self.root == self.root[j]] = self.root[i]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
 
 _KEYS = ("tile", "low", "high")
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in _groups(batches, _KEYS):
-        bands = _Bands(table)
-        able = np.zeros(len(bands.n), bool)
-        for i in range(len(bands.n)):
-            if len(some := bands.partners(i)):
-                able[i] = able[some] = True
-        if able.any():
-            yield table.take(pa.array(bands.order[able])).combine_chunks().to_batches()[0]
+        yield _Bands(table).edges(lambda i, some: some)
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,25 +220,17 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = _Bands(table)
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
         sets = [sets[i] for i in bands.order]
-        root = np.arange(len(sets))
-        edges = []
-        for i in range(len(sets)):
-            some = bands.partners(i)
-            some = some[root[some] != root[i]]
-            if not len(some):
-                continue
-            size = bands.n[some]
-            flat = np.concatenate([sets[j] for j in some])
-            own = sets[i]
-            inside = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
-            overlap = np.add.reduceat(inside.astype(np.int64), np.cumsum(size) - size)
-            for j in some[links(len(own), size, overlap)].tolist():
-                if root[j] != root[i]:
-                    edges.append((int(bands.node[i]), int(bands.node[j])))
-                    root[root == root[j]] = root[i]
-        if edges:
-            a, b = zip(*edges, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        def linked(i: int, some: np.ndarray, bands=bands, sets=sets) -> np.ndarray:
+            own, found = sets[i], []
+            for part in np.split(some, np.flatnonzero(np.diff(np.cumsum(bands.n[some]) >> 20)) + 1):  # about 8 MB of shingles at a time
+                size, flat = bands.n[part], np.concatenate([sets[j] for j in part])
+                inside = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                overlap = np.add.reduceat(inside.astype(np.int64), np.cumsum(size) - size)
+                found.append(part[links(len(own), size, overlap)])
+            return np.concatenate(found)
+
+        yield bands.edges(linked)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,6 +239,31 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows.column("node"), cells], ["node", "shingles"])
 
 
+def _banded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows with the band of each set in its tile, by size, and each band's smallest and largest size."""
+    by_size = Window.partitionBy("tile").orderBy("n", "node")
+    before = F.sum("n").over(by_size.rowsBetween(Window.unboundedPreceding, -1))
+    band = F.greatest(F.floor((F.row_number().over(by_size) - 1) / F.lit(BAND)), F.floor(F.coalesce(before, F.lit(0)) / F.lit(BAND_SHINGLES)))
+    banded = rows.withColumn("band", band.cast("int"))
+    return banded, banded.groupBy("tile", "band").agg(F.min("n").alias("low_n"), F.max("n").alias("high_n"))
+
+
+def _band_pairs(ranges: DataFrame) -> DataFrame:
+    """Pairs (low, high) of bands, of tiles with several, whose sizes allow a link; each band also with itself."""
+    large = ranges.where("band > 0").select("tile").distinct()
+    other = ranges.select("tile", F.col("band").alias("high"), F.col("low_n").alias("least_n"))
+    return ranges.join(large, "tile", "left_semi").join(other, "tile").where(f"band <= high and {LEAST} * least_n <= 100 * high_n").select("tile", F.col("band").alias("low"), "high")
+
+
+def _sides(banded: DataFrame, pairs: DataFrame, *more: str) -> DataFrame:
+    side = pairs.select("tile", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("band"))
+    return banded.join(side, ["tile", "band"]).select("tile", "node", "n", "band", "low", "high", *more)
+
+
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    return rows.repartition(parts, *_KEYS).sortWithinPartitions(*_KEYS)
+
+
 def link_documents(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) for each document: the size of its set and the smallest key that links lead to.
 
@@ -251,30 +279,38 @@ def link_documents(documents: DataFrame, key: str = "doc_id", text: str = "text"
         sketch[number << SLICE_BITS : (number + 1) << SLICE_BITS] = np.frombuffer(counts, "<i4")
     shared = spark.sparkContext.broadcast(sketch)
     known = summary.where("slice is null").select("doc", "node", "n")
-    nodes = summary.where("node is not null and doc is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.first("signature").alias("signature"))
+    nodes = summary.where("node is not null and doc is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("signature").alias("signature"))
 
     tokens = rows.where("doc is not null").mapInArrow(_prefixes(shared), "node long, n int, prefix array<long>").select(F.explode("prefix").alias("token"), "node", "n")
     tiles = tokens.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_tiles, "tile long, node long, n int").groupBy("tile", "node").agg(F.first("n").alias("n"))
     tiles = saved(tiles, "tiles")
-    by_size = Window.partitionBy("tile").orderBy("n", "node")
-    banded = tiles.withColumn("band", F.floor((F.row_number().over(by_size) - 1) / F.lit(BAND)).cast("int"))
-    ranges = banded.groupBy("tile", "band").agg(F.min("n").alias("low_n"), F.max("n").alias("high_n"))
-    large = ranges.where("band > 0").select("tile").distinct()
-    other = ranges.select("tile", F.col("band").alias("high"), F.col("low_n").alias("least_n"))
-    pairs = ranges.join(large, "tile", "left_semi").join(other, "tile").where(f"band <= high and {LEAST} * least_n <= 100 * high_n").select("tile", F.col("band").alias("low"), "high")
+    banded, ranges = _banded(tiles)
     # a tile of one band meets itself alone; of a larger one, each band meets those whose sizes allow a link
-    meet = banded.join(large, "tile", "left_anti").select("*", F.lit(0).alias("low"), F.lit(0).alias("high"))
-    side = pairs.select("tile", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("band"))
-    wide = banded.join(side, ["tile", "band"]).select("tile", "node", "n", "band", "low", "high")
-    meet = meet.select("tile", "node", "n", "band", "low", "high").unionAll(wide).join(nodes.select("node", "signature"), "node")
-    columns = "tile long, low int, high int, band int, node long, n int, signature binary"
-    able = meet.select("tile", "low", "high", "band", "node", "n", "signature").repartition(parts, *_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_bounded, columns)
-    able = saved(able, "tiles")
-    wanted = able.select("node").distinct().join(nodes.select("node", "doc"), "node")
-    sets = rows.join(wanted, "doc").select("node", "text").mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"])
-    edges = able.join(sets, "node").select("tile", "low", "high", "band", "node", "n", "signature", "shingles").repartition(parts, *_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(_joined, "a long, b long")
-
+    pairs = _band_pairs(ranges)
+    one = banded.join(pairs.select("tile").distinct(), "tile", "left_anti").select("tile", "node", "n", "band", F.lit(0).alias("low"), F.lit(0).alias("high"))
+    signed = one.unionAll(_sides(banded, pairs)).join(nodes.select("node", "signature"), "node")
+    able = _dealt(signed.select(*_KEYS, "band", "node", "n", "signature"), parts).mapInArrow(_bounded, "a long, b long")
+    trees = components(able)
+
+    members = trees.select("node", F.col("root").alias("tile")).join(nodes, "node").select("tile", "node", "n", "doc", "signature")
+    groups, _ = _banded(members)
+    groups = saved(groups, "groups")
+    sets = rows.join(groups.select("node", "doc"), "doc").select("node", "text").mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"])
+    sets = saved(sets, "sets")
+    last = groups.groupBy("tile", "band").agg(F.max_by("node", F.struct("n", "node")).alias("node"))
+    chain = groups.join(last.withColumn("next", F.col("band") + 1), ["tile", "band", "node"]).select("tile", "node", "n", F.col("next").alias("band"), "signature")
+    own = groups.select("tile", "node", "n", "band", "signature").unionAll(chain).withColumns({"low": F.col("band"), "high": F.col("band")})
+    whole = [*_KEYS, "band", "node", "n", "signature", "shingles"]
+    edges = saved(_dealt(own.join(sets, "node").select(*whole), parts).mapInArrow(_joined, "a long, b long"), "links")
     roots = components(edges)
+    if (groups.agg(F.max("band")).first()[0] or 0) > 0:
+        parted = groups.join(roots, "node", "left").select("tile", "node", "n", "band", "signature", F.coalesce("root", "node").alias("root"))
+        open_ = parted.groupBy("tile").agg(F.max("band").alias("last"), F.min("root").alias("a"), F.max("root").alias("b")).where("last > 0 and a <> b").select("tile")
+        parted = saved(parted.join(open_, "tile", "left_semi"), "open")
+        ranges = parted.groupBy("tile", "band").agg(F.min("n").alias("low_n"), F.max("n").alias("high_n"))
+        wide = _sides(parted, _band_pairs(ranges).where("low < high"), "signature", "root").join(sets, "node")
+        more = _dealt(wide.select(*whole, "root"), parts).mapInArrow(_joined, "a long, b long")
+        roots = components(edges.unionAll(more))
     rooted = known.where("node is not null and doc is not null").join(roots, "node", "left").select("doc", "n", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("doc").alias("component"), F.count("*").alias("members"))
     # a set that no other document has needs no join

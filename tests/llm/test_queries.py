@@ -198,3 +198,16 @@ def test_empty_tables(spark, empty):
     for name, query in queries().items():
         if name != "pipeline":
             assert query(spark, empty).collect() == [], name
+
+
+def test_jaccard_in_bands(spark, texts, monkeypatch):
+    """A large group of near copies and another of texts with common parts, in bands of a few sets."""
+    from skein.llm import jaccard
+
+    words = [f"w{i}" for i in range(60)]
+    own = {i: " ".join([*words[: i % 30], f"v{i}", *words[i % 30 :]]) for i in range(40)}
+    own |= {100 + i: " ".join(f"u{k}" for k in range(i * 2, i * 2 + 40)) for i in range(20)}
+    own |= {200 + i: " ".join([*(f"t{k}" for k in range(30)), *(f"x{i}y{k}" for k in range(9))]) for i in range(20)}
+    monkeypatch.setattr(jaccard, "BAND", 4)
+    rows = jaccard.link_documents(spark.createDataFrame(list(own.items()), "doc_id long, text string").repartition(5)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {k: r["component_id"] for k, r in link_rows(own).items()}
