@@ -6,7 +6,8 @@
    form a tile; shingles with the same sets make one tile. Equal sets are one from the start.
 3. In a tile the sets stand by size, in bands; only pairs whose sizes allow a link are looked at. Bitmaps of SIGNATURE bits,
    in which each shingle flips one, bound the overlap from above: the bits that differ are at most the shingles that do.
-   A tile gives a forest over the pairs that may link; the trees over all tiles are groups that no link leaves.
+   A tile gives a forest over the pairs that may link; the trees over all tiles are groups that no link leaves. They are
+   split again in the same way by bitmaps of at least as many bits as a set has shingles, which need not go to every tile.
 4. Each group meets once, with its sorted shingles, and overlaps are counted exactly; pairs already joined through others
    are skipped. A large group meets in bands, each with one set of the band before. Only if a group of several bands has
    not become one component, its bands meet each other too.
@@ -60,8 +61,8 @@ def _digest(shingles: np.ndarray) -> int:
         return int(mix(np.array([mix(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles))], np.uint64)).view(np.int64)[0])
 
 
-def _signature(shingles: np.ndarray) -> bytes:
-    flips = np.bincount((mix(shingles) >> np.uint64(40)).astype(np.int64) % SIGNATURE, minlength=SIGNATURE)
+def _signature(shingles: np.ndarray, bits: int = SIGNATURE) -> bytes:
+    flips = np.bincount((mix(shingles) >> np.uint64(32)).astype(np.int64) % bits, minlength=bits)
     return np.packbits(flips & 1).tobytes()
 
 
@@ -176,8 +177,14 @@ class _Bands:
         self.order = np.lexsort((node, n))
         self.n, self.node, self.band = n[self.order].astype(np.int64), node[self.order], band[self.order]
         self.cross = table.column("low")[0] != table.column("high")[0]
-        raw = b"".join(x.as_py() for x in table.column("signature"))
-        self.bits = np.frombuffer(raw, np.uint64).reshape(-1, SIGNATURE // 64)[self.order]
+        raw = [x.as_py() for x in table.column("signature")]
+        raw = [raw[i] for i in self.order]
+        self.words = np.array([len(x) // 8 for x in raw])
+        self.bits = {}
+        for w in np.unique(self.words).tolist():  # a bitmap of twice the words is folded
+            a, b, c = np.searchsorted(self.words, [w, w + 1, 2 * w + 1])
+            some = [np.frombuffer(b"".join(raw[x:y]), np.uint64).reshape(-1, k, w) for x, y, k in ((a, b, 1), (b, c, 2))]
+            self.bits[w] = a, np.concatenate([np.bitwise_xor.reduce(x, axis=1) for x in some])
         self.root = np.arange(len(n))
         if "root" in table.column_names:
             self.root = np.unique(np.array(table.column("root"))[self.order], return_inverse=True)[1].ravel()
@@ -191,7 +198,8 @@ class _Bands:
             some = some[self.band[some] != self.band[i]]
         if not len(some):
             return some
-        differ = np.bitwise_count(self.bits[some] ^ self.bits[i]).sum(axis=1, dtype=np.int64)
+        first, bits = self.bits[int(self.words[i])]
+        differ = np.concatenate([np.bitwise_count(bits[k - first] ^ bits[i - first]).sum(axis=1, dtype=np.int64) for k in np.split(some, range(512, len(some), 512))])
         return some[links(n, m[some], (n + m[some] - differ) // 2)]
 
     def edges(self, wanted) -> pa.RecordBatch:
@@ -233,6 +241,12 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield bands.edges(linked)
 
 
+def _long_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, data, offsets in blocks(batches, "text"):
+        cells = [_signature(x, max(SIGNATURE, 1 << (len(x) - 1).bit_length())) for x in shingle_sets(data, offsets)]
+        yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array(cells, pa.binary())], ["node", "signature"])
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, offsets in blocks(batches, "text"):
         cells = pa.array([x.tobytes() for x in shingle_sets(data, offsets)], pa.binary())
@@ -290,10 +304,19 @@ def link_documents(documents: DataFrame, key: str = "doc_id", text: str = "text"
     one = banded.join(pairs.select("tile").distinct(), "tile", "left_anti").select("tile", "node", "n", "band", F.lit(0).alias("low"), F.lit(0).alias("high"))
     signed = one.unionAll(_sides(banded, pairs)).join(nodes.select("node", "signature"), "node")
     able = _dealt(signed.select(*_KEYS, "band", "node", "n", "signature"), parts).mapInArrow(_bounded, "a long, b long")
-    trees = components(able)
+    trees = saved(components(able).select("node", F.col("root").alias("tile")), "trees")
+
+    size = nodes.select("node", "n", "doc")
+    long = rows.join(trees.join(size, "node").select("node", "doc"), "doc").select("node", "text").mapInArrow(_long_signatures, "node long, signature binary").dropDuplicates(["node"])
+    members = saved(trees.join(size, "node").join(long, "node"), "members")
+    banded, ranges = _banded(members.select("tile", "node", "n"))
+    pairs = _band_pairs(ranges)
+    one = banded.join(pairs.select("tile").distinct(), "tile", "left_anti").select("tile", "node", "n", "band", F.lit(0).alias("low"), F.lit(0).alias("high"))
+    signed = one.unionAll(_sides(banded, pairs)).join(members.select("node", "signature"), "node")
+    able = _dealt(signed.select(*_KEYS, "band", "node", "n", "signature"), parts).mapInArrow(_bounded, "a long, b long")
+    trees = components(able).select("node", F.col("root").alias("tile"))
 
-    members = trees.select("node", F.col("root").alias("tile")).join(nodes, "node").select("tile", "node", "n", "doc", "signature")
-    groups, _ = _banded(members)
+    groups, _ = _banded(trees.join(members.drop("tile"), "node").select("tile", "node", "n", "doc", "signature"))
     groups = saved(groups, "groups")
     sets = rows.join(groups.select("node", "doc"), "doc").select("node", "text").mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"])
     sets = saved(sets, "sets")
