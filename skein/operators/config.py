@@ -1,0 +1,54 @@
+"""How an agent is put together, as columns: settings, subagents, stages, routes and prompts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.functions.content import first_set, sections, strip_front_matter
+
+#: The stages around a model, in order; those that a flag can switch off have one.
+STAGES = (("todo", None), ("retry", "enable_retry"), ("model_limit", "enable_model_limit"), ("tool_limit", "enable_tool_limit"), ("tool_error", None))
+
+
+def stages(settings: DataFrame) -> DataFrame:
+    """(id, pos, stage) for settings (id, own array<string>, flags): the caller's own stages come first."""
+    built = F.array(*(F.struct(F.lit(n).alias("stage"), (F.col(f) if f else F.lit(True)).alias("on")) for n, f in STAGES))
+    names = F.transform(F.filter(built, lambda s: F.coalesce(s["on"], F.lit(False))), lambda s: s["stage"])
+    return settings.select("id", F.posexplode(F.concat(F.coalesce("own", F.array().cast("array<string>")), names)).alias("pos", "stage"))
+
+
+def subagents(fixed: DataFrame, own: DataFrame, model: Column) -> DataFrame:
+    """The two fixed subagents, then the caller's; names may repeat. Only the fixed ones get the model."""
+    mine = fixed.select(F.lit(0).alias("part"), "ord", "name", model.alias("model"))
+    return mine.unionByName(own.select(F.lit(1).alias("part"), "ord", "name", F.col("model"))).orderBy("part", "ord")
+
+
+def effective(settings: DataFrame) -> DataFrame:
+    """The model (command line over environment over default; empty text is not set) and the session's id."""
+    return settings.select("id", first_set(F.col("cli"), F.col("env"), F.col("default_model")).alias("model"), first_set(F.col("session"), F.col("new_session")).alias("session"))
+
+
+def routed(paths: DataFrame, routes: DataFrame) -> DataFrame:
+    """The backend of each path: that of the longest mounted prefix, else `default`. A path's own prefixes, one for each
+    slash, are joined by equality; the longest rule is ours, the surveyed tree does not have it."""
+    prefixes = F.expr("transform(filter(sequence(1, length(path)), i -> substr(path, i, 1) = '/'), i -> substr(path, 1, i))")
+    found = paths.select("path", F.explode(prefixes).alias("prefix")).join(routes, "prefix").groupBy("path").agg(F.max_by("backend", F.length("prefix")).alias("backend"))
+    return paths.join(found, "path", "left").select("path", F.coalesce("backend", F.lit("default")).alias("backend"))
+
+
+def system_prompt(skills: DataFrame) -> DataFrame:
+    """(id, prompt) of (id, application, skill, mapping): the application's own text, the skill without front matter and,
+    if there is one, the mapping."""
+    return skills.select("id", sections(F.col("application"), strip_front_matter(F.col("skill")), F.col("mapping")).alias("prompt"))
+
+
+def settings_from(spark: SparkSession, environment: dict[str, str], prefix: str) -> DataFrame:
+    """(path, value) of the variables with the prefix: `__` parts a path, names are lower-cased, as a settings reader does."""
+    rows = [(k[len(prefix) :].lower().replace("__", "."), v) for k, v in sorted(environment.items()) if k.upper().startswith(prefix.upper())]
+    return spark.createDataFrame(rows, "path string, value string")
+
+
+def map_setting(settings: DataFrame, path: str) -> DataFrame:
+    """A JSON object in a setting as a map; malformed text gives null."""
+    return settings.where(F.col("path") == path).select(F.from_json("value", "map<string,string>").alias("value"))

@@ -5,13 +5,391 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.functions import content as C
+from skein.operators import catalog, config, coverage, docs, history, limits, stream
+from skein.sources import sessions
+from skein.sources.scratch import scratch_path
+from skein.streaming import segments as live
+
+from . import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    return history.messages_of(_table(spark, d, "conversations"))
+
+
+# --- conversations as message histories
+
+_KIND = "CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'ai' ELSE role END"
+
+
+@query("SELECT * FROM (SELECT conv_id AS thread_id, turn AS seq, CASE role WHEN 'user' THEN 'you>' WHEN 'assistant' THEN 'saga>' END AS label, text, count(*) OVER (PARTITION BY conv_id) AS n_messages FROM conversations) WHERE label IS NOT NULL AND trim(text) <> ''")
+def replay_history(spark, d):
+    return history.replay(_messages(spark, d))
+
+
+@query("SELECT conv_id AS thread_id, count(*) AS n_messages, count(*) FILTER (WHERE role IN ('user', 'assistant') AND trim(text) <> '') AS n_shown FROM conversations GROUP BY conv_id")
+def history_counts(spark, d):
+    return history.history_counts(_messages(spark, d))
+
+
+@query("SELECT conv_id AS thread_id, string_agg(text, '' ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id")
+def transcript(spark, d):
+    return history.transcript(_messages(spark, d))
+
+
+@query(f"SELECT conv_id AS thread_id, max(turn) AS seq, max_by({_KIND}, turn) AS type, max_by(text, turn) AS text FROM conversations GROUP BY conv_id")
+def latest_state(spark, d):
+    return history.latest_state(_messages(spark, d))
+
+
+@query("SELECT conv_id AS thread_id, turn AS seq FROM conversations c WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM conversations o WHERE o.conv_id = c.conv_id AND o.role = 'assistant' AND o.turn > c.turn)")
+def unanswered(spark, d):
+    return history.unanswered(_messages(spark, d))
+
+
+@query("SELECT conv_id AS thread_id, min(turn) AS seq FROM conversations GROUP BY conv_id")
+def first_of_thread(spark, d):
+    return history.first_of_thread(_messages(spark, d))
+
+
+@query("SELECT conv_id AS thread_id, turn AS seq, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'user' QUALIFY n <= 18")
+def first_turns(spark, d):
+    return history.first_turns(_messages(spark, d))
+
+
+@query("SELECT conv_id, turn, n, CASE WHEN n <= 2 THEN 'ok' ELSE 'end' END AS status FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'assistant')")
+def call_cap(spark, d):
+    calls = _table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn")
+    return limits.call_status(calls, ["conv_id"], F.lit(2), "turn")
+
+
+def _turn_events(spark, d):
+    """Turns as events: what an assistant says is a token, a user's turn an end."""
+    rows = _table(spark, d, "conversations").where("role in ('user', 'assistant')")
+    said = F.col("role") == "assistant"
+    return rows.select(F.lit("s").alias("session_id"), F.col("conv_id").alias("run"), F.col("turn").alias("seq"), F.when(said, "messages").otherwise("end").alias("mode"), F.when(said, "model").alias("node"), F.when(said, F.col("text")).alias("text"), F.lit(None).cast("array<struct<name:string,args:map<string,string>>>").alias("tool_calls"))
+
+
+@query("SELECT 's' AS session_id, conv_id AS run, segment, string_agg(text, '' ORDER BY turn) AS text FROM (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS segment FROM conversations WHERE role IN ('user', 'assistant')) WHERE role = 'assistant' AND text <> '' GROUP BY conv_id, segment")
+def reply_segments(spark, d):
+    return stream.segments(_turn_events(spark, d))
+
+
+@query("SELECT 's' AS session_id, conv_id AS run, segment, string_agg(text, '' ORDER BY turn) AS text FROM (SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS segment FROM conversations WHERE role IN ('user', 'assistant')) WHERE role = 'assistant' AND text <> '' GROUP BY conv_id, segment")
+def reply_segments_streamed(spark, d):
+    events, out, checkpoint = (scratch_path(spark, x) for x in ("events", "segments", "checkpoint"))
+    rows = _turn_events(spark, d)
+    ends = rows.groupBy("session_id", "run").agg((F.max("seq") + 1).alias("seq")).select("session_id", "run", "seq", F.lit("end").alias("mode"))
+    rows.unionByName(ends, allowMissingColumns=True).write.parquet(events)
+    live.run_segments(spark, events, out, checkpoint)
+    return spark.read.schema("session_id string, run bigint, segment bigint, text string").parquet(out)
+
+
+# --- stored documents
+
+@query("SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, lines[i] AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(3, 1 + least(4, len(string_split(text, chr(10)))))) AS i FROM documents)")
+def read_lines(spark, d):
+    return docs.read_lines(_table(spark, d, "documents"), 2, 2, "doc_id")
+
+
+@query("SELECT doc_id, line, content FROM (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, lines[i] AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, 1 + len(string_split(text, chr(10))))) AS i FROM documents)) WHERE regexp_matches(content, 'Copyright|[0-9]{4}')")
+def grep_lines(spark, d):
+    return docs.grep(_table(spark, d, "documents"), "Copyright|[0-9]{4}", "doc_id")
+
+
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'none') AS k FROM events")
+def event_prop(spark, d):
+    props = F.try_variant_get(F.parse_json("props"), "$.k", "string")
+    return _table(spark, d, "events").select("event_id", F.coalesce(props, F.lit("none")).alias("k"))
+
+
+@query("SELECT user_id, date_trunc('second', ts) AS second, count(*) AS n, count(*) > 25 AS over FROM events GROUP BY ALL")
+def calls_a_second(spark, d):
+    out = limits.calls_a_second(_table(spark, d, "events"), ["user_id"])
+    return out.withColumn("second", F.col("second").cast("timestamp_ntz"))
+
+
+@query()
+def token_bucket(spark, d):
+    calls = _table(spark, d, "events").select("event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    return limits.token_bucket(calls, "event_type", rate=0.01, burst=5)
+
+
+@query(f"SELECT path, text FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS k FROM {X.values(X.WRITES, 'path, seq, text')}) WHERE k = 1")
+def latest_writes(spark, d):
+    return docs.latest_writes(X.frame(spark, X.WRITES, "path string, seq int, text string"))
+
+
+@query(f"SELECT f.path, CASE WHEN contains(f.text, e.old) THEN replace(f.text, e.old, e.new) ELSE f.text END AS text, coalesce(contains(f.text, e.old), false) AS edited FROM {X.values(X.FILES, 'path, text', 'f')} LEFT JOIN {X.values(X.EDITS, 'path, old, new', 'e')} ON f.path = e.path")
+def edited_files(spark, d):
+    return docs.edit(X.frame(spark, X.FILES, "path string, text string"), X.frame(spark, X.EDITS, "path string, old string, new string"))
+
+
+@query(f"SELECT DISTINCT CASE WHEN contains(substr(path, 4), '/') THEN split_part(substr(path, 4), '/', 1) || '/' ELSE substr(path, 4) END AS name FROM {X.values(X.FILES, 'path, text')} WHERE path LIKE '/a/%'")
+def list_files(spark, d):
+    return docs.ls(X.frame(spark, X.FILES, "path string, text string"), "/a")
+
+
+@query(f"SELECT path FROM {X.values(X.FILES, 'path, text')} WHERE regexp_full_match(path, '/a/(.*/)?[^/]*[.]md')")
+def glob_files(spark, d):
+    return docs.glob(X.frame(spark, X.FILES, "path string, text string"), "/a/**/*.md")
+
+
+@query("SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(regexp_extract_all(text, '[.!?]')) AS BIGINT) AS n_sentences, CAST(len(regexp_extract_all(text, '[?]')) AS BIGINT) AS n_questions, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct FROM (SELECT *, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM documents)")
+def style_measures(spark, d):
+    return docs.style(_table(spark, d, "documents"), "doc_id")
+
+
+# --- content, text and labels
+
+_CONTENT = "SELECT id, CASE json_type(j) WHEN 'VARCHAR' THEN json_extract_string(j, '$') WHEN 'ARRAY' THEN coalesce((SELECT string_agg(CASE WHEN json_type(b) = 'VARCHAR' THEN {own} WHEN json_type(b) = 'OBJECT' AND json_extract_string(b, '$.type') = 'text' THEN coalesce(json_extract_string(b, '$.text'), '') ELSE '' END, '' ORDER BY i) FROM (SELECT unnest(TRY_CAST(j AS JSON[])) AS b, generate_subscripts(TRY_CAST(j AS JSON[]), 1) AS i)), '') ELSE '' END AS text FROM (SELECT id, CAST(raw AS JSON) AS j FROM {values})"
+
+
+@query(_CONTENT.format(own="json_extract_string(b, '$')", values=X.values(X.CONTENT, "id, raw")))
+def content_text(spark, d):
+    return X.frame(spark, X.CONTENT, "id int, raw string").select("id", C.extract_text(F.parse_json("raw")).alias("text"))
+
+
+@query(_CONTENT.format(own="''", values=X.values(X.CONTENT, "id, raw")))
+def content_blocks(spark, d):
+    return X.frame(spark, X.CONTENT, "id int, raw string").select("id", C.text_blocks(F.parse_json("raw")).alias("text"))
+
+
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160) || chr(8195)"
+
+
+@query(f"SELECT id, trim(text, {_SPACE}) AS text FROM {X.values(X.PADDED, 'id, text')}")
+def strip_text(spark, d):
+    return X.frame(spark, X.PADDED, "id int, text string").select("id", C.strip(F.col("text")).alias("text"))
+
+
+@query(f"SELECT id, trim(regexp_replace(text, '\\A---\\n(?s:.*?)\\n---\\n', ''), {_SPACE}) AS body, regexp_extract(regexp_extract(text, '\\A---\\n((?s:.*?))\\n---\\n', 1), '(?m)^name: (.*)$', 1) AS name FROM {X.values(X.MARKDOWN, 'id, text')}")
+def front_matter(spark, d):
+    return X.frame(spark, X.MARKDOWN, "id int, text string").select("id", C.strip_front_matter(F.col("text")).alias("body"), C.front_matter_field(F.col("text"), "name").alias("name"))
+
+
+@query(f"SELECT id, CASE WHEN t IN ('/exit', '/quit', '/help', '/session', '/reset') THEN t WHEN t <> '' THEN 'message' END AS command FROM (SELECT id, trim(text, {_SPACE}) AS t FROM {X.values(X.COMMAND_LINES, 'id, text')})")
+def commands(spark, d):
+    return X.frame(spark, X.COMMAND_LINES, "id int, text string").select("id", C.command(F.col("text")).alias("command"))
+
+
+@query(f"SELECT id, CASE WHEN error = 'ValueError' THEN 'Tool `' || tool || '` failed: ' || error || '. Fix the input and retry.' END AS said FROM {X.values(X.ERRORS, 'id, tool, error')}")
+def tool_errors(spark, d):
+    return X.frame(spark, X.ERRORS, "id int, tool string, error string").select("id", C.tool_error(F.col("tool"), F.col("error")).alias("said"))
+
+
+@query("SELECT * FROM (VALUES ('s', 1, 3, 0, 'dispatching writer'), ('s', 1, 3, 1, 'ls'), ('s', 1, 4, 0, 'dispatching ?'), ('s', 1, 4, 1, 'tool'), ('s', 1, 8, 0, 'grep')) AS t(session_id, run, seq, pos, label)")
+def tool_labels(spark, d):
+    return stream.labels(X.frame(spark, X.TOOL_CALLS, live.EVENTS))
+
+
+@query("SELECT * FROM (VALUES ('s', 1, 0, 'Hello '), ('s', 1, 2, ' '), ('s', 1, 3, 'end!'), ('s', 2, 0, 'again')) AS t(session_id, run, segment, text)")
+def stream_segments(spark, d):
+    return stream.segments(X.frame(spark, X.TOOL_CALLS, live.EVENTS))
+
+
+@query()
+def new_session_ids(spark, d):
+    """Random by nature: a UUID of version 7 for each user, with the time it holds."""
+    return _table(spark, d, "customer").select("c_custkey", C.uuid7().alias("session_id")).withColumn("millis", C.uuid7_millis(F.col("session_id")))
+
+
+# --- sessions
+
+@query(f"SELECT session_id, directory, strftime(to_timestamp(created_at) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS created, CASE WHEN session_id LIKE '________-____-7%' THEN CAST('0x' || substr(replace(session_id, '-', ''), 1, 12) AS BIGINT) END AS id_millis FROM {X.values(X.SESSIONS, 'session_id, directory, is_dir, created_at')} WHERE is_dir ORDER BY session_id")
+def session_list(spark, d):
+    return sessions.list_sessions(X.frame(spark, X.SESSIONS, sessions.SCHEMA))
+
+
+@query(f"SELECT session_id FROM {X.values([('my story',), ('absent',), (X.SESSIONS[3][0],)], 'session_id', 'a')} WHERE EXISTS (SELECT 1 FROM {X.values(X.SESSIONS, 'id, directory, is_dir, created_at', 's')} WHERE id = session_id AND is_dir)")
+def resumable(spark, d):
+    asked = X.frame(spark, [("my story",), ("absent",), (X.SESSIONS[3][0],)], "session_id string")
+    return sessions.resumable(asked, X.frame(spark, X.SESSIONS, sessions.SCHEMA))
+
+
+@query(f"SELECT session_id, '/data/sessions/' || session_id AS directory, '/data/sessions/' || session_id || '/checkpoints.sqlite' AS store FROM {X.values(X.SESSIONS, 'session_id, d, i, c')}")
+def session_paths(spark, d):
+    return sessions.paths(X.frame(spark, X.SESSIONS, sessions.SCHEMA), "/data/")
+
+
+# --- limits and configuration
+
+@query(f"SELECT thread, run, seq, n, CASE WHEN lim IS NULL OR n <= lim THEN 'ok' ELSE 'error' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY thread, run ORDER BY seq) AS n FROM {X.values(X.CALLS, 'thread, run, seq, lim')})")
+def call_limits(spark, d):
+    return limits.call_status(X.frame(spark, X.CALLS, "thread string, run int, seq int, lim int"), ["thread", "run"], F.col("lim"), at_limit="error").drop("lim")
+
+
+@query(f"SELECT id, attempt, first_delay * pow(factor, attempt) AS delay FROM (SELECT *, unnest(range(retries)) AS attempt FROM {X.values(X.RETRIES, 'id, retries, factor, first_delay')})")
+def retry_delays(spark, d):
+    return limits.retry_delays(X.frame(spark, X.RETRIES, "id int, retries int, factor double, first_delay double")).select("id", F.col("attempt").cast("long").alias("attempt"), "delay")
+
+
+@query("SELECT * FROM (VALUES (1, 0, 'own'), (1, 1, 'todo'), (1, 2, 'retry'), (1, 3, 'model_limit'), (1, 4, 'tool_limit'), (1, 5, 'tool_error'), (2, 0, 'todo'), (2, 1, 'model_limit'), (2, 2, 'tool_error'), (3, 0, 'x'), (3, 1, 'y'), (3, 2, 'todo'), (3, 3, 'retry'), (3, 4, 'tool_error')) AS t(id, pos, stage)")
+def agent_stages(spark, d):
+    rows = X.frame(spark, X.SETTINGS, "id int, names string, enable_retry boolean, enable_model_limit boolean, enable_tool_limit boolean")
+    return config.stages(rows.withColumn("own", F.split("names", ",")))
+
+
+@query("SELECT * FROM (VALUES (0, 1, 'writer', 'm'), (0, 2, 'reviewer', 'm'), (1, 1, 'writer', NULL), (1, 2, 'mine', 'own')) AS t(part, ord, name, model)")
+def subagents(spark, d):
+    fixed = X.frame(spark, [(1, "writer"), (2, "reviewer")], "ord int, name string")
+    own = X.frame(spark, [(1, "writer", None), (2, "mine", "own")], "ord int, name string, model string")
+    return config.subagents(fixed, own, F.lit("m"))
+
+
+@query(f"SELECT id, coalesce(nullif(cli, ''), nullif(env, ''), dflt) AS model, coalesce(nullif(sid, ''), new) AS session FROM {X.values(X.MODELS, 'id, cli, env, dflt, sid, new')}")
+def effective_settings(spark, d):
+    return config.effective(X.frame(spark, X.MODELS, "id int, cli string, env string, default_model string, session string, new_session string"))
+
+
+@query(f"SELECT path, coalesce((SELECT max_by(backend, length(prefix)) FROM {X.values(X.ROUTES, 'prefix, backend', 'r')} WHERE starts_with(path, prefix)), 'default') AS backend FROM {X.values(X.PATHS, 'path')}")
+def path_routes(spark, d):
+    return config.routed(X.frame(spark, X.PATHS, "path string"), X.frame(spark, X.ROUTES, "prefix string, backend string"))
+
+
+@query("SELECT * FROM (VALUES ('a', 'old'), ('b', 'old'), ('c', 'new')) AS t(k, v)")
+def merged_routes(spark, d):
+    maps = X.frame(spark, [({"a": "old", "b": "old"}, {"b": "new", "c": "new"})], "o map<string,string>, n map<string,string>")
+    return maps.select(F.explode(C.merge_maps(F.col("o"), F.col("n"))).alias("k", "v"))
+
+
+@query("SELECT * FROM (VALUES (1, 'mine' || chr(10) || chr(10) || 'body' || chr(10) || chr(10) || 'map'), (2, 'body'), (3, 'b')) AS t(id, prompt)")
+def system_prompts(spark, d):
+    return config.system_prompt(X.frame(spark, X.PROMPTS, "id int, application string, skill string, mapping string"))
+
+
+# --- specification, plan and review
+
+_SPEC = X.values(X.SPEC, "slug, dim, sub, choice", "s")
+_FINDINGS = X.values(X.FINDINGS, "slug, dim, sub, status, note", "f")
+_FAMILY = X.values([(f, dim) for f, dim, _ in catalog.DIMENSIONS], "family, dim", "d")
+_COVERED = f"(SELECT s.slug, s.dim, s.sub, coalesce(f.status, 'Missing') AS status, f.note, family FROM {_SPEC} LEFT JOIN {_FINDINGS} ON f.slug = s.slug AND f.dim = s.dim AND f.sub = s.sub JOIN {_FAMILY} ON d.dim = s.dim)"
+_CATALOGUE = X.values([(f, dim, k, s) for f, dim, subs in catalog.DIMENSIONS for k, s in enumerate(subs, 1)], "family, dim, ord, sub", "c")
+_ASKS = "(family = 'core' OR (dim = 'scènes à faire' AND r NOT IN ('none', 'loosely inspired')) OR (r = 'parody' AND dim = 'parody/satire') OR (r = 'pastiche' AND dim = 'pastiche') OR (r = 'quotation' AND dim = 'quotation'))"
+_REQUIRED = f"(SELECT slug, family, dim, ord, sub FROM (SELECT slug, coalesce(relationship, 'none') AS r FROM {X.values(X.STORIES, 'slug, relationship', 'st')}) JOIN {_CATALOGUE} ON {_ASKS})"
+
+
+def _spec(spark):
+    return X.frame(spark, X.SPEC, "slug string, dim string, sub string, choice string")
+
+
+def _covered(spark):
+    return coverage.coverage(_spec(spark), X.frame(spark, X.FINDINGS, "slug string, dim string, sub string, status string, note string"))
+
+
+def _briefs(spark):
+    rows = X.frame(spark, X.BRIEFS, "slug string, chapter int, pov string, pov_exception boolean, s string, p string")
+    names = lambda c: F.filter(F.split(c, ","), lambda x: x != "")
+    return rows.select("slug", "chapter", "pov", "pov_exception", names("s").alias("setups"), names("p").alias("payoffs"))
+
+
+_BRIEFS = X.values(X.BRIEFS, "slug, chapter, pov, pov_exception, s, p", "b")
+_SETUPS = f"(SELECT slug, chapter, unnest(list_filter(string_split(s, ','), lambda x: x <> '')) AS element FROM {_BRIEFS})"
+_PAYOFFS = f"(SELECT slug, chapter, unnest(list_filter(string_split(p, ','), lambda x: x <> '')) AS element FROM {_BRIEFS})"
+_UNPAID = f"SELECT slug, chapter, element FROM {_SETUPS} a WHERE NOT EXISTS (SELECT 1 FROM {_PAYOFFS} z WHERE z.slug = a.slug AND z.element = a.element AND z.chapter > a.chapter)"
+_DRIFT = f"SELECT slug, chapter, was, pov FROM (SELECT *, lag(pov) OVER (PARTITION BY slug ORDER BY chapter) AS was FROM {_BRIEFS}) WHERE was <> pov AND NOT coalesce(pov_exception, false)"
+
+
+@query(f"SELECT family, dim, CAST(ord AS INTEGER) AS ord, sub FROM {_CATALOGUE}")
+def dimension_catalogue(spark, d):
+    return catalog.dimensions(spark).select("family", "dim", "ord", "sub")
+
+
+@query(f"SELECT * FROM {_REQUIRED}")
+def required_answers(spark, d):
+    return catalog.required_answers(X.frame(spark, X.STORIES, "slug string, relationship string"), catalog.dimensions(spark))
+
+
+@query(f"SELECT slug, family, dim, ord, sub FROM {_REQUIRED} q WHERE NOT EXISTS (SELECT 1 FROM {_SPEC} WHERE s.slug = q.slug AND s.dim = q.dim AND s.sub = q.sub AND trim(choice) <> '')")
+def unanswered_dimensions(spark, d):
+    return coverage.unanswered(required_answers(spark, d), _spec(spark))
+
+
+@query(f"SELECT slug, dim, sub, status, note FROM {_COVERED}")
+def spec_coverage(spark, d):
+    return _covered(spark)
+
+
+@query(f"SELECT slug, dim, sub, status, CASE WHEN family <> 'core' THEN 3 WHEN status = 'Missing' THEN 1 ELSE 2 END AS rank FROM {_COVERED} WHERE status <> 'Covered'")
+def findings_by_severity(spark, d):
+    return coverage.severity(_covered(spark), catalog.dimensions(spark))
+
+
+@query(f"SELECT slug, bool_or(family = 'core' AND status = 'Missing') AS blocked FROM {_COVERED} GROUP BY slug")
+def chapter_gate(spark, d):
+    return coverage.gate(_covered(spark), catalog.dimensions(spark))
+
+
+@query(f"SELECT slug, dim, status, count(*) AS n FROM {_COVERED} GROUP BY ALL")
+def findings_counts(spark, d):
+    return coverage.status_counts(_covered(spark))
+
+
+@query(f"SELECT DISTINCT slug, dim FROM {_SPEC} WHERE NOT EXISTS (SELECT 1 FROM {X.values(X.PLAN, 'slug, dim', 'p')} WHERE p.slug = s.slug AND p.dim = s.dim)")
+def dimensions_without_plan(spark, d):
+    return coverage.without_plan(_spec(spark), X.frame(spark, X.PLAN, "slug string, dim string"))
+
+
+@query(f"SELECT slug, chapter FROM {X.values(X.CHAPTERS, 'slug, chapter', 'c')} WHERE NOT EXISTS (SELECT 1 FROM {_BRIEFS} WHERE b.slug = c.slug AND b.chapter = c.chapter)")
+def chapters_without_brief(spark, d):
+    return coverage.without_brief(X.frame(spark, X.CHAPTERS, "slug string, chapter int"), _briefs(spark))
+
+
+@query(_UNPAID)
+def unpaid_setups(spark, d):
+    return coverage.unpaid_setups(_briefs(spark))
+
+
+@query(_DRIFT)
+def pov_drift(spark, d):
+    return coverage.pov_drift(_briefs(spark))
+
+
+@query(f"SELECT slug, (SELECT count(*) FROM ({_UNPAID}) u WHERE u.slug = t.slug) AS unpaid, (SELECT count(*) FROM ({_DRIFT}) v WHERE v.slug = t.slug) AS drifts FROM (SELECT DISTINCT slug FROM {_BRIEFS}) t")
+def whole_story(spark, d):
+    return coverage.whole_story(_briefs(spark))
+
+
+@query("SELECT conv_id AS slug, turn AS chapter, coalesce(string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS so_far FROM conversations")
+def continuity(spark, d):
+    rows = _table(spark, d, "conversations").select(F.col("conv_id").alias("slug"), F.col("turn").alias("chapter"), F.col("text").alias("summary"))
+    return coverage.continuity(rows)
+
+
+@query("SELECT * FROM (VALUES ('s1', 'prose', 'plan'), ('s2', 'review', 'prose')) AS t(slug, kind, needs)")
+def workflow_order(spark, d):
+    return coverage.out_of_order(X.frame(spark, X.ARTEFACTS, "slug string, kind string, at int"))
+
+
+@query(f"SELECT slug FROM {X.values(X.GATES, 'slug, kind, signed')} WHERE signed AND kind IN ('spec', 'plan') GROUP BY slug HAVING count(DISTINCT kind) = 2")
+def signed_off(spark, d):
+    return coverage.signed_off(X.frame(spark, X.GATES, "slug string, kind string, signed boolean"))
