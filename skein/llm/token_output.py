@@ -44,14 +44,14 @@ class WordEncoder:
 
     The vocabulary drops white space before it merges, and neither its normaliser nor its pattern looks across it, so
     the ids of a text are those of its words put together. New words of letters, with a mark behind them or not, go to
-    the library many in a string; its tokens that end a word tell where each ends.
+    the library many in a string; its tokens that end a word tell where each ends. Added tokens such as <|endoftext|> hold
+    no white space and no such word is only letters and marks, so their words go to the library whole and get their ids.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True
         vocabulary = self.own.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
