@@ -242,15 +242,23 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _long_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, offsets in blocks(batches, "text"):
-        cells = [_signature(x, max(SIGNATURE, 1 << (len(x) - 1).bit_length())) for x in shingle_sets(data, offsets)]
-        yield pa.RecordBatch.from_arrays([rows.column("node"), pa.array(cells, pa.binary())], ["node", "signature"])
+    for _, data, offsets in blocks(batches, "text"):
+        sets = [x for x in shingle_sets(data, offsets) if len(x)]
+        cells = [_signature(x, max(SIGNATURE, 1 << (len(x) - 1).bit_length())) for x in sets]
+        yield pa.RecordBatch.from_arrays([pa.array(map(_digest, sets), pa.int64()), pa.array(cells, pa.binary())], ["node", "signature"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, offsets in blocks(batches, "text"):
-        cells = pa.array([x.tobytes() for x in shingle_sets(data, offsets)], pa.binary())
-        yield pa.RecordBatch.from_arrays([rows.column("node"), cells], ["node", "shingles"])
+    for _, data, offsets in blocks(batches, "text"):
+        sets = [x for x in shingle_sets(data, offsets) if len(x)]
+        yield pa.RecordBatch.from_arrays([pa.array(map(_digest, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
+
+
+def _read_again(rows: DataFrame, wanted: DataFrame, step, schema: str) -> DataFrame:
+    """What step makes of the texts of the wanted sets (node, doc), once for each set. Rows may share an id and not a
+    text: the id only says which texts to read, and each result is named by the set of its own text. Sets that are not
+    wanted and share an id with one that is are among the results."""
+    return rows.join(wanted.select("doc"), "doc", "left_semi").select("text").mapInArrow(step, schema).dropDuplicates(["node"])
 
 
 def _banded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -282,7 +290,8 @@ def link_documents(documents: DataFrame, key: str = "doc_id", text: str = "text"
     """(key, n_shingles, component_id) for each document: the size of its set and the smallest key that links lead to.
 
     A null or empty text has the empty set, links with nothing and is a component of its own. Rows with a null key have
-    a null component. Repeated rows repeat. An empty table gives an empty one; other columns are ignored.
+    a null component. Repeated rows repeat; rows with one key and different texts each have their own set and component.
+    An empty table gives an empty one; other columns are ignored.
     """
     spark, parts = documents.sparkSession, spread(documents)
     kind = documents.schema[key].dataType
@@ -307,7 +316,7 @@ def link_documents(documents: DataFrame, key: str = "doc_id", text: str = "text"
     trees = saved(components(able).select("node", F.col("root").alias("tile")), "trees")
 
     size = nodes.select("node", "n", "doc")
-    long = rows.join(trees.join(size, "node").select("node", "doc"), "doc").select("node", "text").mapInArrow(_long_signatures, "node long, signature binary").dropDuplicates(["node"])
+    long = _read_again(rows, trees.join(size, "node"), _long_signatures, "node long, signature binary")
     members = saved(trees.join(size, "node").join(long, "node"), "members")
     banded, ranges = _banded(members.select("tile", "node", "n"))
     pairs = _band_pairs(ranges)
@@ -318,7 +327,7 @@ def link_documents(documents: DataFrame, key: str = "doc_id", text: str = "text"
 
     groups, _ = _banded(trees.join(members.drop("tile"), "node").select("tile", "node", "n", "doc", "signature"))
     groups = saved(groups, "groups")
-    sets = rows.join(groups.select("node", "doc"), "doc").select("node", "text").mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"])
+    sets = _read_again(rows, groups, _sets, "node long, shingles binary")
     sets = saved(sets, "sets")
     last = groups.groupBy("tile", "band").agg(F.max_by("node", F.struct("n", "node")).alias("node"))
     chain = groups.join(last.withColumn("next", F.col("band") + 1), ["tile", "band", "node"]).select("tile", "node", "n", F.col("next").alias("band"), "signature")
