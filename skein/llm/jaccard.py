@@ -31,6 +31,8 @@ SHINGLE, LEAST = 5, 80
 SIGNATURE = 1024
 #: Bits of a shingle's counter number: the sketch has 4 MB however large the corpus is.
 SKETCH_BITS, SLICE_BITS = 20, 14
+#: Rows of tokens that a task gathers before it makes tiles of all but the last token.
+TILE_ROWS = 1 << 17
 #: Sets in a band of a tile or group, and shingles in a band of a group; what is larger is looked at band by band.
 BAND, BAND_SHINGLES = 2000, 1 << 21
 
@@ -137,14 +139,19 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tile = node
         return pa.RecordBatch.from_arrays([pa.array(tile), pa.array(node), pa.array(n)], ["tile", "node", "n"])
 
-    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+    names = ("token", "node", "n")
+    held: list[list[np.ndarray]] = [[np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]]
+    size, due = 0, TILE_ROWS
     for batch in batches:
-        held = [np.concatenate([x, np.array(batch.column(c))]) for x, c in zip(held, ("token", "node", "n"), strict=True)]
-        cut = int(np.searchsorted(held[0] != held[0][-1], False)) if len(held[0]) else 0
-        if cut > 1 << 17:
-            yield out(*(x[:cut] for x in held))
-            held = [x[cut:] for x in held]
-    yield out(*held)
+        held.append([np.array(batch.column(c)) for c in names])
+        size += batch.num_rows
+        if size > due:
+            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+            if cut := int(np.searchsorted(rows[0], rows[0][-1], "left")):
+                yield out(*(x[:cut] for x in rows))
+            held, size = [[x[cut:].copy() for x in rows]], size - cut
+            due = max(TILE_ROWS, 2 * size)  # the last token may go on for long
+    yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:

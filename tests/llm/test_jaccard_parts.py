@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+
 
 def test_one_id_on_two_texts(spark):
     """Each text of an id links by its own set, whatever other text has the id."""
@@ -18,3 +21,28 @@ def test_one_id_on_two_texts(spark):
             expected[key, n, component] += 1
     found = jaccard.link_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
     assert Counter(tuple(r) for r in found) == expected
+
+
+def test_tiles_leave_as_tokens_end():
+    """Tiles of ended tokens go out while rows still come, a hot token's rows stay together, and all tiles are those of
+    one batch."""
+    from skein.llm import jaccard
+
+    rnd = np.random.default_rng(5)
+    token = np.sort(np.concatenate([rnd.integers(-(1 << 60), 1 << 60, 150_000).repeat(2), np.full(200_000, 7)]))
+    node = rnd.integers(0, 50_000, len(token))
+    rows = pa.RecordBatch.from_arrays([pa.array(token), pa.array(node), pa.array((node % 90 + 1).astype(np.int32))], ["token", "node", "n"])
+    read = 0
+
+    def batches():
+        nonlocal read
+        for at in range(0, len(token), 10_000):
+            read += 1
+            yield rows.slice(at, 10_000)
+
+    tiles, early = [], 0
+    for batch in jaccard._tiles(batches()):
+        early += read < len(token) // 10_000
+        tiles += zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
+    whole = [t for batch in jaccard._tiles(iter([rows])) for t in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)]
+    assert early and set(tiles) == set(whole)
