@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 #: Default limits of model and tool calls in a run; retries, factor and first delay; rate, burst.
 MODEL_CALLS, TOOL_CALLS = 50, 200
 RETRIES, FACTOR, FIRST_DELAY = 3, 2.0, 1.0
 RATE, BURST = 25.0, 50
+#: Slots of time that far from 0 are one.
+_FAR = 1 << 61
 
 
 def call_status(calls: DataFrame, keys: list[str], limit: Column, order: str = "seq", at_limit: str = "end") -> DataFrame:
@@ -29,16 +35,55 @@ def calls_a_second(calls: DataFrame, keys: list[str], at: str = "ts", rate: floa
     return calls.groupBy(*keys, second.alias("second")).agg(F.count("*").alias("n")).withColumn("over", F.col("n") > rate)
 
 
+def _granted(schema: StructType, rate: float, burst: float):
+    """The fold over rows (key, piece, at) sorted by all three; its state is the last row's piece, time and tokens left."""
+
+    def same(a, b) -> bool:
+        return a == b or (a != a and b != b)  # Spark holds NaN as equal to itself
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, key, piece, last, left = True, None, None, 0.0, burst
+        for batch in batches:
+            out = []
+            for k, p, now in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if first or p != piece or not same(k, key):
+                    first, key, piece, left = False, k, p, burst
+                else:
+                    full = left + (now - last) * rate
+                    left = full if full < burst else burst
+                last = now
+                out.append(left >= 1)
+                if left >= 1:
+                    left -= 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.bool_())], schema.names)
+
+    return run
+
+
 def token_bucket(calls: DataFrame, key: str, at: str = "at", rate: float = RATE, burst: float = BURST) -> DataFrame:
     """Whether each call finds a token in its group's bucket: burst tokens at first, rate more each second, burst at most.
 
-    at is in seconds. The fold runs over a group's ordered times, as one array; calls of a group are those of one process.
+    at is in seconds; calls without a time are left out. After burst / rate seconds without a call the bucket is full
+    whatever was before, so there a group is cut into pieces that know nothing of each other. To find the cuts, time is
+    dealt into slots a little longer than that: such a gap ends at the first call of a slot, and only the slot before can
+    hold a call that is nearer. A piece's calls are streamed in order, with one state; only a piece, not a group, needs
+    a task of its own.
     """
-    times = calls.groupBy(key).agg(F.array_sort(F.collect_list(F.col(at).cast("double"))).alias("times"))
-    start = F.struct(F.lit(float(burst)).alias("left"), F.lit(None).cast("double").alias("last"), F.array().cast("array<struct<at:double,granted:boolean>>").alias("out"))
-
-    def step(state: Column, now: Column) -> Column:
-        left = F.least(F.lit(float(burst)), state["left"] + F.coalesce(now - state["last"], F.lit(0.0)) * rate)
-        return F.struct(F.when(left >= 1, left - 1).otherwise(left).alias("left"), now.alias("last"), F.concat(state["out"], F.array(F.struct(now.alias("at"), (left >= 1).alias("granted")))).alias("out"))
-
-    return times.select(key, F.inline(F.aggregate("times", start, step, lambda s: s["out"])))
+    rows = calls.select(F.col(key).alias("key"), F.col(at).cast("double").alias("at")).where("at is not null")
+    if rate > 0 and burst > 0:
+        slot = F.floor(F.col("at") / F.lit(1.01 * burst / rate))
+        slot = F.when(F.isnan("at"), F.lit(_FAR)).otherwise(F.greatest(F.lit(-_FAR), F.least(F.lit(_FAR), slot)))
+    else:  # a bucket that never fills
+        slot = F.lit(0)
+    rows = rows.withColumn("slot", slot.cast("long"))
+    slots = rows.groupBy("key", "slot").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    before = slots.select(F.col("key").alias("key_before"), (F.col("slot") + 1).alias("slot_after"), F.col("high").alias("last"))
+    joined = slots.join(before, F.col("key").eqNullSafe(F.col("key_before")) & (F.col("slot") == F.col("slot_after")), "left")
+    cut = F.col("last").isNull() | ((F.col("low") - F.col("last")) * F.lit(float(rate)) >= F.lit(float(burst)))
+    # slots of a group are as many as its time has room for, however many calls it has
+    pieces = joined.select("key", "slot", F.max(F.when(cut, F.col("slot"))).over(Window.partitionBy("key").orderBy("slot")).alias("piece"))
+    pieces = pieces.select(F.col("key").alias("key_of"), F.col("slot").alias("slot_of"), "piece")
+    dealt = rows.join(pieces, F.col("key").eqNullSafe(F.col("key_of")) & (F.col("slot") == F.col("slot_of"))).select("key", "piece", "at")
+    dealt = dealt.repartition("key", "piece").sortWithinPartitions("key", "piece", "at")
+    schema = StructType([StructField("key", dealt.schema["key"].dataType), StructField("at", DoubleType()), StructField("granted", BooleanType())])
+    return dealt.mapInArrow(_granted(schema, float(rate), float(burst)), schema).withColumnRenamed("key", key)
