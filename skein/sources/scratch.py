@@ -15,5 +15,12 @@ def _own() -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir, or in a temporary folder where that is unset, as in tests."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or _own()).rstrip('/')}/skein/{name}-{uuid.uuid4().hex}"
+    """A new path below spark.checkpoint.dir. Only a session in one process, as in tests, may do without that setting and
+    gets a temporary folder; on a cluster such a folder would be another one on each machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _own()
+    return f"{root.rstrip('/')}/skein/{name}-{uuid.uuid4().hex}"
