@@ -7,7 +7,7 @@ import base64
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
-from test_queries import base_counts, contamination, link_rows, removed
+from brute import base_counts, contamination, link_rows, removed
 
 
 def whole_characters(raw: bytes, gone: np.ndarray) -> str:
