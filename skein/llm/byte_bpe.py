@@ -4,7 +4,7 @@ A piece of text is encoded by halves. Two encoded neighbours are joined by encod
 seam again; the window doubles on a side until the tokens outside provably stay. The proof: merges go by rank, leftmost
 first, and the first merge across a token boundary would also happen in the two tokens alone. So a sequence is the
 encoding of its bytes if and only if each pair of neighbours is the encoding of its own bytes; runs of an encoding are
-encodings. Hence only the window's two outer seams need a look. Decoding concatenates the tokens' bytes.
+encodings. Hence only the window's two outer seams need a look. Decoding concatenates up the same kind of tree.
 """
 
 from __future__ import annotations
@@ -16,16 +16,17 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, distinct
 from .span_ids import SpanIds, gather
 
-#: Bytes up to which merges are applied to a piece directly.
-LEAF_BYTES = 8
+#: Bytes up to which merges are applied to a piece directly, and ids up to which bytes are put together directly.
+LEAF_BYTES, LEAF_IDS = 8, 256
 #: Encoded pieces that a worker keeps, for new units made of known pieces.
 CACHE_PIECES = 100_000
 
@@ -85,7 +86,15 @@ class TreeBpe:
         return [self.ranks[raw]] if raw in self.ranks else self.tree(raw)
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        """The bytes of the ids: those of each half, put together."""
+        if len(ids) <= LEAF_IDS:
+            return b"".join(map(self.bytes_of.__getitem__, ids))
+        half = len(ids) // 2
+        return self.decode(ids[:half]) + self.decode(ids[half:])
+
+
+#: Patterns that _unit_starts holds for. Under any other, a text is one unit.
+SPACED_PATTERNS = (public_tokenizers.PATTERN,)
 
 
 def _unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -106,7 +115,7 @@ class TextEncoder:
     """Texts to ids, each match of a pattern by itself."""
 
     def __init__(self, path: str, pattern: str) -> None:
-        self.bpe, self.split = TreeBpe(path), regex.compile(pattern).findall
+        self.bpe, self.split, self.spaced = TreeBpe(path), regex.compile(pattern).findall, pattern in SPACED_PATTERNS
         self.names = [str(i) for i in range(len(self.bpe.bytes_of))]
         self.pieces: dict[str, bytes] = {}
         self.spans = SpanIds(self._new)
@@ -124,7 +133,7 @@ class TextEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, and where each row's begin and the last end."""
-        starts = _unit_starts(data, offsets)
+        starts = _unit_starts(data, offsets) if self.spaced else distinct(offsets[:-1][np.diff(offsets) > 0])
         ids, total = gather(*self.spans.look_up(data, starts, np.append(starts[1:], len(data))))
         return ids, np.append(0, total)[np.searchsorted(starts, offsets)]
 
@@ -148,14 +157,14 @@ def encode_documents(documents: DataFrame, ranks: str, pattern: str, key: str =
         from .byte_bpe import encoder  # the module's own cache, which a pickled global would not be
 
         own = encoder(ranks, pattern)
-        name, token = own.names.__getitem__, own.bpe.bytes_of.__getitem__
+        name = own.names.__getitem__
         for rows, data, offsets in blocks(batches, "text"):
             ids, at = own.encode(data, offsets)
             said, decoded = [], []
             for a, b in zip(at, at[1:], strict=False):
                 some = ids[a:b].tolist()
                 said.append(hashlib.sha256(",".join(map(name, some)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(b"".join(map(token, some))).hexdigest())
+                decoded.append(hashlib.sha256(own.bpe.decode(some)).hexdigest())
             columns = [rows.column("id"), pa.array(np.diff(at)), pa.array(said), pa.array(decoded)]
             if with_ids:
                 columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32))))

@@ -3,32 +3,21 @@
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from skein.sources.scratch import scratch_path
 
 #: Bytes of text that a task turns into numpy arrays at a time; one longer text is a block of its own.
 BLOCK_BYTES = 1 << 21
 
 
-@functools.cache
-def _own_scratch() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="skein-")
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir, or a temporary one where it names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_scratch()
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/skein/{name}-{uuid.uuid4().hex}"
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read again: cuts the lineage and outlives lost executors."""
     spark = df.sparkSession
@@ -93,30 +82,56 @@ def byte_keys() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-
+#: Bytes up to which spans are hashed and compared 8 bytes at a time, all spans together; longer ones one by one.
+LONG_SPAN = 256
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)], np.uint64)
 
-@functools.lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    def run(base: int) -> np.ndarray:
-        out = np.ones(1, np.uint64)
-        step = np.uint64(base)
-        while len(out) < 1 << bits:
-            out = np.concatenate([out, out * step])
-            step = step * step
-        return out
 
-    with np.errstate(over="ignore"):
-        return run(_BASE), run(pow(_BASE, -1, 1 << 64))
+def _words_at(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as a number, zeros behind the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end], equal for equal bytes wherever they stand."""
-    power, inverse = _powers(max(12, int(len(data)).bit_length()))
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(byte_keys()[data] * power[: len(data)], out=total[1:])
-        return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each data[start:end], equal for equal bytes wherever they stand.
+
+    Every 8 bytes pass the finaliser, so no sums of powers stand behind it that texts of a regular build could cancel.
+    Different spans of equal length up to 8 never meet; others do by chance. Who needs certainty compares with equal_spans.
+    """
+    size, words = ends - starts, _words_at(data)
+    out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    live, at = np.flatnonzero((size > 0) & (size <= LONG_SPAN)), 0
+    while len(live):
+        left, word = size[live] - at, words[starts[live] + at]
+        short = np.flatnonzero(left < 8)
+        word[short] &= _MASKS[left[short]]
+        with np.errstate(over="ignore"):
+            out[live] = mix((out[live] ^ word) * _ODD)
+        live, at = live[left > 8], at + 8
+    if len(long := np.flatnonzero(size > LONG_SPAN)):
+        view = memoryview(np.ascontiguousarray(data))
+        out[long] = [int.from_bytes(hashlib.blake2b(view[a:b], digest_size=8).digest(), "little") for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return out
+
+
+def equal_spans(data: np.ndarray, starts: np.ndarray, other: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Flags the places where data[start : start + size] and other[begin : begin + size] are the same bytes."""
+    same, ours = np.ones(len(sizes), bool), _words_at(data)
+    theirs = ours if other is data else _words_at(other)
+    live, at = np.flatnonzero((sizes > 0) & (sizes <= LONG_SPAN)), 0
+    while len(live):
+        left = sizes[live] - at
+        differ = ours[starts[live] + at] ^ theirs[begins[live] + at]
+        short = np.flatnonzero(left < 8)
+        differ[short] &= _MASKS[left[short]]
+        same[live] = differ == 0
+        live, at = live[(left > 8) & (differ == 0)], at + 8
+    for i in np.flatnonzero(sizes > LONG_SPAN).tolist():
+        same[i] = np.array_equal(data[starts[i] : starts[i] + sizes[i]], other[begins[i] : begins[i] + sizes[i]])
+    return same
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,11 +168,52 @@ def lower_table() -> np.ndarray:
 
 
 def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of n consecutive word hashes from each place where n follow."""
+    """Hashes of n consecutive word hashes from each place where n follow: each place in the run has its own odd factor."""
     if len(words) < n:
         return np.zeros(0, np.uint64)
+    factors = mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
     with np.errstate(over="ignore"):
         total = np.full(len(words) - n + 1, n, np.uint64)
         for k in range(n):
-            total += words[k : len(words) - n + 1 + k] * np.uint64(pow(_BASE, k + 1, 1 << 64))
+            total += words[k : len(words) - n + 1 + k] * factors[k]
         return mix(total)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The values, ascending and once each."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
+
+
+#: Bits of a set of keys that tasks are given to leave out most rows early: 4 MB, whatever the number of keys.
+MEMBER_BITS = 25
+
+
+def member_bits(keys: DataFrame) -> np.ndarray:
+    """A bitmap of MEMBER_BITS over the hashes of a column of longs, put together by tasks. What it says is missing is not
+    there; with more keys it says so more rarely."""
+    place = F.shiftrightunsigned(F.xxhash64(keys.columns[0]), 64 - MEMBER_BITS)
+    words = keys.select(F.shiftright(place, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64({keys.columns[0]}), {64 - MEMBER_BITS}) & 63 as int))").alias("bits"))
+    found = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << MEMBER_BITS - 6, np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def sifted(rows: DataFrame, place: str, wanted: Broadcast, inside: bool = True) -> DataFrame:
+    """The rows whose key's xxhash64, in the column place, the bitmap holds; or those that it does not hold. Nothing is
+    shuffled. With far more keys than bits all rows are taken for inside, which costs time alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_be_member(wanted.value, np.array(batch.column(place))) == inside))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def may_be_member(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Flags those xxhash64 hashes (as longs) that the bitmap holds."""
+    place = hashes.view(np.uint64) >> np.uint64(64 - MEMBER_BITS)
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)

@@ -3,7 +3,8 @@
 An item's windows are its runs of WINDOW words (an item of fewer words is one window). A window occurs in a document
 only if all its word shingles do, so its rarest shingle alone is the prefix that must be joined. Shingles are ordered
 by their count over the whole corpus. A match of a prefix fixes where the window would start; length and position
-bounds drop those that would leave the document, and the rest are compared word by word over the window.
+bounds drop those that would leave the document, and the rest are compared word by word over the window: first the words'
+hashes, then their bytes.
 
 The benchmark is a stated query set: it is taken in blocks of at most BLOCK_ITEM_BYTES, each scanned against all
 documents, so what a task holds has a fixed bound whatever the benchmark's size.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_set, lower_table, run_hashes, span_hashes, word_spans
+from .common import blocks, byte_set, equal_spans, lower_table, run_hashes, span_hashes, word_spans
 
 WINDOW = 10
 #: Words in a shingle; a shorter window has one shingle, all of it.
@@ -31,10 +32,21 @@ BLOCK_ITEM_BYTES = 4 << 20
 _SEPARATORS = byte_set((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 
 
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    data = lower_table()[data]
-    starts, ends, first = word_spans(data, offsets, _SEPARATORS)
-    return span_hashes(data, starts, ends), first
+class Words:
+    """The lower-cased words of texts: hashes, places, and each text's first word (texts + 1 long)."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        self.data = lower_table()[data]
+        self.starts, ends, self.first = word_spans(self.data, offsets, _SEPARATORS)
+        self.sizes = ends - self.starts
+        self.hashes = span_hashes(self.data, self.starts, ends)
+
+    def same(self, mine: np.ndarray, other: Words, theirs: np.ndarray) -> np.ndarray:
+        """Flags the pairs of a word here and a word there that are the same bytes."""
+        out = (self.hashes[mine] == other.hashes[theirs]) & (self.sizes[mine] == other.sizes[theirs])
+        some = np.flatnonzero(out)
+        out[some] = equal_spans(self.data, self.starts[mine[some]], other.data, other.starts[theirs[some]], self.sizes[mine[some]])
+        return out
 
 
 @dataclass
@@ -42,7 +54,7 @@ class Index:
     """The windows of a block of items and, once choose() is called, the shingle by which each is looked up."""
 
     items: list[str]
-    words: np.ndarray
+    words: Words
     start: np.ndarray
     length: np.ndarray
     item: np.ndarray
@@ -57,8 +69,8 @@ class Index:
         raw = [t.encode() for _, t in items]
         data = np.frombuffer(b"".join(raw), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-        words, first = _words(data, offsets)
-        n = np.diff(first)
+        words = Words(data, offsets)
+        first, n = words.first, np.diff(words.first)
         starts, lengths, owner = [], [], []
         for i in range(len(items)):
             count = max(1, int(n[i]) - WINDOW + 1) if n[i] else 0
@@ -73,7 +85,7 @@ class Index:
     def _shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the shingles of the windows that use this size, by place in the window; those windows."""
         mine = np.flatnonzero(np.minimum(self.length, SHINGLE) == size)
-        runs = run_hashes(self.words, size)
+        runs = run_hashes(self.words.hashes, size)
         steps = np.arange(WINDOW - size + 1)
         place = np.minimum(steps, self.length[mine, None] - size)  # the last one again where a window is short
         return runs[self.start[mine, None] + place], mine
@@ -98,10 +110,11 @@ class Index:
         bits[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
         return bits
 
-    def seen(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def seen(self, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Places in the rows' words with a known shingle, and its number."""
+        first = words.first
         for size in self.sizes:
-            runs = run_hashes(words, size)
+            runs = run_hashes(words.hashes, size)
             at = np.flatnonzero(self._filter[(runs >> np.uint64(44)).astype(np.int64)])
             number = np.minimum(np.searchsorted(self.hashes, runs[at]), len(self.hashes) - 1)
             at, number = at[(same := self.hashes[number] == runs[at])], number[same]
@@ -109,10 +122,10 @@ class Index:
             inside = at + size <= first[row + 1]
             yield at[inside], number[inside]
 
-    def matches(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def matches(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Where windows occur, whole: the place in the rows' words and the window."""
-        out = [(np.zeros(0, np.int64),) * 2]
-        for at, number in self.seen(words, first):
+        out, first = [(np.zeros(0, np.int64),) * 2], words.first
+        for at, number in self.seen(words):
             count = self.first[number + 1] - self.first[number]
             entry = np.repeat(self.first[number] - np.cumsum(count) + count, count) + np.arange(count.sum())
             window, place = self.window[entry], np.repeat(at, count)
@@ -123,7 +136,7 @@ class Index:
             same = np.ones(len(begin), bool)
             for k in range(WINDOW):
                 there = np.flatnonzero(same & (k < self.length[window]))
-                same[there] = words[begin[there] + k] == self.words[self.start[window[there]] + k]
+                same[there] = words.same(begin[there] + k, self.words, self.start[window[there]] + k)
             out.append((begin[same], window[same]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
@@ -141,8 +154,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id
     sorted), hits (runs of hit words as start and end, in words) and contaminated; also the columns named in carry.
 
     A null or empty text has no words; items with a null id or text take no part; an empty benchmark hits nothing. Each
-    row is judged by itself, so repeated rows repeat. A carried column with the name of a result gives way to it. Documents are never shuffled; the counts
-    that order the shingles cover all of them.
+    row is judged by itself, so repeated rows repeat. A carried column with the name of a result gives way to it.
+    Documents are never shuffled; the counts that order the shingles cover all of them.
     """
     carried = {c: f"c{i}" for i, c in enumerate(c for c in carry if c not in (key, "n_words", "n_hit", "n_items", "items", "hits", "contaminated"))}
     kind = documents.schema[key].dataType.simpleString()
@@ -174,7 +187,7 @@ def _counter(index: Index):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(index.hashes), np.int64)
         for _, data, offsets in blocks(batches, "text"):
-            for _, number in index.seen(*_words(data, offsets)):
+            for _, number in index.seen(Words(data, offsets)):
                 total += np.bincount(number, minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["number", "n"])
@@ -186,9 +199,10 @@ def _marker(index: Index):
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(index.items, object)
         for rows, data, offsets in blocks(batches, "text"):
-            words, first = _words(data, offsets)
-            begin, window = index.matches(words, first) if len(index.hashes) else (np.zeros(0, np.int64),) * 2
-            step = np.zeros(len(words) + 1, np.int64)
+            words = Words(data, offsets)
+            first = words.first
+            begin, window = index.matches(words) if len(index.hashes) else (np.zeros(0, np.int64),) * 2
+            step = np.zeros(len(words.starts) + 1, np.int64)
             np.add.at(step, begin, 1)
             np.add.at(step, begin + index.length[window], -1)
             hits, items = rows.column("hits"), rows.column("items")
