@@ -5,15 +5,20 @@ references by the Jensen-Shannon distance (the root of the divergence in bits, 0
 histograms of the corpus's own documents in each language, over all of them. A text is held against the closest language;
 one too short for a histogram to mean much is not judged by it.
 
-Everything is DataFrame and SQL functions over one row at a time; the only shuffle is the mean of the references, a row
-for each language and task.
+Everything is DataFrame and SQL functions over one row at a time. The counts and histograms are taken once, into a table of
+the shared folder; means and distances are read from it. The only shuffle is the mean of the references, a row for each
+language and task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 #: Frequent function words of each language.
 COMMON_WORDS = {
     "en": "the of and to in a is that it was for on are as with be".split(),
@@ -25,31 +30,54 @@ WORDS = sorted({w for words in COMMON_WORDS.values() for w in words})
 #: Least code points for the class histogram and least words for the word histogram.
 LEAST_CHARS, LEAST_WORDS = 200, 150
 #: Distances beyond which a text is rejected.
-MOST_CLASSES, MOST_WORDS = 0.26, 0.3
+MOST_CLASSES, MOST_WORDS = 0.26, 0.25
 BASE_WORDS, BASE_REPEATS = 50, 50
 
-_WHITE = r"[\\x20\\x09-\\x0D]+"
+_WHITE = r"[\\x20\\x09-\\x0D]++"
+
+
+#: One character for each common word, so that a text's common words are a short string in which each is easily counted.
+_CODES = {w: chr(0x30 + i) for i, w in enumerate(WORDS)}
+_RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
 
 
-def _counted(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """The documents with the base counts and both histograms in columns named q_*."""
-    df = documents.withColumn("q_text", F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumn("q_words", F.expr(f"array_remove(split(q_text, '{_WHITE}'), '')")).withColumn("q_n", F.size("q_words").cast("long"))
+def measure(documents: DataFrame, text: str = "text", lang: str = "lang", carry: Sequence[str] | None = None) -> DataFrame:
+    """For each row: carried (a struct of the columns to carry, all by default), lang, the code points n_points, the base
+    counts and both histograms, classes and common. No name of a document's column can clash with these."""
+    carried = F.struct(*(F.col(f"`{c}`") for c in (documents.columns if carry is None else carry)))
+    df = documents.select(carried.alias("carried"), F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    df = df.withColumn("words", F.expr(f"array_remove(split(text, '{_WHITE}'), '')")).withColumn("n", F.size("words").cast("long"))
     # each step leaves less text: what is left after the letters a-z is short, and the other classes are counted in it
-    left = "q_text"
+    left = "text"
     sizes = [F.length(left)]
-    for k, kind in enumerate(("[a-z]+", _WHITE, "[A-Z]+", "[0-9]+", "[#*$%&|<>]+", r"[\\x00-\\x7F]+")):
-        df = df.withColumn(f"q_left{k}", F.expr(f"regexp_replace({left}, '{kind}', '')"))
-        left = f"q_left{k}"
+    for k, kind in enumerate(("[a-z]++", _WHITE, "[A-Z]++", "[0-9]++", "[#*$%&|<>]++", r"[\\x00-\\x7F]++")):
+        df = df.withColumn(f"left{k}", F.expr(f"regexp_replace({left}, '{kind}', '')"))
+        left = f"left{k}"
         sizes.append(F.length(left))
-    df = df.withColumn("q_sizes", F.array(*sizes))
-    df = df.withColumn("q_classes", F.expr("concat(transform(slice(q_sizes, 1, 6), (x, i) -> x - q_sizes[i + 1]), slice(q_sizes, 7, 1))"))
-    known = ", ".join(f"'{w}'" for w in WORDS)
-    df = df.withColumn("q_known", F.expr(f"filter(q_words, w -> w in ({known}))"))
-    df = df.withColumn("q_said", F.concat(F.lit(" "), F.array_join("q_known", "  "), F.lit(" ")))
-    df = df.withColumn("q_said_size", F.length("q_said"))
-    counts = ", ".join(f"cast((q_said_size - length(replace(q_said, ' {w} ', ''))) / {len(w) + 2} as int)" for w in WORDS)
-    return df.withColumn("q_common", F.expr(f"array({counts}, cast(q_n as int) - size(q_known))"))
+    df = df.withColumn("sizes", F.array(*sizes))
+    classes = F.expr("concat(transform(slice(sizes, 1, 6), (x, i) -> x - sizes[i + 1]), slice(sizes, 7, 1))")
+    codes = F.create_map(*(F.lit(x) for pair in _CODES.items() for x in pair))
+    df = df.withColumn("known", F.expr("filter(words, w -> w in (" + ", ".join(f"'{w}'" for w in WORDS) + "))"))
+    df = df.withColumn("said", F.array_join(F.transform("known", lambda w: F.element_at(codes, w)), ""))
+    common = F.array(*(F.length("said") - F.length(F.replace("said", F.lit(c))) for c in _CODES.values()), F.col("n").cast("int") - F.length("said"))
+    lines = F.expr(r"filter(split(text, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')")
+    # 3-word windows: hash, then place; equal hashes stand together after the sort
+    df = df.withColumns({"classes": classes, "common": common, "lines": lines, "runs": F.expr("transform(slice(words, 1, greatest(0, size(words) - 2)), (w, i) -> xxhash64(w, words[i + 1], words[i + 2]))")})
+    df = df.withColumn("sorted", F.expr("CASE WHEN size(array_distinct(runs)) < size(runs) THEN array_sort(transform(runs, (h, i) -> struct(h AS h, i AS i))) ELSE cast(array() AS array<struct<h:bigint,i:int>>) END"))
+    df = df.withColumn("again", F.expr("array_sort(transform(filter(sorted, (x, k) -> x.h = get(sorted, k - 1).h OR x.h = get(sorted, k + 1).h), x -> x.i))"))
+    repeat = F.expr("aggregate(again, struct(0L AS n, -3 AS last), (a, i) -> struct(a.n + least(3, i - a.last) AS n, i AS last), a -> a.n)")
+    return df.select(
+        "carried",
+        "lang",
+        F.length("text").alias("n_points"),
+        F.col("n").alias("n_words"),
+        (F.length("text") - F.col("classes")[1]).cast("long").alias("word_chars"),
+        F.col("classes")[4].cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        repeat.alias("n_repeat_words"),
+        "classes",
+        "common",
+    )
 
 
 def _shares(column: str) -> Column:
@@ -57,14 +85,14 @@ def _shares(column: str) -> Column:
     return F.expr(f"transform({column}, x -> x / greatest(1, aggregate({column}, 0, (a, x) -> a + x)))")
 
 
-def references(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
-    """For each language of COMMON_WORDS that the documents have: the mean class and word histograms. Texts too short to
-    be judged take no part."""
-    df = documents.select(F.lit(0).alias("q_key"), F.col(text).alias("q_raw"), F.col(lang).alias("q_lang")).where(F.col("q_lang").isin(list(COMMON_WORDS)))
-    df = _counted(df, "q_key", "q_raw").where((F.col("q_n") >= LEAST_WORDS) & (F.length("q_text") >= LEAST_CHARS))
-    df = df.select("q_lang", _shares("q_classes").alias("c"), _shares("q_common").alias("w"))
+def references(measured: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
+    """For each language of COMMON_WORDS that measured rows have: the mean class and word histograms. Texts too short to be
+    judged, and those without a language, take no part; repeated rows count as often as they stand there; of an empty
+    table there are no references."""
+    df = measured.where(F.col("lang").isin(list(COMMON_WORDS)) & (F.col("n_words") >= LEAST_WORDS) & (F.col("n_points") >= LEAST_CHARS))
+    df = df.select("lang", _shares("classes").alias("c"), _shares("common").alias("w"))
     means = [F.avg(F.col("c")[i]).alias(f"c{i}") for i in range(7)] + [F.avg(F.col("w")[i]).alias(f"w{i}") for i in range(len(WORDS) + 1)]
-    return {r["q_lang"]: (list(r[1:8]), list(r[8:])) for r in df.groupBy("q_lang").agg(*means).collect()}
+    return {r["lang"]: (list(r[1:8]), list(r[8:])) for r in df.groupBy("lang").agg(*means).collect()}
 
 
 def _distance(column: str, reference: list[float]) -> str:
@@ -73,41 +101,31 @@ def _distance(column: str, reference: list[float]) -> str:
     return f"sqrt(greatest(0D, aggregate(zip_with({column}, {other}, (p, r) -> {half('p')} + {half('r')}), 0D, (a, x) -> a + x) / 2))"
 
 
-def judge(documents: DataFrame, refs: dict[str, tuple[list[float], list[float]]], key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The documents with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance,
-    word_distance (null where not judged) and kept.
+def judged(measured: DataFrame, refs: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
+    """The carried columns with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance,
+    word_distance (null where not judged) and kept. A carried column with the name of a result gives way to it."""
+    base = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEATS * F.col("n_words"))
+    df = measured.withColumns({"p_classes": _shares("classes"), "p_common": _shares("common"), "base_failed": base})
+    never = F.lit(None).cast("double")
+    if refs:
+        known = F.col("lang").isNull() | F.col("lang").isin(list(refs))
+        smallest = lambda column, k: F.expr("array_min(array(" + ", ".join(_distance(column, r[k]) for r in refs.values()) + "))")
+        classes, words = F.when(known & (F.col("n_points") >= LEAST_CHARS), smallest("p_classes", 0)), F.when(known & (F.col("n_words") >= LEAST_WORDS), smallest("p_common", 1))
+    else:
+        classes = words = never
+    df = df.withColumns({"class_distance": classes, "word_distance": words})
+    df = df.withColumn("kept", ~F.col("base_failed") & (F.coalesce("class_distance", F.lit(0.0)) <= MOST_CLASSES) & (F.coalesce("word_distance", F.lit(0.0)) <= MOST_WORDS))
+    own = [c for c in measured.schema["carried"].dataType.names if c not in _RESULTS]
+    return df.select(*(F.col(f"carried.`{c}`").alias(c) for c in own), *_RESULTS)
+
+
+def judge(documents: DataFrame, text: str = "text", lang: str = "lang", carry: Sequence[str] | None = None) -> DataFrame:
+    """The documents' columns (those in carry, all by default) with the results of judged(), against references from the
+    same documents.
 
     A null or empty text has no words and so fails the base rule. A text whose language is set but has no reference, or
     where there are no references, is judged by the base rule alone. Repeated rows repeat; an empty table gives an empty
-    one. Columns of the documents with the names of results are replaced; names that start with q_ are the operator's.
+    one. Columns of the documents with the names of results are replaced.
     """
-    df = _counted(documents, key, text)
-    df = df.withColumn("q_lines", F.expr(r"filter(split(q_text, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')"))
-    # 3-word windows: hash, then place; equal hashes stand together after the sort
-    df = df.withColumn("q_runs", F.expr("transform(slice(q_words, 1, greatest(0, size(q_words) - 2)), (w, i) -> xxhash64(w, q_words[i + 1], q_words[i + 2]))"))
-    df = df.withColumn("q_repeats", F.expr("size(array_distinct(q_runs)) < size(q_runs)"))
-    df = df.withColumn("q_sorted", F.expr("CASE WHEN q_repeats THEN array_sort(transform(q_runs, (h, i) -> struct(h AS h, i AS i))) ELSE cast(array() AS array<struct<h:bigint,i:int>>) END"))
-    df = df.withColumn("q_again", F.expr("array_sort(transform(filter(q_sorted, (x, k) -> x.h = get(q_sorted, k - 1).h OR x.h = get(q_sorted, k + 1).h), x -> x.i))"))
-    repeat = "aggregate(q_again, struct(0L AS n, -3 AS last), (a, i) -> struct(a.n + least(3, i - a.last) AS n, i AS last), a -> a.n)"
-    df = df.withColumns({"q_c": _shares("q_classes"), "q_w": _shares("q_common"), "q_repeat": F.expr(repeat)})
-    base = (F.col("q_n") < BASE_WORDS) | (100 * F.col("q_repeat") > BASE_REPEATS * F.col("q_n"))
-    known = F.col(lang).isNull() | F.col(lang).isin(list(refs)) if refs else F.lit(False)
-    if refs:
-        smallest = lambda column, k: F.expr("array_min(array(" + ", ".join(_distance(column, r[k]) for r in refs.values()) + "))")
-        df = df.withColumns({"q_dc": F.when(known & (F.length("q_text") >= LEAST_CHARS), smallest("q_c", 0)), "q_dw": F.when(known & (F.col("q_n") >= LEAST_WORDS), smallest("q_w", 1))})
-    else:
-        df = df.withColumns({"q_dc": F.lit(None).cast("double"), "q_dw": F.lit(None).cast("double")})
-    df = df.withColumns(
-        {
-            "n_words": F.col("q_n"),
-            "word_chars": (F.length("q_text") - F.col("q_classes")[1]).cast("long"),
-            "n_symbols": F.col("q_classes")[4].cast("long"),
-            "n_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long"),
-            "n_repeat_words": F.col("q_repeat"),
-            "base_failed": base,
-            "class_distance": F.col("q_dc"),
-            "word_distance": F.col("q_dw"),
-            "kept": ~base & (F.coalesce("q_dc", F.lit(0.0)) <= MOST_CLASSES) & (F.coalesce("q_dw", F.lit(0.0)) <= MOST_WORDS),
-        }
-    )
-    return df.drop(*(c for c in df.columns if c.startswith("q_") and c not in documents.columns))
+    measured = saved(measure(documents, text, lang, carry), "measures")
+    return judged(measured, references(measured))

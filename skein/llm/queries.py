@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import byte_bpe, decontaminate, jaccard, quality_model, quality_rules, suffix_dedup, token_output, toxicity, url_filter, warc
-from .common import scratch_path
+from skein.sources.scratch import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,9 +34,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    judged = quality_rules.judge(documents, quality_rules.references(documents))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
