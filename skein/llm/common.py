@@ -217,3 +217,34 @@ def may_be_member(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Flags those xxhash64 hashes (as longs) that the bitmap holds."""
     place = hashes.view(np.uint64) >> np.uint64(64 - MEMBER_BITS)
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def heads(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it; also the first."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int = 1) -> Iterator[pa.Table]:
+    """Tables of whole groups from rows sorted by the keys: one group each, or several with together so many rows."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [np.array(batch.column(k)) for k in keys]
+        cuts = heads(*columns)[1:].tolist()
+        if held and any(held[-1].column(k)[held[-1].num_rows - 1].as_py() != c[0] for k, c in zip(keys, columns, strict=True)):
+            cuts = [0, *cuts]
+        at = 0
+        for cut in cuts:
+            if count + cut - at >= rows:
+                yield pa.Table.from_batches([*held, batch.slice(at, cut - at)])
+                held, count, at = [], 0, cut
+        held.append(batch.slice(at))
+        count += batch.num_rows - at
+    if held:
+        yield pa.Table.from_batches(held)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WHITE, blocks, column_bytes, discard, distinct, lower_table, member_bits, mix, run_hashes, saved, sifted, span_hashes, spread, word_spans
+from .common import WHITE, blocks, column_bytes, discard, distinct, heads, lower_table, member_bits, mix, run_hashes, saved, sifted, span_hashes, spread, whole_groups, word_spans
 from .components import components
 
 #: Words in a shingle, and the similarity of a link in hundredths.
@@ -157,15 +157,6 @@ def _prefixes(sketch):
     return run
 
 
-def _heads(*columns: np.ndarray) -> np.ndarray:
-    """Where a row differs from the one before it; also the first."""
-    new = np.ones(len(columns[0]), bool)
-    new[1:] = False
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
-    return np.flatnonzero(new)
-
-
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Fewer edges with the same components, over small whole numbers."""
     label = np.arange(int(max(a.max(), b.max())) + 1 if len(a) else 0)
@@ -188,10 +179,10 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(token: np.ndarray, salt: np.ndarray, high: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
         by = np.lexsort((low, high, salt, token))
         token, salt, high, low = (x[by] for x in (token, salt, high, low))
-        new = _heads(token, salt, high, low)
+        new = heads(token, salt, high, low)
         token, salt, high, low = (x[new] for x in (token, salt, high, low))
         n = (low >> np.uint64(32)).astype(np.int64)
-        head = _heads(token, salt) if len(token) else np.zeros(0, np.int64)
+        head = heads(token, salt) if len(token) else np.zeros(0, np.int64)
         size = np.diff(np.append(head, len(token)))
         if not len(head):
             return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.int32()), pa.array([], pa.binary())], names)
@@ -200,7 +191,7 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tile = np.repeat(mix(np.add.reduceat(mix(high ^ mix(low)), head) + size.astype(np.uint64)), size).view(np.int64)
         at = np.flatnonzero(~wide & (np.repeat(size, size) > 1))
         at = at[np.lexsort((low[at], high[at], tile[at]))]
-        at = at[_heads(tile[at], high[at], low[at])] if len(at) else at
+        at = at[heads(tile[at], high[at], low[at])] if len(at) else at
         found = [pa.array(tile[at]), _nodes(high[at], low[at]), pa.array(n[at].astype(np.int32)), pa.nulls(len(at), pa.binary())]
         if wide.any():
             every = np.concatenate([np.stack([high[wide], low[wide]], 1), np.stack([token[wide].view(np.uint64), np.full(wide.sum(), 2**64 - 1, np.uint64)], 1)])
@@ -217,35 +208,13 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size += batch.num_rows
         if size > due:
             rows = [np.concatenate(x) for x in zip(*held, strict=True)]
-            if cut := int(_heads(rows[0], rows[1])[-1]):
+            if cut := int(heads(rows[0], rows[1])[-1]):
                 yield out(*(x[:cut] for x in rows))
             held, size = [[x[cut:].copy() for x in rows]], size - cut
             due = max(TILE_ROWS, 2 * size)  # the last token may go on for long
     yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def _whole(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int = 1) -> Iterator[pa.Table]:
-    """Tables of whole groups from rows sorted by the keys: one group each, or several with together so many rows."""
-    held: list[pa.RecordBatch] = []
-    count = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [np.array(batch.column(k)) for k in keys]
-        cuts = _heads(*columns)[1:].tolist()
-        if held and any(held[-1].column(k)[held[-1].num_rows - 1].as_py() != c[0] for k, c in zip(keys, columns, strict=True)):
-            cuts = [0, *cuts]
-        at = 0
-        for cut in cuts:
-            if count + cut - at >= rows:
-                yield pa.Table.from_batches([*held, batch.slice(at, cut - at)])
-                held, count, at = [], 0, cut
-        held.append(batch.slice(at))
-        count += batch.num_rows - at
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 class _Bitmaps:
     """Bitmaps of sets with n shingles each, in one buffer of words."""
 
@@ -298,7 +267,7 @@ class _Union:
         """Edges from each joined set to the smallest that it is joined with."""
         high, low = _numbers(nodes)
         by = np.lexsort((low, high, self.root))
-        head = _heads(self.root[by])
+        head = heads(self.root[by])
         least = np.repeat(by[head], np.diff(np.append(head, len(by))))
         far = by != least
         return pa.RecordBatch.from_arrays([nodes.take(pa.array(by[far])), nodes.take(pa.array(least[far]))], ["a", "b"])
@@ -307,7 +276,7 @@ class _Union:
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by tile. A forest over the pairs of each tile that sizes and bitmaps allow, of many tiles together:
     in round k every set looks at the k-th after it by size."""
-    for table in _whole(batches, ("tile",), TILE_ROWS // 4):
+    for table in whole_groups(batches, ("tile",), TILE_ROWS // 4):
         table = table.combine_chunks()
         tile, n = np.array(table.column("tile")), np.array(table.column("n")).astype(np.int64)
         nodes = table.column("node").combine_chunks()
@@ -339,7 +308,7 @@ _CELL = ("tile", "band", "part")
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (tile, band, part, side, node, root, shingles) come sorted by cell, (tile, band, part). In each cell the sets of
     different roots meet: side 0 each other where the cell has that side alone, else side 1 all of side 0. Gives edges between what is joined."""
-    for table in _whole(batches, _CELL):
+    for table in whole_groups(batches, _CELL):
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
         size, side = np.array([len(x) for x in sets]), np.array(table.column("side"))
         order = np.argsort(size, kind="stable")

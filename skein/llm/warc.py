@@ -1,11 +1,11 @@
 """WARC files: written by Spark's text writer, read back by boundary-chain verification.
 
-A reader sees the record magic wherever it stands, also inside payloads. Each place that looks like a record start is
-a candidate with one successor, the offset that its own Content-Length leads to. Pointer jumping from the file's start
-keeps the candidates on the chain from offset 0; the others are payload bytes. A file whose chain does not end at its
-last byte raises an error.
-
-Files hold about TARGET_BYTES each, so a task that reads one has a bounded piece in memory.
+A reader sees the record magic wherever it stands, also inside payloads. Tasks read ranges of files; each magic in them is a
+candidate with one successor, the place that its own Content-Length leads to. Pointer jumping keeps what is reachable
+from the file's start and so rejects magics in payloads: in a task over the candidates of a range, then by joins over the
+places at which chains leave ranges, then in each range from the place at which the file's chain enters it. A file whose
+chain does not end at its last byte raises an error. A payload that holds magics, over several ranges maybe, is put
+together again for its digest alone, in a stream.
 """
 
 from __future__ import annotations
@@ -19,6 +19,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import discard, member_bits, saved, sifted, spread, whole_groups
 
 #: Bytes of payload that a file holds on average.
 TARGET_BYTES = 16 << 20
@@ -27,6 +30,7 @@ REVISIT_BYTES = 1000
 MAGIC = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
 _FIELD = re.compile(rb"(?m)^([A-Za-z-]+): ?([^\r\n]*)")
+_BLANK = re.compile(rb"\r\n\r\n")
 
 
 def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", revisit_bytes: int = REVISIT_BYTES, target_bytes: int = TARGET_BYTES) -> None:
@@ -57,9 +61,9 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
             out, held = [], 0
             for k, u, d, kept_key, body in zip(*(batch.column(c).to_pylist() for c in ("key", "url", "digest", "kept", "body")), strict=True):
                 raw = unpack.decompress(body)
-                head = ["WARC/1.1", f"WARC-Type: {'response' if kept_key is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if k is None else k}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {' '.join(u.split())}", f"WARC-Payload-Digest: sha1:{d}", f"Payload-Length: {len(raw)}", "Content-Type: text/html; charset=utf-8"]
+                head = ["WARC/1.1", f"WARC-Type: {'response' if kept_key is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if k is None else k}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {' '.join(u.split())}", f"WARC-Payload-Digest: sha1:{d}"]
                 if kept_key is not None:
-                    head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{kept_key}>"]
+                    head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{kept_key}>", f"Payload-Length: {len(raw)}"]
                     raw = b""
                 out.append(("\r\n".join([*head, f"Content-Length: {len(raw)}"]) + END).encode() + raw)
                 held += len(out[-1])
@@ -68,56 +72,202 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
                     out, held = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
 
-    bodies = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary"))).mapInArrow(packed, "key long, url string, digest string, body binary")
+    digested = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary")))
+    bodies = digested.where("key is not null").mapInArrow(packed, "key long, url string, digest string, body binary")
     joined = bodies.repartition(files, "key").join(revisits.repartition(files, "key"), ["key", "digest"], "left")
-    joined.mapInArrow(records, "value string").write.option("lineSep", END).text(path)
-
-
-def record_offsets(data: memoryview | bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets of a file's records and of their successors, by pointer jumping over all candidates."""
-    found = np.array([m.start() for m in re.finditer(re.escape(MAGIC), data)], np.int64)
-    follows = np.full(len(found), -1, np.int64)
-    for i, at in enumerate(found):
-        head = re.compile(rb"\r\n\r\n").search(data, at)
-        if head and (size := re.search(rb"(?m)^Content-Length: ?(\d+)\r$", bytes(data[at : head.end()]))):
-            follows[i] = head.end() + int(size[1]) + len(END)
-    none = len(found)
-    place = np.searchsorted(found, follows)
-    jump = np.append(np.where((place < none) & (found[np.minimum(place, none - 1)] == follows), place, none) if none else [], none).astype(np.int64)
-    live = np.zeros(none + 1, bool)
-    if none and found[0] == 0:
-        live[0] = True
-    for _ in range(max(1, int(none).bit_length())):  # after round k the first 2^k records of the chain are live
-        live[jump[live]] = True
-        jump = jump[jump]
-    live = live[:none]
-    found, follows = found[live], follows[live]
-    if len(data) and (not len(found) or follows[-1] != len(data)):
-        raise ValueError(f"the chain of records ends at {follows[-1] if len(found) else 0} of {len(data)} bytes")
-    return found, follows
+    # rows without a key have nothing to be joined with and stay where they are
+    unkeyed = digested.where("key is null").mapInArrow(packed, "key long, url string, digest string, body binary").withColumn("kept", F.lit(None).cast("long"))
+    joined.select("key", "url", "digest", "kept", "body").unionAll(unkeyed.select("key", "url", "digest", "kept", "body")).mapInArrow(records, "value string").write.option("lineSep", END).text(path)
+
+
+_HEAD = "page_id long, payload_bytes long, stated string, record_type string, refers_to long"
+_PIECE = f"file string, block long, at long, size long, follows long, leaves long, digest string, {_HEAD}"
+
+
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """What stands between two magics, in its order in each split (file, block). The text source deals out ranges of files."""
+    text = spark.read.option("lineSep", MAGIC.decode()).text(path)
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("piece"))
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, memoryview]]:
+    """(file, block, at, piece); at counts the bytes from the split's first piece on."""
+    now, at = None, 0
+    for batch in batches:
+        for file, block, piece in zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), batch.column("piece"), strict=True):
+            if (file, block) != now:
+                now, at = (file, block), 0
+            data = memoryview(piece.as_buffer())
+            yield file, block, at, data
+            at += len(data) + len(MAGIC)
+
+
+def _head(data: memoryview) -> tuple[int, dict[str, str]] | None:
+    """Where a record's block begins behind the magic, and its fields; null if this is no head with a length."""
+    end = _BLANK.search(data)
+    if not end:
+        return None
+    fields = {k.decode(): v.decode("utf-8", "replace") for k, v in _FIELD.findall(data[: end.end()])}
+    return (end.end(), fields) if fields.get("Content-Length", "").isdecimal() else None
+
+
+def jumped(at: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For places at, ascending, with one successor each: the next place's number, or its own where that is none of them,
+    and the number of the last place of its chain, by pointer jumping."""
+    own = np.arange(len(at))
+    place = np.minimum(np.searchsorted(at, follows), max(len(at) - 1, 0))
+    step = np.where(at[place] == follows, place, own) if len(at) else own
+    last = step
+    for _ in range(int(len(at)).bit_length()):  # after round k a pointer leaps over 2^k records
+        last = last[last]
+    return step, last
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each piece: as if it were a record, where that record's successor would be, and where the chain from it
+    leaves this split (null if it ends inside). A record that is one piece gets the digest of its block."""
+    names = [x.split()[0] for x in _PIECE.split(", ")]
+    kinds = [pa.string(), *[pa.int64()] * 5, pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+
+    def out(rows: list[list]) -> pa.RecordBatch:
+        at = np.array([r[2] for r in rows], np.int64)
+        follows = np.array([-1 if r[4] is None else r[4] for r in rows], np.int64)
+        leaves = follows[jumped(at, follows)[1]]
+        end = rows[-1][2] + rows[-1][3] + len(MAGIC)
+        for r, x in zip(rows, leaves.tolist(), strict=True):
+            r[5] = x if x >= end else None
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    rows: list[list] = []
+    for file, block, at, data in _placed(batches):
+        if rows and rows[-1][:2] != [file, block]:
+            yield out(rows)
+            rows = []
+        row = [file, block, at, len(data), None, None, None, *[None] * 5]
+        if found := _head(data):
+            body, fields = found
+            size = int(fields["Content-Length"])
+            claim = body + size + len(END)
+            number = lambda f: int(x) if (x := fields.get(f, "").removeprefix("<urn:page:").removesuffix(">")).isdecimal() else None
+            row[4] = at + claim + len(MAGIC)
+            if claim == len(data):
+                row[6] = hashlib.sha1(data[body : body + size]).hexdigest()
+            whole = number("Payload-Length") if "Payload-Length" in fields else size
+            row[7:] = [number("WARC-Record-ID"), whole, fields.get("WARC-Payload-Digest", "").removeprefix("sha1:"), fields.get("WARC-Type"), number("WARC-Refers-To")]
+        rows.append(row)
+    if rows:
+        yield out(rows)
+
+
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of splits, sorted by (file, block, at), with the place base of the split in its file and the piece entry at
+    which the file's chain enters it, if it does. Marks the pieces on the chain; a piece inside a record of several pieces
+    gets the place of that record, or null where it began in a split before."""
+    for table in whole_groups(batches, ("file", "block")):
+        at, follows = (np.array(table.column(c).fill_null(-1)) for c in ("at", "follows"))
+        base, entry = table.column("base")[0].as_py(), table.column("entry")[0].as_py()
+        step, live = jumped(at, follows)[0], np.zeros(len(at), bool)
+        begin = len(at) if entry is None else int(np.searchsorted(at, entry))
+        live[begin : begin + 1] = True
+        jump = step
+        for _ in range(int(len(at)).bit_length()):  # after round k the first 2^k records of the chain are live
+            live[jump[live]] = True
+            jump = jump[jump]
+        head = np.maximum.accumulate(np.where(live, np.arange(len(at)), -1))
+        many = live & (follows != at + np.array(table.column("size")) + len(MAGIC))
+        inside = np.where(head < 0, base + at >= len(MAGIC), many[np.maximum(head, 0)])  # before a file's first magic is nothing
+        owner = pa.array(base + at[np.maximum(head, 0)], pa.int64(), mask=head < 0)
+        extra = {"top": pa.array(base + at), "behind": pa.array(base + follows), "live": pa.array(live), "inside": pa.array(inside), "owner": owner}
+        for name, column in extra.items():
+            table = table.append_column(name, column)
+        yield from table.drop_columns(["follows", "leaves", "base", "entry"]).combine_chunks().to_batches()
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of blocks that hold magics, from their pieces (file, owner, top, piece) in order; one batch is held."""
+    now, left, sha, out = None, 0, None, []
+    for batch in batches:
+        for file, owner, piece in zip(batch.column("file").to_pylist(), batch.column("owner").to_pylist(), batch.column("piece"), strict=True):
+            data = memoryview(piece.as_buffer())
+            if (file, owner) != now:
+                if now:
+                    out.append((*now, sha.hexdigest()))
+                body, fields = _head(data)
+                now, sha, left, data = (file, owner), hashlib.sha1(), int(fields["Content-Length"]), data[body:]
+            else:
+                sha.update(MAGIC[:left])
+                left -= min(left, len(MAGIC))
+            sha.update(data[:left])
+            left -= min(left, len(data))
+    if now:
+        out.append((*now, sha.hexdigest()))
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 3, (pa.string(), pa.int64(), pa.string()), strict=True)], ["file", "owner", "found"])
+
+
+def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in _placed(batches):
+        held.append(row)
+        size += len(row[3])
+        if size > 4 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["file", "block", "at", "piece"])
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["file", "block", "at", "piece"])
+
+
+def _entries(pieces: DataFrame) -> DataFrame:
+    """(file, block, entry): the pieces at which each file's chain, from its start on, enters its splits. Pointers lead from
+    a split's possible entries to where the chain from them leaves it; they are doubled until none can be new."""
+    exits = pieces.where("leaves is not null").select("file", F.col("leaves").alias("to")).distinct()
+    starts = pieces.where(f"top = {len(MAGIC)}").select("file", F.col("top").alias("to")).distinct()
+    wanted = exits.unionAll(starts).distinct().select("file", F.col("to").alias("top"))
+    jump = saved(pieces.select("file", "block", "at", "top", F.col("leaves").alias("to")).join(wanted, ["file", "top"]).withColumn("live", F.col("top") == len(MAGIC)), "jumps")
+    most = jump.groupBy("file").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(max(0, most - 1).bit_length()):
+        reached = jump.where("live").select("file", F.col("to").alias("top")).distinct().withColumn("hit", F.lit(True))
+        ahead = jump.select("file", F.col("top").alias("to"), F.col("to").alias("beyond"))
+        # what has nothing ahead stays where it is: at the file's end, or dead
+        after = jump.join(reached, ["file", "top"], "left").join(ahead, ["file", "to"], "left")
+        after = saved(after.select("file", "block", "at", "top", F.coalesce("beyond", "to").alias("to"), (F.col("live") | F.coalesce("hit", F.lit(False))).alias("live")), "jumps")
+        discard(jump)
+        jump = after
+    return jump.where("live").select("file", "block", F.col("at").alias("entry"))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Of each record: page_id, payload_bytes, payload_digest, record_type and refers_to. The digest of a response is
-    computed from its block and must equal the one in its header."""
+    computed from its block and must equal the one in its header.
 
-    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for cell in batch.column("content"):
-                data, rows = memoryview(cell.as_buffer()), []
-                for at, end in zip(*record_offsets(data), strict=True):
-                    body = re.compile(rb"\r\n\r\n").search(data, at).end()
-                    head = {k.decode(): v.decode() for k, v in _FIELD.findall(bytes(data[at:body]))}
-                    digest, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"]
-                    size = int(head["Payload-Length"])
-                    if kind == "response":
-                        size = int(end) - len(END) - body
-                        if hashlib.sha1(data[body : body + size]).hexdigest() != digest:
-                            raise ValueError(f"the payload at {at} does not have the digest in its header")
-                    page, refers = (int(x) if (x := head.get(f, "").removeprefix("<urn:page:").removesuffix(">")) else None for f in ("WARC-Record-ID", "WARC-Refers-To"))
-                    rows.append((page, size, digest, kind, refers))
-                columns = list(zip(*rows, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(parsed, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    A file whose chain does not begin at its first byte, or does not end at its last, raises an error; so does a wrong
+    digest, once the rows are read. A field that is missing is null. Repeated records repeat; a folder without records gives no
+    rows. Files may be of any size: their ranges are read by different tasks.
+    """
+    size = len(MAGIC)
+    pieces = saved(_pieces(spark, path).mapInArrow(_candidates, _PIECE), "pieces")
+    splits = pieces.groupBy("file", "block").agg((F.max(F.col("at") + F.col("size")) + size).alias("bytes"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = saved(splits.withColumn("base", F.coalesce(F.sum("bytes").over(before), F.lit(0))), "splits")
+    based = pieces.join(splits.select("file", "block", "base"), ["file", "block"])
+    entries = _entries(based.select("file", "block", "at", (F.col("base") + F.col("at")).alias("top"), (F.col("base") + F.col("leaves")).alias("leaves")))
+    order = ["file", "block", "at"]
+    rows = based.join(entries, ["file", "block"], "left").repartition(spread(pieces), "file", "block").sortWithinPartitions(*order)
+    schema = f"file string, block long, at long, size long, digest string, {_HEAD}, top long, behind long, live boolean, inside boolean, owner long"
+    chain = saved(rows.select(*[x.split()[0] for x in _PIECE.split(", ")], "base", "entry").mapInArrow(_chain, schema), "chain")
+    records = chain.where("live")
+    ends = splits.groupBy("file").agg(F.sum("bytes").alias("total")).join(records.groupBy("file").agg(F.max("behind").alias("reached")), "file", "left")
+    for file, total, reached in ends.where(f"coalesce(reached, 0) <> total and total > {size}").limit(1).collect():
+        raise ValueError(f"the chain of records ends at {(reached or size) - size} of {total - size} bytes of {file}")
+    discard(pieces, splits)
+    inside = chain.where("inside")
+    if inside.limit(1).count():  # blocks with magics in them: their pieces, and no others, are brought together
+        owned = inside.select(*order, "top", F.last("owner", ignorenulls=True).over(Window.partitionBy("file").orderBy("top")).alias("owner"))
+        key = F.xxhash64(*order)
+        wanted = spark.sparkContext.broadcast(member_bits(owned.select(key.alias("key"))))
+        again = _pieces(spark, path).mapInArrow(_located, "file string, block long, at long, piece binary").withColumn("place", F.xxhash64(key))
+        parts = sifted(again, "place", wanted).join(owned, order).select("file", "owner", "top", "piece")
+        found = parts.repartition(spread(chain), "file", "owner").sortWithinPartitions("file", "owner", "top").mapInArrow(_digests, "file string, owner long, found string")
+        records = records.drop("owner").join(found.withColumnRenamed("owner", "top"), ["file", "top"], "left").withColumn("digest", F.coalesce("found", "digest"))
+    wrong = F.raise_error(F.concat(F.lit("the payload at "), (F.col("top") - size).cast("string"), F.lit(" does not have the digest in its header")))
+    digest = F.when((F.col("record_type") == "response") & ~F.col("digest").eqNullSafe(F.col("stated")), wrong).otherwise(F.col("stated"))
+    return records.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
