@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blocks, byte_keys, column_bytes, mix, saved, span_hashes, spread
+from .common import blocks, byte_keys, column_bytes, discard, member_bits, mix, saved, sifted, span_hashes, spread
 
 WINDOW, SEED = 100, 32
 #: Different stretches around one seed that a shard takes, and digests in a merged range.
@@ -332,19 +332,25 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     found = saved(found.where("gone or open"), "stretches")
     split = (found.where("open").agg(F.max("kinds")).first()[0] or 0) > SHARD_STRETCHES
 
-    n = spread(documents)
-    dealt = rows.repartition(n, "doc", "th")
+    # a text crosses a shuffle only if a bitmap of ids says that something is cut out of it, first for shards, then for good
+    n, context = spread(documents), documents.sparkSession.sparkContext
+    placed = rows.withColumn("place", F.xxhash64("doc"))
     opened = found.where("open").select("doc", "th", "h", F.ceil(F.col("kinds") / F.lit(SHARD_STRETCHES)).cast("int").alias("parts"), "lo", "n")
     opened = opened.withColumn("salt", F.expr("cast(pmod(xxhash64(doc, th, lo), parts) as int)"))
     lists = opened.groupBy("doc", "th").agg(F.collect_list(F.struct("h", "salt", "parts", "lo", "n")).alias("stretches"))
-    # rows equal in key and text would cut the same stretches twice
-    cut = dealt.select("doc", "th", "text").join(lists, ["doc", "th"]).mapInArrow(_cut, "h long, salt int, parts int, doc long, th int, lo int, n int, bytes binary")
-    shards = cut.repartition(n, "h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_shards, _FOUND)
+    # rows equal in key and text cut the same stretches twice
+    some = sifted(placed.select("doc", "th", "text", "place"), "place", context.broadcast(member_bits(opened.select("doc"))))
+    cut = some.join(lists, ["doc", "th"]).mapInArrow(_cut, "h long, salt int, parts int, doc long, th int, lo int, n int, bytes binary")
+    # both the removed runs and the pieces of split seeds are read from it, so that no suffix array is built twice
+    shards = saved(cut.repartition(n, "h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_shards, _FOUND), "shards")
     gone = found.where("gone").select("doc", "th", "lo", "size").unionAll(shards.where("lo is not null").select("doc", "th", "lo", "size"))
     if split:
         pieces = shards.where("h is not null").select("h", "part", "digests", "docs", "ths", "los")
         gone = gone.unionAll(pieces.groupBy("h", "part").applyInArrow(_merge_ranges, "doc long, th int, lo int, size int"))
-    runs = gone.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "size")).alias("runs"))
+    lost = saved(gone, "lost")
+    discard(found, shards)
+    runs = lost.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "size")).alias("runs"))
+    touched = context.broadcast(member_bits(lost.select("doc")))
 
     carried = [a for c, a in inner.items() if c != text]
 
@@ -367,7 +373,10 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays(out, [*carried, "text", "removed", "kept"])
 
     kinds = [f"{a} {rows.schema[a].dataType.simpleString()}" for a in carried]
-    whole = dealt.join(runs, ["doc", "th"], "left").select(*carried, "text", "runs").mapInArrow(remaining, ", ".join([*kinds, "text string", "removed array<struct<start:int,end:int>>", "kept binary"]))
+    columns = [*carried, "text", "runs"]
+    joined = sifted(placed, "place", touched).join(runs, ["doc", "th"], "left").select(columns)
+    others = sifted(placed, "place", touched, inside=False).withColumn("runs", F.lit(None).cast(runs.schema["runs"].dataType)).select(columns)
+    whole = joined.unionAll(others).mapInArrow(remaining, ", ".join([*kinds, "text string", "removed array<struct<start:int,end:int>>", "kept binary"]))
     return whole.select(
         *(F.col("text" if c == text else a).alias(c) for c, a in inner.items()),
         F.octet_length("text").cast("long").alias("n_bytes"),
