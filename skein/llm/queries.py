@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
-from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from skein.sources.scratch import scratch_path
 
 from . import byte_bpe, decontaminate, jaccard, quality_model, quality_rules, suffix_dedup, token_output, toxicity, url_filter, warc
-from skein.sources.scratch import scratch_path
+from .oracles import oracle_sql as oracle_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,7 +84,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_byte_bpe, op4_suffix_dedup, op5_warc, op6_jaccard_join, op7_url_filter, op8_quality_model, op9_decontaminate, op10_token_output, pipeline)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}

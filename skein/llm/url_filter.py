@@ -6,6 +6,7 @@ the whole canonical URL, `.` + host + path, so `*.net/es/**` fits the host net a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -27,6 +28,11 @@ RULES: tuple[tuple[str, str, str], ...] = (
 BLOCKED_GLOBS: tuple[str, ...] = ("**/login**", "**/wp-admin/**", "**/cgi-bin/**", "**.exe", "**.zip", "*.casino*/**", "*.porn*/**")
 
 
+def parts(glob: str) -> list[str]:
+    """A glob's wildcards and what stands between them."""
+    return [x for x in re.split(r"(\*\*|\*)", glob) if x]
+
+
 class GlobSet:
     """Masks of a set of globs. State j of a glob means that its first j literals are read; a wildcard is a loop on its state."""
 

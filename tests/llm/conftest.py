@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import random
 
 import pyarrow as pa
@@ -11,6 +12,15 @@ import pytest
 SMALL = "/root/testdata/sf0.001"
 
 
+def morse(n: int) -> str:
+    """The Thue-Morse word of a and b: sums of powers modulo 2^64 don't tell it from its complement."""
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def other(text: str) -> str:
+    return text.translate(str.maketrans("ab", "ba"))
+
+
 def odd_texts() -> list[str | None]:
     rnd = random.Random(7)
     vocabulary = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8))) for _ in range(300)]
@@ -22,6 +32,7 @@ def odd_texts() -> list[str | None]:
     twins = [" ".join(base), " ".join(near), " ".join([*near[:-1], "other"])]
     return [
         None, "", " ", "\n\t \u00a0", "one", "One two", "one two three four", "\x1c\x1f a\x1cb \x85 c", "ÄÖÜ ß İı ﬁ Ⅷ \u2003 x", "🎉🎉 👩‍👩‍👧 e\u0301", "\ufffd\u0000nul",
+        morse(1024), other(morse(1024)), morse(2048), other(morse(2048)), "x " + morse(1024) + " y", "x " + other(morse(1024)) + " y",
         say(30) + " " + passage + " " + say(30), passage, passage + passage, say(10) + passage[:150], "a" * 5000, "ab" * 3000 + " " + "ab" * 3000, "the of and " * 400,
         *twins, twins[0], twins[0].upper(), say(30000), "x y\n" * 3000, "  lead and trail  ", "don't we'll I'M\r\n\r\n1234567 $$%&|<> ...", "<|endoftext|> <|startoftext|> </w>", *[say(70)] * 3,
     ]
@@ -91,6 +102,7 @@ def ask(spark, odd):
     """The rows of a query over the odd tables, by their id."""
     from skein.llm.queries import queries
 
+    @functools.cache
     def run(name: str, key: str = "doc_id", path: str = odd) -> dict:
         rows = [r.asDict() for r in queries()[name](spark, path).collect()]
         assert len({r[key] for r in rows}) == len(rows)
