@@ -28,7 +28,7 @@ from .span_ids import SpanIds, gather
 #: Bytes up to which merges are applied to a piece directly, and ids up to which bytes are put together directly.
 LEAF_BYTES, LEAF_IDS = 8, 256
 #: Encoded pieces that a worker keeps, for new units made of known pieces.
-CACHE_PIECES = 100_000
+CACHE_PIECES = 50_000
 
 
 class TreeBpe:
@@ -40,7 +40,7 @@ class TreeBpe:
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
-        self.stays = functools.lru_cache(maxsize=1 << 18)(self._stays)
+        self.stays = functools.lru_cache(maxsize=1 << 16)(self._stays)
 
     def _merged(self, raw: bytes) -> list[int]:
         """The lowest-ranked pair of neighbours merges, the leftmost of equals, until none has a rank."""

@@ -191,26 +191,29 @@ def distinct(values: np.ndarray) -> np.ndarray:
 MEMBER_BITS = 25
 
 
-def member_bits(keys: DataFrame) -> np.ndarray:
-    """A bitmap of MEMBER_BITS over the hashes of a column of longs, put together by tasks. What it says is missing is not
-    there; with more keys it says so more rarely."""
-    place = F.shiftrightunsigned(F.xxhash64(keys.columns[0]), 64 - MEMBER_BITS)
-    words = keys.select(F.shiftright(place, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64({keys.columns[0]}), {64 - MEMBER_BITS}) & 63 as int))").alias("bits"))
+def member_bits(places: DataFrame) -> np.ndarray:
+    """A bitmap of MEMBER_BITS over a column of 64-bit hashes, put together by tasks. What it says is missing is not there;
+    with more keys it says so more rarely."""
+    place = F.col(places.columns[0])
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({places.columns[0]}, {64 - MEMBER_BITS}) & 63 as int))")
+    words = places.select(F.shiftrightunsigned(place, 64 - MEMBER_BITS + 6).cast("int").alias("word"), bit.alias("bits"))
     found = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(1 << MEMBER_BITS - 6, np.uint64)
     out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return out
 
 
-def sifted(rows: DataFrame, place: str, wanted: Broadcast, inside: bool = True) -> DataFrame:
-    """The rows whose key's xxhash64, in the column place, the bitmap holds; or those that it does not hold. Nothing is
-    shuffled. With far more keys than bits all rows are taken for inside, which costs time alone."""
+def sift(batches: Iterator[pa.RecordBatch], wanted: Broadcast, inside: bool = True) -> Iterator[pa.RecordBatch]:
+    """The rows whose hash in the column place the bitmap holds; or those that it does not hold. With far more keys than
+    bits all rows are taken for inside, which costs time alone."""
+    for batch in batches:
+        yield batch.filter(pa.array(may_be_member(wanted.value, np.array(batch.column("place"))) == inside))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(may_be_member(wanted.value, np.array(batch.column(place))) == inside))
 
-    return rows.mapInArrow(run, rows.schema)
+def sifted(rows: DataFrame, wanted: Broadcast) -> DataFrame:
+    """The rows inside, for a shuffle. Steps that go on in Python call sift themselves, as each mapInArrow of a stage has a
+    process of its own."""
+    return rows.mapInArrow(lambda batches: sift(batches, wanted), rows.schema)
 
 
 def may_be_member(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:

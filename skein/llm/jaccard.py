@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WHITE, blocks, column_bytes, discard, distinct, heads, lower_table, member_bits, mix, run_hashes, saved, sifted, span_hashes, spread, whole_groups, word_spans
+from .common import WHITE, blocks, column_bytes, discard, distinct, heads, lower_table, member_bits, mix, run_hashes, saved, sift, span_hashes, spread, whole_groups, word_spans
 from .components import components
 
 #: Words in a shingle, and the similarity of a link in hundredths.
@@ -296,10 +296,15 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield union.stars(nodes.take(pa.array(order)))
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, data, offsets in blocks(batches, "text"):
-        sets = [x for x in shingle_sets(data, offsets) if len(x)]
-        yield pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
+def _sets(wanted):
+    """The sets of documents that may be wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, offsets in blocks(sift(batches, wanted), "text"):
+            sets = [x for x in shingle_sets(data, offsets) if len(x)]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
+
+    return run
 
 
 _CELL = ("tile", "band", "part")
@@ -411,8 +416,8 @@ def link_documents(documents: DataFrame, key: str = "doc_id", text: str = "text"
     discard(tiles, trees)
     # texts are read again rather than shuffled: a bitmap of the wanted ids leaves out nearly all others, the join the rest.
     # Rows may share an id and not a text, so each set is named by its own text.
-    wanted = spark.sparkContext.broadcast(member_bits(groups.select("doc")))
-    again = sifted(rows.where("doc is not null").select(F.xxhash64("doc").alias("place"), "text"), "place", wanted).mapInArrow(_sets, "node binary, shingles binary")
+    wanted = spark.sparkContext.broadcast(member_bits(groups.select(F.xxhash64("doc").alias("place"))))
+    again = rows.where("doc is not null").select(F.xxhash64("doc").alias("place"), "text").mapInArrow(_sets(wanted), "node binary, shingles binary")
     sets = saved(again.join(groups.select("node"), "node", "left_semi").repartition(parts, "node").dropDuplicates(["node"]), "sets")
     own = groups.select("tile", "band", F.lit(0).cast("long").alias("part"), F.lit(0).alias("side"), "node", F.lit(None).cast("binary").alias("root"))
     first = groups.where("band > 0").groupBy("tile", "band").agg(F.max_by("node", F.struct("n", "node")).alias("node"))

@@ -80,9 +80,9 @@ def measure(documents: DataFrame, text: str = "text", lang: str = "lang", carry:
     )
 
 
-def _shares(column: str) -> Column:
+def _shares(column: str, total: str) -> Column:
     """A histogram as shares of its sum; all 0 if that is 0."""
-    return F.expr(f"transform({column}, x -> x / greatest(1, aggregate({column}, 0, (a, x) -> a + x)))")
+    return F.transform(column, lambda x: x / F.greatest(F.lit(1), F.col(total)))
 
 
 def references(measured: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
@@ -90,7 +90,7 @@ def references(measured: DataFrame) -> dict[str, tuple[list[float], list[float]]
     judged, and those without a language, take no part; repeated rows count as often as they stand there; of an empty
     table there are no references."""
     df = measured.where(F.col("lang").isin(list(COMMON_WORDS)) & (F.col("n_words") >= LEAST_WORDS) & (F.col("n_points") >= LEAST_CHARS))
-    df = df.select("lang", _shares("classes").alias("c"), _shares("common").alias("w"))
+    df = df.select("lang", _shares("classes", "n_points").alias("c"), _shares("common", "n_words").alias("w"))
     means = [F.avg(F.col("c")[i]).alias(f"c{i}") for i in range(7)] + [F.avg(F.col("w")[i]).alias(f"w{i}") for i in range(len(WORDS) + 1)]
     return {r["lang"]: (list(r[1:8]), list(r[8:])) for r in df.groupBy("lang").agg(*means).collect()}
 
@@ -105,7 +105,7 @@ def judged(measured: DataFrame, refs: dict[str, tuple[list[float], list[float]]]
     """The carried columns with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance,
     word_distance (null where not judged) and kept. A carried column with the name of a result gives way to it."""
     base = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEATS * F.col("n_words"))
-    df = measured.withColumns({"p_classes": _shares("classes"), "p_common": _shares("common"), "base_failed": base})
+    df = measured.withColumns({"p_classes": _shares("classes", "n_points"), "p_common": _shares("common", "n_words"), "base_failed": base})
     never = F.lit(None).cast("double")
     if refs:
         known = F.col("lang").isNull() | F.col("lang").isin(list(refs))

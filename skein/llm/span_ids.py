@@ -9,7 +9,7 @@ import numpy as np
 from .common import equal_spans, span_hashes
 
 #: Distinct spans that a worker keeps; those met first stay, which are the frequent ones.
-CAPACITY = 1_000_000
+CAPACITY = 1 << 18
 
 
 class SpanIds:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import blocks, byte_keys, column_bytes, discard, member_bits, mix, saved, sifted, span_hashes, spread
+from .common import blocks, byte_keys, column_bytes, discard, member_bits, mix, saved, sift, sifted, span_hashes, spread
 
 WINDOW, SEED = 100, 32
 #: Different stretches around one seed that a shard takes, and digests in a merged range.
@@ -339,7 +339,7 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     opened = opened.withColumn("salt", F.expr("cast(pmod(xxhash64(doc, th, lo), parts) as int)"))
     lists = opened.groupBy("doc", "th").agg(F.collect_list(F.struct("h", "salt", "parts", "lo", "n")).alias("stretches"))
     # rows equal in key and text cut the same stretches twice
-    some = sifted(placed.select("doc", "th", "text", "place"), "place", context.broadcast(member_bits(opened.select("doc"))))
+    some = sifted(placed.select("doc", "th", "text", "place"), context.broadcast(member_bits(opened.select(F.xxhash64("doc").alias("place")))))
     cut = some.join(lists, ["doc", "th"]).mapInArrow(_cut, "h long, salt int, parts int, doc long, th int, lo int, n int, bytes binary")
     # both the removed runs and the pieces of split seeds are read from it, so that no suffix array is built twice
     shards = saved(cut.repartition(n, "h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_shards, _FOUND), "shards")
@@ -350,7 +350,7 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     lost = saved(gone, "lost")
     discard(found, shards)
     runs = lost.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "size")).alias("runs"))
-    touched = context.broadcast(member_bits(lost.select("doc")))
+    touched = context.broadcast(member_bits(lost.select(F.xxhash64("doc").alias("place"))))
 
     carried = [a for c, a in inner.items() if c != text]
 
@@ -374,9 +374,10 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
 
     kinds = [f"{a} {rows.schema[a].dataType.simpleString()}" for a in carried]
     columns = [*carried, "text", "runs"]
-    joined = sifted(placed, "place", touched).join(runs, ["doc", "th"], "left").select(columns)
-    others = sifted(placed, "place", touched, inside=False).withColumn("runs", F.lit(None).cast(runs.schema["runs"].dataType)).select(columns)
-    whole = joined.unionAll(others).mapInArrow(remaining, ", ".join([*kinds, "text string", "removed array<struct<start:int,end:int>>", "kept binary"]))
+    schema = ", ".join([*kinds, "text string", "removed array<struct<start:int,end:int>>", "kept binary"])
+    joined = sifted(placed, touched).join(runs, ["doc", "th"], "left").select(columns).mapInArrow(remaining, schema)
+    others = placed.withColumn("runs", F.lit(None).cast(runs.schema["runs"].dataType)).select(*columns, "place")
+    whole = joined.unionAll(others.mapInArrow(lambda batches: remaining(sift(batches, touched, inside=False)), schema))
     return whole.select(
         *(F.col("text" if c == text else a).alias(c) for c, a in inner.items()),
         F.octet_length("text").cast("long").alias("n_bytes"),

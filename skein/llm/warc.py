@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, member_bits, saved, sifted, spread, whole_groups
+from .common import discard, may_be_member, member_bits, saved, spread, whole_groups
 
 #: Bytes of payload that a file holds on average.
 TARGET_BYTES = 16 << 20
@@ -177,7 +177,9 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = live & (follows != at + np.array(table.column("size")) + len(MAGIC))
         inside = np.where(head < 0, base + at >= len(MAGIC), many[np.maximum(head, 0)])  # before a file's first magic is nothing
         owner = pa.array(base + at[np.maximum(head, 0)], pa.int64(), mask=head < 0)
-        extra = {"top": pa.array(base + at), "behind": pa.array(base + follows), "live": pa.array(live), "inside": pa.array(inside), "owner": owner}
+        file, block = table.column("file")[0].as_py(), table.column("block")[0].as_py()
+        place = pa.array([_place(file, block, x) if i else None for x, i in zip(at.tolist(), inside.tolist(), strict=True)], pa.int64())
+        extra = {"top": pa.array(base + at), "behind": pa.array(base + follows), "live": pa.array(live), "inside": pa.array(inside), "owner": owner, "place": place}
         for name, column in extra.items():
             table = table.append_column(name, column)
         yield from table.drop_columns(["follows", "leaves", "base", "entry"]).combine_chunks().to_batches()
@@ -204,16 +206,29 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 3, (pa.string(), pa.int64(), pa.string()), strict=True)], ["file", "owner", "found"])
 
 
-def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for row in _placed(batches):
-        held.append(row)
-        size += len(row[3])
-        if size > 4 << 20:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["file", "block", "at", "piece"])
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["file", "block", "at", "piece"])
+def _place(file: str, block: int, at: int) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{file} {block} {at}".encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _located(wanted):
+    """The pieces that may be wanted, about 4 MB at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*held, strict=True)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["file", "block", "at", "piece"])
+
+        held, size = [], 0
+        for row in _placed(batches):
+            if may_be_member(wanted.value, np.array([_place(*row[:3])]))[0]:
+                held.append(row)
+                size += len(row[3])
+            if size > 4 << 20:
+                yield out()
+                held, size = [], 0
+        yield out()
+
+    return run
 
 
 def _entries(pieces: DataFrame) -> DataFrame:
@@ -252,7 +267,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     entries = _entries(based.select("file", "block", "at", (F.col("base") + F.col("at")).alias("top"), (F.col("base") + F.col("leaves")).alias("leaves")))
     order = ["file", "block", "at"]
     rows = based.join(entries, ["file", "block"], "left").repartition(spread(pieces), "file", "block").sortWithinPartitions(*order)
-    schema = f"file string, block long, at long, size long, digest string, {_HEAD}, top long, behind long, live boolean, inside boolean, owner long"
+    schema = f"file string, block long, at long, size long, digest string, {_HEAD}, top long, behind long, live boolean, inside boolean, owner long, place long"
     chain = saved(rows.select(*[x.split()[0] for x in _PIECE.split(", ")], "base", "entry").mapInArrow(_chain, schema), "chain")
     records = chain.where("live")
     ends = splits.groupBy("file").agg(F.sum("bytes").alias("total")).join(records.groupBy("file").agg(F.max("behind").alias("reached")), "file", "left")
@@ -262,10 +277,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     inside = chain.where("inside")
     if inside.limit(1).count():  # blocks with magics in them: their pieces, and no others, are brought together
         owned = inside.select(*order, "top", F.last("owner", ignorenulls=True).over(Window.partitionBy("file").orderBy("top")).alias("owner"))
-        key = F.xxhash64(*order)
-        wanted = spark.sparkContext.broadcast(member_bits(owned.select(key.alias("key"))))
-        again = _pieces(spark, path).mapInArrow(_located, "file string, block long, at long, piece binary").withColumn("place", F.xxhash64(key))
-        parts = sifted(again, "place", wanted).join(owned, order).select("file", "owner", "top", "piece")
+        wanted = spark.sparkContext.broadcast(member_bits(inside.select("place")))
+        again = _pieces(spark, path).mapInArrow(_located(wanted), "file string, block long, at long, piece binary")
+        parts = again.join(owned, order).select("file", "owner", "top", "piece")
         found = parts.repartition(spread(chain), "file", "owner").sortWithinPartitions("file", "owner", "top").mapInArrow(_digests, "file string, owner long, found string")
         records = records.drop("owner").join(found.withColumnRenamed("owner", "top"), ["file", "top"], "left").withColumn("digest", F.coalesce("found", "digest"))
     wrong = F.raise_error(F.concat(F.lit("the payload at "), (F.col("top") - size).cast("string"), F.lit(" does not have the digest in its header")))
