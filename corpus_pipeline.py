@@ -29,7 +29,10 @@ def _back(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     whole = docs.select(F.struct("*").alias("document_rest"), "text", "lang")
-    return _back(quality_rules.judge(whole, carry=["document_rest"]).where("kept"), docs.columns)
+    judged = quality_rules.judge(whole, carry=["document_rest"])
+    # a filter on kept itself would be pushed below its steps, each of which the optimiser would then write out again
+    decided = judged.select("document_rest", F.explode(F.array("kept")).alias("stays")).where("stays")
+    return _back(decided, docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
