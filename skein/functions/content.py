@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Commands of the prompt, and labels of the two message types that are shown.
+#: Commands of the prompt, labels of the two message types that are shown, and the pattern of front matter.
 COMMANDS = ("/exit", "/quit", "/help", "/session", "/reset")
 SPEAKERS = {"human": "you>", "ai": "saga>"}
+FRONT_MATTER = r"(?s)\A---\n(.*?)\n---\n"
+#: ValueError and the exceptions of the standard library below it that tools meet, and what a model is told.
+VALUE_ERRORS = ("ValueError", "UnicodeError", "UnicodeDecodeError", "UnicodeEncodeError", "UnicodeTranslateError", "JSONDecodeError")
+FAILED = ("Tool `", "` failed: ", ". Fix the input and retry.")
 
 _EDGE_SPACE = r"(?U)\A[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+\z"
 
@@ -65,24 +69,29 @@ def command(text: Column) -> Column:
     return F.when(bare.isin(*COMMANDS), bare).when(bare != "", F.lit("message"))
 
 
-def tool_error(tool: Column, error: Column) -> Column:
-    """What a model is told of a tool's ValueError, by name only; null for errors that propagate."""
-    return F.when(error == "ValueError", F.concat(F.lit("Tool `"), tool, F.lit("` failed: "), error, F.lit(". Fix the input and retry.")))
+def tool_error(tool: Column, error: Column, bases: Column | None = None) -> Column:
+    """What a model is told of a tool's ValueError, by name only; null for errors that propagate. An error counts if it or
+    one of its bases (an array of class names, where they were logged) is a ValueError."""
+    told = error.isin(*VALUE_ERRORS)
+    if bases is not None:
+        told = told | F.coalesce(F.arrays_overlap(bases, F.array(*map(F.lit, VALUE_ERRORS))), F.lit(False))
+    return F.when(told, F.concat(F.lit(FAILED[0]), tool, F.lit(FAILED[1]), error, F.lit(FAILED[2])))
 
 
 def strip_front_matter(text: Column) -> Column:
     """Markdown without its leading `---` block, stripped. The closing fence needs a line end after it."""
-    return strip(F.regexp_replace(text, F.lit(r"(?s)\A---\n.*?\n---\n"), F.lit("")))
+    return strip(F.regexp_replace(text, F.lit(FRONT_MATTER), F.lit("")))
 
 
 def front_matter_field(text: Column, name: str) -> Column:
     """One field of the front matter, "" where it is missing."""
-    return F.regexp_extract(F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---\n", 1), rf"(?m)^{name}: (.*)$", 1)
+    return F.regexp_extract(F.regexp_extract(text, FRONT_MATTER, 1), rf"(?m)^{name}: (.*)$", 1)
 
 
 def utc_text(epoch_seconds: Column) -> Column:
-    """Epoch seconds as `YYYY-MM-DD HH:MM:SS` in the session's zone, which is to be UTC."""
-    return F.date_format(F.timestamp_seconds(epoch_seconds), "yyyy-MM-dd HH:mm:ss")
+    """Epoch seconds as `YYYY-MM-DD HH:MM:SS` in UTC, whatever the session's zone."""
+    since = F.make_dt_interval(secs=epoch_seconds.cast("decimal(18,6)"))
+    return F.substring((F.expr("timestamp_ntz'1970-01-01 00:00:00'") + since).cast("string"), 1, 19)
 
 
 def uuid7_millis(identifier: Column) -> Column:

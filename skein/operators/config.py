@@ -30,10 +30,11 @@ def effective(settings: DataFrame) -> DataFrame:
 
 
 def routed(paths: DataFrame, routes: DataFrame) -> DataFrame:
-    """The backend of each path: that of the longest mounted prefix, else `default`. A path's own prefixes, one for each
-    slash, are joined by equality; the longest rule is ours, the surveyed tree does not have it."""
-    prefixes = F.expr("transform(filter(sequence(1, length(path)), i -> substr(path, i, 1) = '/'), i -> substr(path, 1, i))")
-    found = paths.select("path", F.explode(prefixes).alias("prefix")).join(routes, "prefix").groupBy("path").agg(F.max_by("backend", F.length("prefix")).alias("backend"))
+    """The backend of each path: that of the longest mounted prefix, else `default`. A path's own prefixes are joined by
+    equality; the longest rule is ours, the surveyed tree does not have it. Of routes with one prefix the greatest backend
+    wins; a null path has none."""
+    prefixes = F.expr("transform(sequence(1, length(path)), i -> substr(path, 1, i))")
+    found = paths.where("path <> ''").distinct().select("path", F.explode(prefixes).alias("prefix")).join(routes, "prefix").groupBy("path").agg(F.max_by("backend", F.struct(F.length("prefix"), "backend")).alias("backend"))
     return paths.join(found, "path", "left").select("path", F.coalesce("backend", F.lit("default")).alias("backend"))
 
 

@@ -23,8 +23,11 @@ def read_lines(files: DataFrame, offset: int = 0, limit: int = LINES, path: str
 
 
 def grep(files: DataFrame, pattern: str, path: str = "path", text: str = "text") -> DataFrame:
-    """Lines that the pattern is found in."""
-    return lines(files.where(F.col(text).rlike(f"(?m){pattern}")), path, text).where(F.col("content").rlike(pattern))
+    """Lines that the pattern is found in. Whole texts are filtered first, unless the pattern has groups with options or looks
+    for the ends of its input, which lines have and texts have not."""
+    if not re.search(r"\(\?|\\[AzZG]", pattern):
+        files = files.where(F.col(text).rlike(f"(?m){pattern}"))
+    return lines(files, path, text).where(F.col("content").rlike(pattern))
 
 
 def ls(files: DataFrame, directory: str, path: str = "path") -> DataFrame:
@@ -46,15 +49,22 @@ def glob(files: DataFrame, pattern: str, path: str = "path") -> DataFrame:
 
 
 def latest_writes(writes: DataFrame) -> DataFrame:
-    """The text of each path after all its writes: the last one wins."""
-    return writes.groupBy("path").agg(F.max_by("text", "seq").alias("text"))
+    """The text of each path after all its writes: the last one wins, of several at one seq the greatest text."""
+    return writes.groupBy("path").agg(F.max_by("text", F.struct("seq", "text")).alias("text"))
 
 
 def edit(files: DataFrame, edits: DataFrame) -> DataFrame:
-    """Exact replacement: each edit (path, old, new) of its path, all occurrences; edited says if old was there."""
-    joined = files.join(edits, "path", "left")
-    found = F.coalesce((F.col("old") != "") & F.contains("text", "old"), F.lit(False))
-    return joined.select("path", F.when(found, F.replace("text", F.col("old"), F.col("new"))).otherwise(F.col("text")).alias("text"), found.alias("edited"))
+    """Exact replacement: the edits (path, seq, old, new) of a path one after the other, by seq and then by old and new, all
+    occurrences each; edited says if one of them found its text. A row for each file."""
+    steps = edits.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "old", "new"))).alias("steps"))
+
+    def applied(state, step):
+        found = F.coalesce((step["old"] != "") & F.contains(state["text"], step["old"]), F.lit(False))
+        return F.struct(F.when(found, F.replace(state["text"], step["old"], F.coalesce(step["new"], F.lit("")))).otherwise(state["text"]).alias("text"), (state["edited"] | found).alias("edited"))
+
+    start = F.struct(F.col("text").alias("text"), F.lit(False).alias("edited"))
+    done = F.aggregate(F.coalesce("steps", F.array().cast(steps.schema["steps"].dataType)), start, applied)
+    return files.join(steps, "path", "left").select("path", done.alias("done")).select("path", "done.text", "done.edited")
 
 
 def style(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:

@@ -35,14 +35,15 @@ def history_counts(messages: DataFrame) -> DataFrame:
 
 
 def transcript(messages: DataFrame) -> DataFrame:
-    """The text of each thread, its messages put together in order."""
-    return messages.select("thread_id", "seq", extract_text(F.col("content")).alias("text")).groupBy("thread_id").agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY seq)").alias("transcript"))
+    """The text of each thread, its messages put together by seq, then by text."""
+    return messages.select("thread_id", "seq", extract_text(F.col("content")).alias("text")).groupBy("thread_id").agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY seq, text)").alias("transcript"))
 
 
 def latest_state(messages: DataFrame) -> DataFrame:
-    """The last message of each thread, by partial aggregates rather than a window."""
-    last = F.max_by(F.struct("type", extract_text(F.col("content")).alias("text")), "seq")
-    return messages.groupBy("thread_id").agg(F.max("seq").alias("seq"), last.alias("m")).select("thread_id", "seq", "m.type", "m.text")
+    """The last message of each thread, by partial aggregates rather than a window; of several at the last seq the greatest
+    by type, then text."""
+    last = F.max(F.struct("seq", "type", extract_text(F.col("content")).alias("text")))
+    return messages.groupBy("thread_id").agg(last.alias("m")).select("thread_id", "m.seq", "m.type", "m.text")
 
 
 def thread(messages: DataFrame, thread_id) -> DataFrame:

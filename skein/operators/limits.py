@@ -23,6 +23,14 @@ def call_status(calls: DataFrame, keys: list[str], limit: Column, order: str = "
     return calls.withColumn("n", n).withColumn("status", F.when(limit.isNull() | (F.col("n") <= limit), "ok").otherwise(at_limit))
 
 
+def call_status_within(calls: DataFrame, run: list[str], run_limit: Column, thread: list[str], thread_limit: Column, order: list[str], at_limit: str = "end") -> DataFrame:
+    """As call_status, under a limit for each run and one for the whole thread at once: the first that is reached counts."""
+    n_run, n_thread = (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) for keys in (run, thread))
+    within = lambda limit, n: limit.isNull() | (F.col(n) <= limit)
+    counted = calls.withColumns({"n_run": n_run, "n_thread": n_thread})
+    return counted.withColumn("status", F.when(within(run_limit, "n_run") & within(thread_limit, "n_thread"), "ok").otherwise(at_limit))
+
+
 def retry_delays(runs: DataFrame, retries: str = "retries", factor: str = "factor", first: str = "first_delay") -> DataFrame:
     """The delay before each retry, without jitter: first * factor ^ k."""
     steps = runs.withColumn("attempt", F.explode(F.expr(f"CASE WHEN {retries} > 0 THEN sequence(0, {retries} - 1) ELSE cast(array() AS array<int>) END")))

@@ -25,9 +25,9 @@ def labels(events: DataFrame) -> DataFrame:
 
 def segments(events: DataFrame) -> DataFrame:
     """Text between tool calls, one row a segment, without empty ones: (session_id, run, segment, text). A segment's number
-    is the number of boundaries before it in its run."""
+    is the number of boundaries before it in its run. Tokens at one seq are put together in the order of their texts."""
     order = Window.partitionBy("session_id", "run").orderBy("seq")
     # an update cuts the text only if the model calls a tool in it; an end or interrupt always does
     cuts = F.expr("cast((mode = 'updates' and node = 'model' and size(tool_calls) > 0) or mode in ('end', 'interrupt') as bigint)")
     numbered = routed(events).withColumn("segment", F.sum(cuts).over(order))
-    return numbered.where("mode = 'messages'").groupBy("session_id", "run", "segment").agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY seq)").alias("text"))
+    return numbered.where("mode = 'messages'").groupBy("session_id", "run", "segment").agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY seq, text)").alias("text"))

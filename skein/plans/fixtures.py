@@ -13,7 +13,7 @@ CONTENT = [
 COMMAND_LINES = [(1, "/exit"), (2, "  /help\t"), (3, "/EXIT"), (4, "/exit now"), (5, "   "), (6, "hello"), (7, "/reset"), (8, "/session"), (9, "/quit\n")]
 MARKDOWN = [(1, "---\nname: a b\ndescription: d\n---\n\n# Body\n"), (2, "no fence"), (3, "---\nname: x\n---no line end"), (4, "---\n---\ntext\n---\nrest"), (5, " ---\nname: y\n---\nz"), (6, "---\nname: q\n---\nkeep\n---\nthis\n---\n")]
 PADDED = [(1, "\t a b \n"), (2, " x "), (3, "\u0085\x1cy\x1f"), (4, "plain"), (5, "  "), (6, "")]
-ERRORS = [(1, "read_file", "ValueError"), (2, "grep", "KeyError"), (3, "ls", None)]
+ERRORS = [(1, "read_file", "ValueError"), (2, "grep", "KeyError"), (3, "ls", None), (4, "edit_file", "UnicodeDecodeError"), (5, "task", "JSONDecodeError")]
 SESSIONS = [
     ("01890a5d-ac96-774b-bcce-b302099a8057", "/r/1", True, 1700000300.0), ("01890a5d-ac95-774b-bcce-b302099a8057", "/r/2", True, 1700000400.5),
     ("my story", "/r/3", True, 1700000000.0), ("01890a5d-ac97-774b-bcce-b302099a8057", "/r/4", False, 1700000000.0),
@@ -30,11 +30,15 @@ ARTEFACTS = [("s0", "spec", 1), ("s0", "plan", 2), ("s0", "prose", 3), ("s1", "p
 GATES = [("s0", "spec", True), ("s0", "plan", True), ("s1", "spec", True), ("s1", "plan", False), ("s2", "plan", True)]
 FILES = [("/a/x.md", "one\ntwo"), ("/a/b/y.md", "three"), ("/a/b/c/z.txt", "four"), ("/c.md", "five"), ("/ab/q.md", "six")]
 WRITES = [("/a", 1, "old"), ("/a", 3, "new"), ("/b", 2, "only")]
-EDITS = [("/a/x.md", "two", "2"), ("/a/b/y.md", "absent", "!"), ("/c.md", "five", "5five")]
+EDITS = [("/a/x.md", 2, "2", "II"), ("/a/x.md", 1, "two", "2"), ("/a/b/y.md", 1, "absent", "!"), ("/c.md", 1, "five", "5five"), ("/c.md", 2, "absent", "")]
 SETTINGS = [(1, "own", True, True, True), (2, None, False, True, None), (3, "x,y", True, False, False)]
 MODELS = [(1, "cli", "env", "dflt", "sid", "new"), (2, "", "env", "dflt", "", "new"), (3, None, None, "dflt", None, "new")]
-PATHS = [("/skills/a.md",), ("/skills/x/b.md",), ("/notes",), ("plain",)]
-ROUTES = [("/skills/", "skills"), ("/skills/x/", "special")]
+PATHS = [("/skills/a.md",), ("/skills/x/b.md",), ("/notes",), ("plain",), ("/mem/a",), ("/memory",)]
+ROUTES = [("/skills/", "skills"), ("/skills/x/", "special"), ("/mem", "memory")]
+BOTH_LIMITS = [("a", r, s, run, thread) for r in (1, 2) for s in (1, 2, 3) for run, thread in ((2, 3),)] + [("b", 1, 1, None, 0), ("c", 1, 1, None, None)]
+FIXED_AGENTS = [(1, "writer"), (2, "reviewer")]
+OWN_AGENTS = [(1, "writer", None), (2, "mine", "own")]
+OLD_ROUTES, NEW_ROUTES = [("a", "old"), ("b", "old")], [("b", "new"), ("c", "new")]
 PROMPTS = [(1, " mine ", "---\nname: k\n---\nbody", "map"), (2, "", "body", None), (3, None, "---\nname: k\n---\n b ", " ")]
 TOOL_CALLS = [
     ("s", 1, 1, "messages", "model", "Hel", None), ("s", 1, 2, "messages", "model", "lo ", None), ("s", 1, 3, "updates", "model", None, [("task", {"subagent_type": "writer"}), ("ls", {})]),

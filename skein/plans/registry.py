@@ -149,9 +149,12 @@ def latest_writes(spark, d):
     return docs.latest_writes(X.frame(spark, X.WRITES, "path string, seq int, text string"))
 
 
-@query(f"SELECT f.path, CASE WHEN contains(f.text, e.old) THEN replace(f.text, e.old, e.new) ELSE f.text END AS text, coalesce(contains(f.text, e.old), false) AS edited FROM {X.values(X.FILES, 'path, text', 'f')} LEFT JOIN {X.values(X.EDITS, 'path, old, new', 'e')} ON f.path = e.path")
+_EDIT = "CASE WHEN contains({text}, {e}.old) THEN replace({text}, {e}.old, {e}.new) ELSE {text} END"
+
+
+@query(f"WITH e AS (SELECT * FROM {X.values(X.EDITS, 'path, seq, old, new', 'e')}), one AS (SELECT f.path, {_EDIT.format(text='f.text', e='e')} AS text, coalesce(contains(f.text, e.old), false) AS edited FROM {X.values(X.FILES, 'path, text', 'f')} LEFT JOIN e ON f.path = e.path AND e.seq = 1) SELECT one.path, {_EDIT.format(text='one.text', e='e')} AS text, edited OR coalesce(contains(one.text, e.old), false) AS edited FROM one LEFT JOIN e ON one.path = e.path AND e.seq = 2")
 def edited_files(spark, d):
-    return docs.edit(X.frame(spark, X.FILES, "path string, text string"), X.frame(spark, X.EDITS, "path string, old string, new string"))
+    return docs.edit(X.frame(spark, X.FILES, "path string, text string"), X.frame(spark, X.EDITS, "path string, seq int, old string, new string"))
 
 
 @query(f"SELECT DISTINCT CASE WHEN contains(substr(path, 4), '/') THEN split_part(substr(path, 4), '/', 1) || '/' ELSE substr(path, 4) END AS name FROM {X.values(X.FILES, 'path, text')} WHERE path LIKE '/a/%'")
@@ -202,7 +205,7 @@ def commands(spark, d):
     return X.frame(spark, X.COMMAND_LINES, "id int, text string").select("id", C.command(F.col("text")).alias("command"))
 
 
-@query(f"SELECT id, CASE WHEN error = 'ValueError' THEN 'Tool `' || tool || '` failed: ' || error || '. Fix the input and retry.' END AS said FROM {X.values(X.ERRORS, 'id, tool, error')}")
+@query(f"SELECT id, CASE WHEN error IN ('ValueError', 'UnicodeError', 'UnicodeDecodeError', 'UnicodeEncodeError', 'UnicodeTranslateError', 'JSONDecodeError') THEN 'Tool `' || tool || '` failed: ' || error || '. Fix the input and retry.' END AS said FROM {X.values(X.ERRORS, 'id, tool, error')}")
 def tool_errors(spark, d):
     return X.frame(spark, X.ERRORS, "id int, tool string, error string").select("id", C.tool_error(F.col("tool"), F.col("error")).alias("said"))
 
@@ -248,6 +251,12 @@ def call_limits(spark, d):
     return limits.call_status(X.frame(spark, X.CALLS, "thread string, run int, seq int, lim int"), ["thread", "run"], F.col("lim"), at_limit="error").drop("lim")
 
 
+@query(f"SELECT thread, run, seq, n_run, n_thread, CASE WHEN coalesce(n_run <= run_limit, true) AND coalesce(n_thread <= thread_limit, true) THEN 'ok' ELSE 'end' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY thread, run ORDER BY seq) AS n_run, row_number() OVER (PARTITION BY thread ORDER BY run, seq) AS n_thread FROM {X.values(X.BOTH_LIMITS, 'thread, run, seq, run_limit, thread_limit')})")
+def call_limits_together(spark, d):
+    calls = X.frame(spark, X.BOTH_LIMITS, "thread string, run int, seq int, run_limit int, thread_limit int")
+    return limits.call_status_within(calls, ["thread", "run"], F.col("run_limit"), ["thread"], F.col("thread_limit"), ["run", "seq"]).drop("run_limit", "thread_limit")
+
+
 @query(f"SELECT id, attempt, first_delay * pow(factor, attempt) AS delay FROM (SELECT *, unnest(range(retries)) AS attempt FROM {X.values(X.RETRIES, 'id, retries, factor, first_delay')})")
 def retry_delays(spark, d):
     return limits.retry_delays(X.frame(spark, X.RETRIES, "id int, retries int, factor double, first_delay double")).select("id", F.col("attempt").cast("long").alias("attempt"), "delay")
@@ -259,10 +268,10 @@ def agent_stages(spark, d):
     return config.stages(rows.withColumn("own", F.split("names", ",")))
 
 
-@query("SELECT * FROM (VALUES (0, 1, 'writer', 'm'), (0, 2, 'reviewer', 'm'), (1, 1, 'writer', NULL), (1, 2, 'mine', 'own')) AS t(part, ord, name, model)")
+@query(f"SELECT 0 AS part, ord, name, 'm' AS model FROM {X.values(X.FIXED_AGENTS, 'ord, name')} UNION ALL SELECT 1, ord, name, model FROM {X.values(X.OWN_AGENTS, 'ord, name, model')}")
 def subagents(spark, d):
-    fixed = X.frame(spark, [(1, "writer"), (2, "reviewer")], "ord int, name string")
-    own = X.frame(spark, [(1, "writer", None), (2, "mine", "own")], "ord int, name string, model string")
+    fixed = X.frame(spark, X.FIXED_AGENTS, "ord int, name string")
+    own = X.frame(spark, X.OWN_AGENTS, "ord int, name string, model string")
     return config.subagents(fixed, own, F.lit("m"))
 
 
@@ -276,13 +285,13 @@ def path_routes(spark, d):
     return config.routed(X.frame(spark, X.PATHS, "path string"), X.frame(spark, X.ROUTES, "prefix string, backend string"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'old'), ('b', 'old'), ('c', 'new')) AS t(k, v)")
+@query(f"SELECT coalesce(o.k, n.k) AS k, coalesce(o.v, n.v) AS v FROM {X.values(X.OLD_ROUTES, 'k, v', 'o')} FULL JOIN {X.values(X.NEW_ROUTES, 'k, v', 'n')} ON o.k = n.k")
 def merged_routes(spark, d):
-    maps = X.frame(spark, [({"a": "old", "b": "old"}, {"b": "new", "c": "new"})], "o map<string,string>, n map<string,string>")
+    maps = X.frame(spark, [(dict(X.OLD_ROUTES), dict(X.NEW_ROUTES))], "o map<string,string>, n map<string,string>")
     return maps.select(F.explode(C.merge_maps(F.col("o"), F.col("n"))).alias("k", "v"))
 
 
-@query("SELECT * FROM (VALUES (1, 'mine' || chr(10) || chr(10) || 'body' || chr(10) || chr(10) || 'map'), (2, 'body'), (3, 'b')) AS t(id, prompt)")
+@query(f"SELECT id, concat_ws(chr(10) || chr(10), nullif(trim(application, {_SPACE}), ''), nullif(trim(regexp_replace(skill, '\\A---\\n(?s:.*?)\\n---\\n', ''), {_SPACE}), ''), nullif(trim(mapping, {_SPACE}), '')) AS prompt FROM {X.values(X.PROMPTS, 'id, application, skill, mapping')}")
 def system_prompts(spark, d):
     return config.system_prompt(X.frame(spark, X.PROMPTS, "id int, application string, skill string, mapping string"))
 
@@ -385,7 +394,7 @@ def continuity(spark, d):
     return coverage.continuity(rows)
 
 
-@query("SELECT * FROM (VALUES ('s1', 'prose', 'plan'), ('s2', 'review', 'prose')) AS t(slug, kind, needs)")
+@query(f"WITH a AS (SELECT slug, kind, min(made) AS made FROM {X.values(X.ARTEFACTS, 'slug, kind, made')} GROUP BY slug, kind) SELECT b.slug, b.kind, p.needs FROM a b JOIN (VALUES ('plan', 'spec'), ('prose', 'plan'), ('review', 'prose')) AS p(kind, needs) ON b.kind = p.kind LEFT JOIN a n ON n.slug = b.slug AND n.kind = p.needs WHERE n.made IS NULL OR b.made < n.made")
 def workflow_order(spark, d):
     return coverage.out_of_order(X.frame(spark, X.ARTEFACTS, "slug string, kind string, at int"))
 

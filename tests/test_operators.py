@@ -93,3 +93,25 @@ def test_settings(spark):
     own = config.settings_from(spark, {"APP_A__B": "1", "app_map": '{"x":"y"}', "OTHER": "z"}, "APP_")
     assert {tuple(r) for r in own.collect()} == {("a.b", "1"), ("map", '{"x":"y"}')}
     assert config.map_setting(own, "map").first()["value"] == {"x": "y"}
+
+
+def test_created_time_is_utc_in_any_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            said = spark.createDataFrame([(1700000000.9,), (1710053999.0,), (0.0,)], "s double").select(C.utc_text(F.col("s")).alias("t")).collect()
+            assert [r["t"] for r in said] == ["2023-11-14 22:13:20", "2024-03-10 06:59:59", "1970-01-01 00:00:00"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_grep_looks_at_lines(spark):
+    files_ = spark.createDataFrame([("a", "one\nfoo two\nbar foo"), ("b", "none")], "path string, text string")
+    found = lambda pattern: [(r["path"], r["line"]) for r in docs.grep(files_, pattern).orderBy("path", "line").collect()]
+    assert found(r"\Afoo") == [("a", 1)] and found("^foo") == [("a", 1)] and found(r"foo\z") == [("a", 2)] and found("(?i)FOO") == [("a", 1), ("a", 2)] and found("(?<!bar )foo") == [("a", 1)]
+
+
+def test_errors_below_value_error(spark):
+    rows = spark.createDataFrame([("t", "OwnError", ["OwnError", "ValueError"]), ("t", "OsError", ["OsError"]), ("t", "JSONDecodeError", None)], "tool string, error string, bases array<string>")
+    assert [r["x"] is not None for r in rows.select(C.tool_error(F.col("tool"), F.col("error"), F.col("bases")).alias("x")).collect()] == [True, False, True]
