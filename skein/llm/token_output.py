@@ -1,8 +1,8 @@
 """Token-id files: shards of ids under Re-Pair grammar compression, decodable from any document on.
 
 Documents are dealt to partitions by ranges of their ids and encoded in that order. Each partition writes shards of
-about SHARD_TOKENS ids. In a shard, frequent pairs of ids become nonterminals, again and again; a pair never crosses the
-end of a document. A shard's bytes, all little-endian:
+about SHARD_TOKENS ids. In a shard, pairs of ids that occur MIN_PAIRS times or more become nonterminals, again and again
+until there are none; a pair never crosses the end of a document. A shard's bytes, all little-endian:
 
     4 bytes RPR1; uint32: documents, rules, symbols, first nonterminal
     rules x 2 uint32: the pair of each rule, in the order of their making
@@ -25,12 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_set, spread, word_spans
+from .common import blocks, byte_set, heads, mix, spread, word_spans
 from .span_ids import SpanIds, gather
 
 SHARD_TOKENS = 1 << 20
-#: Rounds of pair replacement; each replaces all pairs that occur MIN_PAIRS times or more, most frequent first.
-ROUNDS, MIN_PAIRS, RULES_A_ROUND = 4, 64, 4096
+#: Pairs that occur so often are replaced, the most frequent of them in a round, in rounds until there are none.
+MIN_PAIRS, RULES_A_ROUND = 64, 4096
 #: Bytes of text in a block.
 BLOCK_BYTES = 1 << 22
 #: Marks that may stand behind a word and make one token group together.
@@ -103,33 +103,30 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last[np.cumsum(sizes, dtype=np.int64) - 1] = True
     base = int(seq.max()) + 1 if len(seq) else 0
     rules = np.zeros((0, 2), np.uint32)
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         top = base + len(rules)
-        small = top < 1 << 16  # then a pair fits into 32 bits, which sort faster
-        pair = (seq[:-1] << np.uint32(16)) | seq[1:] if small else (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        order = np.argsort(pair)
-        ordered = pair[order]
-        head = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        del ordered
-        count = np.diff(np.append(head, len(pair)))
+        pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+        ordered = np.sort(pair[~last[:-1]])
+        head = heads(ordered) if len(ordered) else np.zeros(0, np.int64)
+        count = np.diff(np.append(head, len(ordered)))
         often = np.flatnonzero(count >= MIN_PAIRS)
         often = np.sort(often[np.argsort(-count[often], kind="stable")[:RULES_A_ROUND]])
         if not len(often):
             break
-        number = np.full(len(count), -1, np.int32)
-        number[often] = np.arange(len(often))
-        place = np.empty(len(pair), np.int32)
-        place[order] = np.repeat(number, count)
-        value = pair[order[head[often]]].astype(np.uint64)
-        value = np.stack([value >> np.uint64(16), value & np.uint64(0xFFFF)] if small else [value >> np.uint64(32), value & np.uint64(0xFFFFFFFF)], 1)
-        at = np.flatnonzero((place >= 0) & ~last[:-1])
+        value = ordered[head[often]]
+        # most places hold no frequent pair; a table of hashes tells which are worth a search
+        maybe, hashed = np.zeros(1 << 20, bool), (mix(pair) >> np.uint64(44)).astype(np.int32)
+        maybe[(mix(value) >> np.uint64(44)).astype(np.int32)] = True
+        at = np.flatnonzero(maybe[hashed] & ~last[:-1])
+        number = np.minimum(np.searchsorted(value, pair[at]), len(value) - 1)
+        found = value[number] == pair[at]
+        at, number = at[found], number[found]
+        value = np.stack([value >> np.uint64(32), value & np.uint64(0xFFFFFFFF)], 1)
         # of places in a row every second one is taken, so that no two overlap
-        head = np.concatenate([[True], np.diff(at) > 1])
-        run = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-        at = at[run % 2 == 0]
-        seq[at] = (top + place[at]).astype(np.uint32)
+        new = np.concatenate([[True], np.diff(at) > 1])
+        run = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+        at, number = at[run % 2 == 0], number[run % 2 == 0]
+        seq[at] = (top + number).astype(np.uint32)
         last[at] = last[at + 1]
         left = np.ones(len(seq), bool)
         left[at + 1] = False
@@ -174,18 +171,30 @@ class Shard:
         self.rules = self.rules.reshape(-1, 2)
         self.documents = n
 
+    @functools.cached_property
+    def ends(self) -> np.ndarray:
+        """Ids before each symbol and behind the last, by the rules' expansion lengths."""
+        width = np.append(self.sizes, 1)[np.where(self.symbols >= self.base, self.symbols.astype(np.int64) - self.base, -1)]
+        return np.concatenate([[0], np.cumsum(width, dtype=np.int64)])
+
     def document(self, i: int) -> np.ndarray:
         """The ids of one document, without decoding the others."""
         return expand(self.symbols[self.starts[i] : self.starts[i + 1]], self.rules, self.base)
 
+    def tokens(self, start: int, stop: int) -> np.ndarray:
+        """The ids at these places of the shard: of its symbols only those that reach into them are expanded."""
+        start, stop = max(0, start), min(stop, int(self.ends[-1]))
+        if start >= stop:
+            return np.zeros(0, np.uint32)
+        first, last = int(np.searchsorted(self.ends, start, "right")) - 1, int(np.searchsorted(self.ends, stop, "left"))
+        return expand(self.symbols[first:last], self.rules, self.base)[start - int(self.ends[first]) :][: stop - start]
+
     def all(self) -> tuple[np.ndarray, np.ndarray]:
         """All ids and where each document starts in them, by the rules' expansion lengths."""
-        width = np.append(self.sizes, 1)[np.where(self.symbols >= self.base, self.symbols.astype(np.int64) - self.base, -1)]
         ids = expand(self.symbols, self.rules, self.base)
-        ends = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])
-        if ends[-1] != len(ids):
+        if self.ends[-1] != len(ids):
             raise ValueError("the expansion does not have the length that its rules state")
-        return ids, ends[self.starts]
+        return ids, self.ends[self.starts]
 
 
 def write_tokens(documents: DataFrame, path: str, vocabulary: str, end: int, key: str = "doc_id", text: str = "text") -> None:
