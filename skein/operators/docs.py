@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: lines that a read returns unless told otherwise.
@@ -69,6 +69,31 @@ def edit(files: DataFrame, edits: DataFrame) -> DataFrame:
 
 def style(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """Measures of style that the survey lists as described but never computed; the definitions are ours."""
-    words = F.filter(F.split(F.col(text), r"[ \t\n\r]+"), lambda w: w != "")
-    sentences = F.regexp_count(F.col(text), F.lit(r"[.!?]"))
-    return files.select(path, F.size(words).cast("long").alias("n_words"), sentences.cast("long").alias("n_sentences"), F.regexp_count(F.col(text), F.lit(r"\?")).cast("long").alias("n_questions"), F.size(F.array_distinct(words)).cast("long").alias("n_distinct"))
+    rows = files.select(path, F.col(text).alias("text"), _words(F.col(text)).alias("words"))
+    found = lambda pattern: F.regexp_count("text", F.lit(pattern)).cast("long")
+    return rows.select(path, F.size("words").cast("long").alias("n_words"), found(r"[.!?]").alias("n_sentences"), found(r"\?").alias("n_questions"), F.size(F.array_distinct("words")).cast("long").alias("n_distinct"))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"[ \t\n\r]+"), lambda w: w != "")
+
+
+def _sizes(text: Column, end: str) -> Column:
+    """Words in each part of a text between ends, parts without a word left out."""
+    return F.filter(F.transform(F.split(text, end), lambda part: F.size(_words(part)).cast("long")), lambda n: n > 0)
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, n: a + n)
+
+
+def style_shape(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """The rest of the survey's notions of style, in our definitions: mean characters of a word, sentences (parts between
+    `.`, `!` and `?` that hold a word) with the longest and the variance of their words, marks of punctuation for each
+    character, and paragraphs (parted by empty lines) with the longest. Without words the means are null; all of a null
+    text is null."""
+    rows = files.select(path, F.col(text).alias("text"), _words(F.col(text)).alias("words"), _sizes(F.col(text), r"[.!?]").alias("sentences"), _sizes(F.col(text), r"\n\n+").alias("paragraphs"))
+    chars = _sum(F.transform("words", lambda w: F.length(w).cast("long")))
+    sums = rows.select(path, F.size("words").cast("long").alias("n"), chars.alias("word_chars"), F.size("sentences").cast("long").alias("n_sentences"), F.array_max("sentences").alias("longest_sentence"), _sum(F.col("sentences")).alias("s1"), _sum(F.transform("sentences", lambda n: n * n)).alias("s2"), F.regexp_count("text", F.lit(r"[,;:.!?]")).alias("marks"), F.length("text").alias("chars"), F.size("paragraphs").cast("long").alias("n_paragraphs"), F.array_max("paragraphs").alias("longest_paragraph"))
+    of = lambda a, b: F.expr(f"try_divide(cast({a} as double), cast({b} as double))")
+    return sums.select(path, of("word_chars", "n").alias("mean_word_chars"), "n_sentences", "longest_sentence", of("n_sentences * s2 - s1 * s1", "n_sentences * n_sentences").alias("sentence_variance"), of("marks", "chars").alias("mark_share"), "n_paragraphs", "longest_paragraph")

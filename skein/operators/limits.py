@@ -13,6 +13,8 @@ from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 MODEL_CALLS, TOOL_CALLS = 50, 200
 RETRIES, FACTOR, FIRST_DELAY = 3, 2.0, 1.0
 RATE, BURST = 25.0, 50
+#: Share of a retry's delay that jitter may add or take away.
+JITTER = 0.25
 #: Slots of time that far from 0 are one.
 _FAR = 1 << 61
 
@@ -37,6 +39,12 @@ def retry_delays(runs: DataFrame, retries: str = "retries", factor: str = "facto
     return steps.withColumn("delay", F.col(first) * F.pow(F.col(factor), F.col("attempt")))
 
 
+def jittered(delays: DataFrame, share: float = JITTER) -> DataFrame:
+    """The least and the most that a delay can be after jitter, which adds or takes away up to a share of it. The share is
+    ours; the surveyed settings only switch jitter on."""
+    return delays.withColumns({"least": F.col("delay") * (1 - share), "most": F.col("delay") * (1 + share)})
+
+
 def calls_a_second(calls: DataFrame, keys: list[str], at: str = "ts", rate: float = RATE) -> DataFrame:
     """Calls of each group in each whole second, and whether they exceed the rate."""
     second = F.date_trunc("second", F.col(at).cast("timestamp"))

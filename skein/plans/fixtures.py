@@ -47,6 +47,16 @@ TOOL_CALLS = [
     ("s", 1, 12, "messages", "model", "!", None), ("s", 1, 13, "interrupt", None, None, None), ("s", 2, 1, "messages", "model", "again", None), ("s", 2, 2, "end", None, None, None),
 ]
 
+#: The same events and their calls without arrays and maps.
+EVENT_ROWS = [(*e[:6], len(e[6] or [])) for e in TOOL_CALLS]
+CALL_ROWS = [(*e[:5], pos, name, args is not None, (args or {}).get("subagent_type")) for e in TOOL_CALLS for pos, (name, args) in enumerate(e[6] or [])]
+ENVIRONMENT = [
+    ("APP_RATE_LIMITER__MAX_BUCKET_SIZE", "7"), ("app_backend__enable_shell", "On"), ("APP_MODEL_RETRY", '{"max_retries": 5, "jitter": false}'), ("APP_MODEL_RETRY__MAX_RETRIES", "9"),
+    ("APP_MODEL_CALL_LIMIT__THREAD_LIMIT", "12"), ("APP_TOOL_CALL_LIMIT__EXIT_BEHAVIOR", "continue"), ("APP_UNKNOWN", "x"), ("OTHER_PERSONAL__NAME", "nobody"),
+]
+FLAGS = [(1, True, True, 25, 50), (2, False, False, 25, 50), (3, None, None, 2, 9)]
+SPEC_ROWS = [("s0", "character", 1, "voice", "dry\nand short"), ("s0", "character", 2, "wants", None), ("s0", "setting", 1, "place", "a pier"), ("s1", "setting", 1, "place", " ")]
+
 
 def frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import content as C
-from skein.operators import catalog, config, coverage, docs, history, limits, stream
+from skein.operators import catalog, config, coverage, docs, history, limits, render, stream
 from skein.sources import sessions
 from skein.sources.scratch import scratch_path
 from skein.streaming import segments as live
@@ -116,9 +116,9 @@ def reply_segments_streamed(spark, d):
 
 # --- stored documents
 
-@query("SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, lines[i] AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(3, 1 + least(4, len(string_split(text, chr(10)))))) AS i FROM documents)")
+@query("SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, lines[i] AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(3, 1 + least(102, len(string_split(text, chr(10)))))) AS i FROM documents)")
 def read_lines(spark, d):
-    return docs.read_lines(_table(spark, d, "documents"), 2, 2, "doc_id")
+    return docs.read_lines(_table(spark, d, "documents"), 2, path="doc_id")
 
 
 @query("SELECT doc_id, line, content FROM (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, lines[i] AS content FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, 1 + len(string_split(text, chr(10))))) AS i FROM documents)) WHERE regexp_matches(content, 'Copyright|[0-9]{4}')")
@@ -172,6 +172,15 @@ def style_measures(spark, d):
     return docs.style(_table(spark, d, "documents"), "doc_id")
 
 
+def _lengths(end: str) -> str:
+    return f"list_filter(list_transform(regexp_split_to_array(text, '{end}'), lambda p: CAST(len(list_filter(regexp_split_to_array(p, '[ \\t\\n\\r]+'), lambda x: x <> '')) AS BIGINT)), lambda n: n > 0)"
+
+
+@query(f"SELECT doc_id, word_chars::DOUBLE / nullif(n, 0) AS mean_word_chars, CAST(len(s) AS BIGINT) AS n_sentences, list_max(s) AS longest_sentence, (len(s) * s2 - s1 * s1)::DOUBLE / nullif(len(s) * len(s), 0)::DOUBLE AS sentence_variance, marks::DOUBLE / nullif(chars, 0) AS mark_share, CAST(len(p) AS BIGINT) AS n_paragraphs, list_max(p) AS longest_paragraph FROM (SELECT doc_id, s, p, len(w) AS n, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, CAST(coalesce(list_sum(s), 0) AS BIGINT) AS s1, CAST(coalesce(list_sum(list_transform(s, lambda x: x * x)), 0) AS BIGINT) AS s2, len(regexp_extract_all(text, '[,;:.!?]')) AS marks, length(text) AS chars FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS w, {_lengths('[.!?]')} AS s, {_lengths(chr(92) + 'n' + chr(92) + 'n+')} AS p FROM documents))")
+def style_shape(spark, d):
+    return docs.style_shape(_table(spark, d, "documents"), "doc_id")
+
+
 # --- content, text and labels
 
 _CONTENT = "SELECT id, CASE json_type(j) WHEN 'VARCHAR' THEN json_extract_string(j, '$') WHEN 'ARRAY' THEN coalesce((SELECT string_agg(CASE WHEN json_type(b) = 'VARCHAR' THEN {own} WHEN json_type(b) = 'OBJECT' AND json_extract_string(b, '$.type') = 'text' THEN coalesce(json_extract_string(b, '$.text'), '') ELSE '' END, '' ORDER BY i) FROM (SELECT unnest(TRY_CAST(j AS JSON[])) AS b, generate_subscripts(TRY_CAST(j AS JSON[]), 1) AS i)), '') ELSE '' END AS text FROM (SELECT id, CAST(raw AS JSON) AS j FROM {values})"
@@ -210,12 +219,18 @@ def tool_errors(spark, d):
     return X.frame(spark, X.ERRORS, "id int, tool string, error string").select("id", C.tool_error(F.col("tool"), F.col("error")).alias("said"))
 
 
-@query("SELECT * FROM (VALUES ('s', 1, 3, 0, 'dispatching writer'), ('s', 1, 3, 1, 'ls'), ('s', 1, 4, 0, 'dispatching ?'), ('s', 1, 4, 1, 'tool'), ('s', 1, 8, 0, 'grep')) AS t(session_id, run, seq, pos, label)")
+_CALL_ROWS = "session_id, run, seq, mode, node, pos, name, has_args, agent"
+
+
+@query(f"SELECT session_id, run, seq, pos, CASE name WHEN 'task' THEN 'dispatching ' || coalesce(agent, '?') ELSE coalesce(name, 'tool') END AS label FROM {X.values(X.CALL_ROWS, _CALL_ROWS, 'c')} WHERE mode = 'updates' AND node = 'model' AND NOT EXISTS (SELECT 1 FROM {X.values(X.CALL_ROWS, _CALL_ROWS, 'b')} WHERE b.session_id = c.session_id AND b.run = c.run AND b.seq = c.seq AND b.pos <= c.pos AND b.name = 'task' AND NOT b.has_args)")
 def tool_labels(spark, d):
     return stream.labels(X.frame(spark, X.TOOL_CALLS, live.EVENTS))
 
 
-@query("SELECT * FROM (VALUES ('s', 1, 0, 'Hello '), ('s', 1, 2, ' '), ('s', 1, 3, 'end!'), ('s', 2, 0, 'again')) AS t(session_id, run, segment, text)")
+_ENDS = "CASE WHEN (mode = 'updates' AND node = 'model' AND n_calls > 0) OR mode IN ('end', 'interrupt') THEN 1 ELSE 0 END"
+
+
+@query(f"SELECT session_id, run, segment, string_agg(text, '' ORDER BY seq, text) AS text FROM (SELECT *, CAST(sum({_ENDS}) OVER (PARTITION BY session_id, run ORDER BY seq) AS BIGINT) AS segment FROM {X.values(X.EVENT_ROWS, 'session_id, run, seq, mode, node, text, n_calls')}) WHERE mode = 'messages' AND node = 'model' AND text <> '' GROUP BY session_id, run, segment")
 def stream_segments(spark, d):
     return stream.segments(X.frame(spark, X.TOOL_CALLS, live.EVENTS))
 
@@ -262,12 +277,43 @@ def retry_delays(spark, d):
     return limits.retry_delays(X.frame(spark, X.RETRIES, "id int, retries int, factor double, first_delay double")).select("id", F.col("attempt").cast("long").alias("attempt"), "delay")
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'own'), (1, 1, 'todo'), (1, 2, 'retry'), (1, 3, 'model_limit'), (1, 4, 'tool_limit'), (1, 5, 'tool_error'), (2, 0, 'todo'), (2, 1, 'model_limit'), (2, 2, 'tool_error'), (3, 0, 'x'), (3, 1, 'y'), (3, 2, 'todo'), (3, 3, 'retry'), (3, 4, 'tool_error')) AS t(id, pos, stage)")
+@query(f"SELECT id, attempt, delay, delay * 0.75::DOUBLE AS least, delay * 1.25::DOUBLE AS most FROM (SELECT id, attempt, first_delay * pow(factor, attempt) AS delay FROM (SELECT *, unnest(range(retries)) AS attempt FROM {X.values(X.RETRIES, 'id, retries, factor, first_delay')}))")
+def retry_delay_bounds(spark, d):
+    return limits.jittered(retry_delays(spark, d))
+
+
+_SETTINGS = X.values(X.SETTINGS, "id, names, retry, model_limit, tool_limit")
+
+
+@query(f"SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY part, ord) - 1 AS INTEGER) AS pos, stage FROM (SELECT id, 0 AS part, unnest(range(len(l))) AS ord, unnest(l) AS stage FROM (SELECT id, string_split(names, ',') AS l FROM {_SETTINGS}) UNION ALL SELECT id, 1, k, stage FROM (SELECT id, unnest([1, 2, 3, 4, 5]) AS k, unnest(['todo', 'retry', 'model_limit', 'tool_limit', 'tool_error']) AS stage, unnest([true, retry, model_limit, tool_limit, true]) AS built FROM {_SETTINGS}) WHERE built)")
 def agent_stages(spark, d):
     rows = X.frame(spark, X.SETTINGS, "id int, names string, enable_retry boolean, enable_model_limit boolean, enable_tool_limit boolean")
     return config.stages(rows.withColumn("own", F.split("names", ",")))
 
 
+@query(f"SELECT id, CASE WHEN shell THEN 'shell' ELSE 'files' END AS backend, 'read_file,write_file,edit_file,ls,glob,grep' || CASE WHEN shell THEN ',execute' ELSE '' END AS tools, CASE WHEN coalesce(limited, true) THEN rate END AS rate, CASE WHEN coalesce(limited, true) THEN burst END AS burst FROM {X.values(X.FLAGS, 'id, shell, limited, rate, burst')}")
+def agent_equipment(spark, d):
+    flags = X.frame(spark, X.FLAGS, "id int, enable_shell boolean, enable_rate_limiter boolean, requests_per_second int, max_bucket_size int")
+    return config.equipment(flags).withColumn("tools", F.array_join("tools", ","))
+
+
+def _setting(section: str, name: str, kind: str, default: str | None) -> str:
+    usual = "'/here'" if name == "root_dir" else "NULL" if default is None else f"'{default}'"
+    raw = f"coalesce(max(value) FILTER (WHERE path = '{section}.{name}'), json_extract_string(max(value) FILTER (WHERE path = '{section}'), '$.{name}'), {usual})"
+    if kind == "boolean":
+        raw = f"CASE lower({raw}) WHEN 'on' THEN 'true' WHEN 'off' THEN 'false' ELSE {raw} END"
+    return f"CAST({raw} AS {kind}) AS {section}_{name}"
+
+
+_FIELDS = [(section, *f) for section, fields in config.SECTIONS.items() for f in fields if not f[1].startswith("map")]
+
+
+@query(f"SELECT {', '.join(_setting(*f) for f in _FIELDS)} FROM (SELECT replace(lower(name[5:]), '__', '.') AS path, value FROM {X.values(X.ENVIRONMENT, 'name, value')} WHERE starts_with(upper(name), 'APP_'))")
+def settings_tree(spark, d):
+    tree = config.settings_tree(config.settings_from(spark, dict(X.ENVIRONMENT), "APP_"), "/here")
+    return tree.select(*(F.col(f"{section}.{name}").alias(f"{section}_{name}") for section, name, _, _ in _FIELDS))
+
+
 @query(f"SELECT 0 AS part, ord, name, 'm' AS model FROM {X.values(X.FIXED_AGENTS, 'ord, name')} UNION ALL SELECT 1, ord, name, model FROM {X.values(X.OWN_AGENTS, 'ord, name, model')}")
 def subagents(spark, d):
     fixed = X.frame(spark, X.FIXED_AGENTS, "ord int, name string")
@@ -368,6 +414,11 @@ def dimensions_without_plan(spark, d):
     return coverage.without_plan(_spec(spark), X.frame(spark, X.PLAN, "slug string, dim string"))
 
 
+@query(f"SELECT 'docs/' || slug || '-spec.md' AS path, '# ' || slug || chr(10) || string_agg(part, '' ORDER BY dim) AS text FROM (SELECT slug, dim, chr(10) || '## ' || dim || chr(10) || chr(10) || string_agg('- **' || sub || '**: ' || coalesce(nullif(trim(replace(choice, chr(10), ' ')), ''), 'not decided') || chr(10), '' ORDER BY ord, sub) AS part FROM {X.values(X.SPEC_ROWS, 'slug, dim, ord, sub, choice')} GROUP BY slug, dim) GROUP BY slug")
+def spec_documents(spark, d):
+    return render.spec(X.frame(spark, X.SPEC_ROWS, "slug string, dim string, ord int, sub string, choice string"), "docs")
+
+
 @query(f"SELECT slug, chapter FROM {X.values(X.CHAPTERS, 'slug, chapter', 'c')} WHERE NOT EXISTS (SELECT 1 FROM {_BRIEFS} WHERE b.slug = c.slug AND b.chapter = c.chapter)")
 def chapters_without_brief(spark, d):
     return coverage.without_brief(X.frame(spark, X.CHAPTERS, "slug string, chapter int"), _briefs(spark))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skein.functions import content as C
-from skein.operators import config, docs, history, limits, stream
+from skein.operators import config, docs, history, limits, render, stream
 from skein.plans import fixtures as X
 from skein.sources import files, sessions
 from skein.streaming import segments as live
@@ -115,3 +116,30 @@ def test_grep_looks_at_lines(spark):
 def test_errors_below_value_error(spark):
     rows = spark.createDataFrame([("t", "OwnError", ["OwnError", "ValueError"]), ("t", "OsError", ["OsError"]), ("t", "JSONDecodeError", None)], "tool string, error string, bases array<string>")
     assert [r["x"] is not None for r in rows.select(C.tool_error(F.col("tool"), F.col("error"), F.col("bases")).alias("x")).collect()] == [True, False, True]
+
+
+def test_settings_tree(spark):
+    tree = lambda env: config.settings_tree(config.settings_from(spark, env, "APP_"), "/here").first()
+    usual = tree({})
+    assert usual["backend"].asDict() == {"root_dir": "/here", "enable_shell": False} and usual["agent"]["model_kwargs"] == {}
+    assert usual["model_call_limit"].asDict() == {"enable_call_limit": True, "thread_limit": None, "run_limit": 50, "exit_behavior": "end"}
+    own = tree({"APP_AGENT__MODEL_KWARGS": '{"a": true}', "APP_BACKEND": '{"root_dir": "/x", "enable_shell": true}', "APP_BACKEND__ROOT_DIR": "/y"})
+    assert own["agent"]["model_kwargs"] == {"a": "true"} and own["backend"].asDict() == {"root_dir": "/y", "enable_shell": True}
+    for bad in ({"APP_TOOL_CALL_LIMIT__EXIT_BEHAVIOR": "stop"}, {"APP_MODEL_CALL_LIMIT__EXIT_BEHAVIOR": "continue"}, {"APP_RATE_LIMITER__MAX_BUCKET_SIZE": "many"}, {"APP_AGENT__MODEL_KWARGS": "{"}):
+        with pytest.raises(Exception):
+            tree(bad)
+
+
+def test_documents_written_and_read(spark, tmp_path):
+    rows = spark.createDataFrame([("s", 2, "Two", "a\nb\n"), ("s", 1, None, None), ("t", 1, "One", ""), (None, 1, "x", "y")], "slug string, chapter int, title string, text string")
+    made = render.chapters(rows, "docs").unionByName(render.plan(rows.withColumnRenamed("title", "brief"), "docs"))
+    render.write(made, str(tmp_path / "d"))
+    got = {r["path"]: r["text"] for r in render.read(spark, str(tmp_path / "d")).collect()}
+    assert got == {"docs/s/chapter-002.md": "# Two\n\na\nb\n\n", "docs/s/chapter-001.md": "# not decided\n\n\n", "docs/t/chapter-001.md": "# One\n\n\n", "docs/s-plan.md": "# s\n\n## Chapter 1\n\nnot decided\n\n## Chapter 2\n\nTwo\n", "docs/t-plan.md": "# t\n\n## Chapter 1\n\nOne\n"}
+
+
+def test_style_of_odd_texts(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, " .. \n\n !"), (4, "Go on. Stop!\n\nOne two three four")], "path int, text string")
+    got = {r[0]: tuple(r)[1:] for r in docs.style_shape(rows).collect()}
+    assert got[2] == (None, 0, None, None, None, 0, None) and got[1][0] is None
+    assert got[4] == (25 / 7, 3, 4, (3 * 21 - 49) / 9, 2 / 32, 2, 4)
