@@ -78,3 +78,8 @@ def _literal(x) -> str:
 def values(rows: list[tuple], names: str, alias: str = "t") -> str:
     """The rows as a SQL table."""
     return "(VALUES " + ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows) + f") AS {alias}({names})"
+
+#: Test cases of an evaluation.
+GOLDENS = [(1, "A lighthouse keeper's diary", "a plan"), (2, "Line one\nline two, \"quoted\"", "a chapter"), (3, "Übung", "a review")]
+#: Settings by path; one is a JSON object.
+MAP_SETTINGS = [("agent.models", '{"drafter": "small", "reviewer": "large"}'), ("agent.rate", "5")]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import content as C
 from skein.operators import catalog, config, coverage, docs, history, limits, render, stream
-from skein.sources import sessions
+from skein.sources import files, sessions
 from skein.sources.scratch import scratch_path
 from skein.streaming import segments as live
 
@@ -259,6 +259,98 @@ def session_paths(spark, d):
     return sessions.paths(X.frame(spark, X.SESSIONS, sessions.SCHEMA), "/data/")
 
 
+# --- the same text functions over whole tables
+
+def _turn_content(spark, d):
+    """Turns with content as agents store it: what an assistant says is a text block beside a tool call, the rest a bare string in a list."""
+    blocks = "to_json(array(named_struct('type', 'text', 'text', text), named_struct('type', 'tool_use', 'text', 'none')))"
+    raw = F.expr(f"CASE WHEN role = 'assistant' THEN {blocks} ELSE to_json(array(text)) END")
+    return _table(spark, d, "conversations").select("conv_id", "turn", F.parse_json(raw).alias("content"))
+
+
+@query("SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations")
+def turn_content(spark, d):
+    return _turn_content(spark, d).select("conv_id", "turn", C.extract_text(F.col("content")).alias("text"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN coalesce(text, '') ELSE '' END AS text FROM conversations")
+def turn_blocks(spark, d):
+    return _turn_content(spark, d).select("conv_id", "turn", C.text_blocks(F.col("content")).alias("text"))
+
+
+@query(f"SELECT conv_id, turn, t AS text, CASE WHEN t IN ('/exit', '/quit', '/help', '/session', '/reset') THEN t WHEN t <> '' THEN 'message' END AS command FROM (SELECT conv_id, turn, trim(text, {_SPACE}) AS t FROM conversations)")
+def turn_commands(spark, d):
+    return _table(spark, d, "conversations").select("conv_id", "turn", C.strip(F.col("text")).alias("text"), C.command(F.col("text")).alias("command"))
+
+
+@query(f"SELECT doc_id, trim(regexp_replace(t, '\\A---\\n(?s:.*?)\\n---\\n', ''), {_SPACE}) AS body, regexp_extract(regexp_extract(t, '\\A---\\n((?s:.*?))\\n---\\n', 1), '(?m)^name: (.*)$', 1) AS name FROM (SELECT doc_id, '---' || chr(10) || 'name: ' || source || chr(10) || '---' || chr(10) || text AS t FROM documents)")
+def document_front_matter(spark, d):
+    text = F.concat(F.lit("---\nname: "), "source", F.lit("\n---\n"), "text")
+    return _table(spark, d, "documents").select("doc_id", C.strip_front_matter(text).alias("body"), C.front_matter_field(text, "name").alias("name"))
+
+
+# --- stores, written and read back
+
+@query(f"SELECT conv_id AS thread_id, turn AS seq, {_KIND} AS type, text FROM conversations")
+def stored_messages(spark, d):
+    path = scratch_path(spark, "messages")
+    files.write_messages(_messages(spark, d), path)
+    return spark.read.parquet(path).select("thread_id", "seq", "type", C.extract_text(F.col("content")).alias("text"))
+
+
+@query(f"SELECT conv_id AS thread_id, turn AS seq, {_KIND} AS type, text FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM conversations)")
+def thread_state(spark, d):
+    path = scratch_path(spark, "messages")
+    messages = _messages(spark, d)
+    files.write_messages(messages, path)
+    asked = messages.agg(F.min("thread_id")).first()[0]
+    return files.read_thread(spark, path, asked).select("thread_id", "seq", "type", C.extract_text(F.col("content")).alias("text"))
+
+
+@query("SELECT conv_id AS thread_id, turn AS seq, role AS label, text, 0::BIGINT AS n_messages FROM conversations WHERE conv_id = -1")
+def absent_thread_replay(spark, d):
+    return history.replay(history.thread(_messages(spark, d), -1))
+
+
+@query("SELECT regexp_replace(text, '[\\r\\n]', ' ', 'g') AS text FROM conversations WHERE role = 'user' AND text IS NOT NULL")
+def input_history(spark, d):
+    path = scratch_path(spark, "history")
+    lines = _table(spark, d, "conversations").where("role = 'user' and text is not null").select("turn", F.regexp_replace("text", r"[\r\n]", " ").alias("text"))
+    for early in (F.col("turn") < 2, F.col("turn") >= 2):  # two sessions add to one history
+        files.append_history(lines.where(early), path)
+    return spark.read.text(path).select(F.col("value").alias("text"))
+
+
+def _markdown_files(spark) -> str:
+    """A folder with a file for each row of the fixture, below id=..."""
+    path = scratch_path(spark, "markdown")
+    X.frame(spark, X.MARKDOWN, "id int, text string").where("text is not null").repartition("id").write.partitionBy("id").text(path)
+    return path
+
+
+def _by_id(found: DataFrame) -> DataFrame:
+    return found.select(F.regexp_extract("path", r"id=(\d+)/", 1).cast("int").alias("id"), "text")
+
+
+@query(f"SELECT id, text || chr(10) AS text FROM {X.values(X.MARKDOWN, 'id, text')} WHERE text IS NOT NULL")
+def whole_files(spark, d):
+    return _by_id(files.read_documents(spark, f"{_markdown_files(spark)}/*/*.txt"))
+
+
+@query(f"SELECT id, CASE WHEN id = 1 THEN coalesce(text || chr(10), '') ELSE '' END AS section FROM {X.values(X.MARKDOWN, 'id, text')}")
+def optional_sections(spark, d):
+    path = _markdown_files(spark)
+    found = _by_id(files.read_documents(spark, f"{path}/id=1/*.txt", optional=True).unionAll(files.read_documents(spark, f"{path}/absent/*.txt", optional=True)))
+    return X.frame(spark, X.MARKDOWN, "id int, own string").select("id").join(found, "id", "left").select("id", F.coalesce("text", F.lit("")).alias("section"))
+
+
+@query(f"SELECT id, scenario, outcome FROM {X.values(X.GOLDENS, 'id, scenario, outcome')}")
+def goldens(spark, d):
+    path = scratch_path(spark, "goldens")
+    X.frame(spark, X.GOLDENS, "id int, scenario string, outcome string").agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.text(path)
+    return files.read_goldens(spark, path).select(F.col("id").cast("int").alias("id"), "scenario", "outcome")
+
+
 # --- limits and configuration
 
 @query(f"SELECT thread, run, seq, n, CASE WHEN lim IS NULL OR n <= lim THEN 'ok' ELSE 'error' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY thread, run ORDER BY seq) AS n FROM {X.values(X.CALLS, 'thread, run, seq, lim')})")
@@ -314,6 +406,12 @@ def settings_tree(spark, d):
     return tree.select(*(F.col(f"{section}.{name}").alias(f"{section}_{name}") for section, name, _, _ in _FIELDS))
 
 
+@query(f"SELECT k AS name, json_extract_string(value, '$.' || k) AS text FROM (SELECT value, unnest(json_keys(value)) AS k FROM {X.values(X.MAP_SETTINGS, 'path, value')} WHERE path = 'agent.models')")
+def map_settings(spark, d):
+    found = config.map_setting(X.frame(spark, X.MAP_SETTINGS, "path string, value string"), "agent.models")
+    return found.select(F.explode("value").alias("name", "text"))
+
+
 @query(f"SELECT 0 AS part, ord, name, 'm' AS model FROM {X.values(X.FIXED_AGENTS, 'ord, name')} UNION ALL SELECT 1, ord, name, model FROM {X.values(X.OWN_AGENTS, 'ord, name, model')}")
 def subagents(spark, d):
     fixed = X.frame(spark, X.FIXED_AGENTS, "ord int, name string")
