@@ -1,10 +1,13 @@
 """Byte-level BPE by monoid tree reduction, with ids equal to those of a rank file's own library.
 
 A piece of text is encoded by halves. Two encoded neighbours are joined by encoding a window of tokens around their
-seam again; the window doubles on a side until the tokens outside provably stay. The proof: merges go by rank, leftmost
-first, and the first merge across a token boundary would also happen in the two tokens alone. So a sequence is the
-encoding of its bytes if and only if each pair of neighbours is the encoding of its own bytes; runs of an encoding are
-encodings. Hence only the window's two outer seams need a look. Decoding concatenates up the same kind of tree.
+seam again; it doubles to the left until the tokens outside provably stay, and moves on to the right until the seam to
+what is left does. The proof: merges go by rank, leftmost first, and the first merge across a token boundary would also
+happen in the two tokens alone. So a sequence is the encoding of its bytes if and only if each pair of neighbours is the
+encoding of its own bytes; runs of an encoding are encodings. Hence only the window's two outer seams need a look, and
+what a window has settled need not be encoded again when the next one starts behind it. A window takes as many tokens
+from the right as the last one took from the left, so that a join encodes no more than a few times its tokens: a run of
+one character costs its length times the depth of the tree. Decoding concatenates up the same kind of tree.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
 from array import array
 from collections.abc import Iterator
 
@@ -27,8 +31,10 @@ from .span_ids import SpanIds, gather
 
 #: Bytes up to which merges are applied to a piece directly, and ids up to which bytes are put together directly.
 LEAF_BYTES, LEAF_IDS = 8, 256
-#: Encoded pieces that a worker keeps, for new units made of known pieces.
-CACHE_PIECES = 50_000
+#: Encoded pieces that a worker keeps, for new units made of known pieces, and the characters that such a piece may have.
+CACHE_PIECES, CACHE_CHARS = 50_000, 64
+#: Bytes up to which the next merge is looked for in all pairs; longer windows keep their pairs in a heap.
+SHORT_BYTES = 64
 
 
 class TreeBpe:
@@ -41,9 +47,12 @@ class TreeBpe:
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
         self.stays = functools.lru_cache(maxsize=1 << 16)(self._stays)
+        self.window = functools.lru_cache(maxsize=1 << 14)(lambda raw: tuple(self._merged(raw)))
 
     def _merged(self, raw: bytes) -> list[int]:
         """The lowest-ranked pair of neighbours merges, the leftmost of equals, until none has a rank."""
+        if len(raw) > SHORT_BYTES:
+            return self._heaped(raw)
         ranks = self.ranks
         parts = [raw[i : i + 1] for i in range(len(raw))]
         none = len(self.bytes_of)
@@ -58,22 +67,51 @@ class TreeBpe:
                 pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
         return [ranks[x] for x in parts]
 
+    def _heaped(self, raw: bytes) -> list[int]:
+        """The same merges, with the pairs in a heap and the parts in a linked list. A pair whose parts have changed since
+        is known by its end and passed over."""
+        get, n = self.ranks.get, len(raw)
+        end, before = list(range(1, n + 1)), list(range(-1, n))
+        pairs = [(rank, i, i + 2) for i in range(n - 1) if (rank := get(raw[i : i + 2])) is not None]
+        heapq.heapify(pairs)
+        while pairs:
+            _, i, stop = heapq.heappop(pairs)
+            middle = end[i]
+            if middle < 0 or middle >= n or end[middle] != stop:
+                continue
+            end[i], end[middle] = stop, -1
+            if stop < n:
+                before[stop] = i
+                if (rank := get(raw[i : end[stop]])) is not None:
+                    heapq.heappush(pairs, (rank, i, end[stop]))
+            if i and (rank := get(raw[before[i] : stop])) is not None:
+                heapq.heappush(pairs, (rank, before[i], stop))
+        out, at = [], 0
+        while at < n:
+            out.append(self.ranks[raw[at : end[at]]])
+            at = end[at]
+        return out
+
     def _stays(self, left: int, right: int) -> bool:
         return self._merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of the bytes of two encodings put together."""
-        if not left or not right or self.stays(left[-1], right[0]):
-            return left + right
-        i = j = 1
-        while True:
-            i, j = min(i, len(left)), min(j, len(right))
-            window = self._merged(b"".join(map(self.bytes_of.__getitem__, left[len(left) - i :] + right[:j])))
-            free_left = i == len(left) or self.stays(left[-i - 1], window[0])
-            free_right = j == len(right) or self.stays(window[-1], right[j])
-            if free_left and free_right:
-                return left[: len(left) - i] + window + right[j:]
-            i, j = (i if free_left else 2 * i), (j if free_right else 2 * j)
+        out, at, step, spell = left, 0, 1, self.bytes_of.__getitem__
+        while out and at < len(right) and not self.stays(out[-1], right[at]):
+            ahead, i = b"".join(map(spell, right[at : at + step])), 1
+            while True:
+                i = min(i, len(out))
+                raw = b"".join(map(spell, out[len(out) - i :])) + ahead
+                window = self.window(raw) if len(raw) <= SHORT_BYTES else self._merged(raw)
+                if i == len(out) or self.stays(out[-i - 1], window[0]):
+                    break
+                i *= 2
+            if out is left:
+                out = list(left)
+            out[len(out) - i :] = window
+            at, step = at + step, i
+        return out + right[at:]
 
     def tree(self, raw: bytes) -> list[int]:
         if len(raw) <= LEAF_BYTES:
@@ -123,7 +161,7 @@ class TextEncoder:
     def _piece(self, piece: str) -> bytes:
         if (out := self.pieces.get(piece)) is None:
             out = array("I", self.bpe.piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
-            if len(self.pieces) < CACHE_PIECES:
+            if len(self.pieces) < CACHE_PIECES and len(piece) <= CACHE_CHARS:
                 self.pieces[piece] = out
         return out
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .common import equal_spans, span_hashes
+from .common import LONG_SPAN, equal_spans, span_hashes
 
-#: Distinct spans that a worker keeps; those met first stay, which are the frequent ones.
+#: Distinct spans that a worker keeps, none longer than LONG_SPAN; those met first stay, which are the frequent ones.
 CAPACITY = 1 << 18
 
 
@@ -72,7 +72,7 @@ class SpanIds:
         begin, size = begin[which], size[which]
         begin[odd], size[odd] = first[len(fresh) :], more[len(fresh) :]
         table = np.concatenate([self.ids, flat])
-        learn = np.flatnonzero(~taken[fresh])
+        learn = np.flatnonzero(~taken[fresh] & (width[where[fresh]] <= LONG_SPAN))
         if len(self.keys) < self.capacity and len(learn):
             mine = fresh[learn]
             kept = [cells[i] for i in learn.tolist()]
