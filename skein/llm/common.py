@@ -7,12 +7,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.sources.scratch import scratch_path
+from skein.sources.scratch import delete, scratch_path
 
 #: Bytes of text that a task turns into numpy arrays at a time; one longer text is a block of its own.
 BLOCK_BYTES = 1 << 21
@@ -32,9 +33,7 @@ def discard(*tables: DataFrame) -> None:
     """Delete tables made by saved() that no later step reads."""
     for df in tables:
         if path := getattr(df, "scratch", None):
-            jvm = df.sparkSession._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            delete(df.sparkSession, path)
 
 
 def spread(df: DataFrame) -> int:
@@ -216,6 +215,19 @@ def sifted(rows: DataFrame, wanted: Broadcast) -> DataFrame:
     return rows.mapInArrow(lambda batches: sift(batches, wanted), rows.schema)
 
 
+def member_state(place: Column, first: Broadcast, second: Broadcast) -> Column:
+    """0 for a hash that the first bitmap does not hold, 1 for one that it holds and the second does not, 2 for the rest.
+    Only the hash goes through Python; the row's other columns stay where they are."""
+
+    def state(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for hashes in batches:
+            some = hashes.to_numpy()
+            held = may_be_member(first.value, some)
+            yield pd.Series(held.astype(np.int32) + (held & may_be_member(second.value, some)))
+
+    return F.pandas_udf(state, "int")(place)
+
+
 def may_be_member(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Flags those xxhash64 hashes (as longs) that the bitmap holds."""
     place = hashes.view(np.uint64) >> np.uint64(64 - MEMBER_BITS)

@@ -100,7 +100,7 @@ def _counter(shingles: np.ndarray) -> np.ndarray:
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and the task's counts in slices."""
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    names = ["doc", "node", "n", "bitmap", "slice", "counts"]
+    names = ["doc", "th", "node", "n", "bitmap", "slice", "counts"]
     for rows, data, offsets in blocks(batches, "text"):
         node, n, maps, met = [], [], [], [np.zeros(0, np.uint64)]
         for x in shingle_sets(data, offsets):
@@ -110,10 +110,10 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             met.append(x)
         counts += np.bincount(_counter(np.concatenate(met)), minlength=1 << SKETCH_BITS)
         none = pa.nulls(rows.num_rows, pa.int32()), pa.nulls(rows.num_rows, pa.binary())
-        yield pa.RecordBatch.from_arrays([rows.column("doc"), pa.array(node, pa.binary()), pa.array(n, pa.int32()), pa.array(maps, pa.binary()), *none], names)
+        yield pa.RecordBatch.from_arrays([rows.column("doc"), rows.column("th"), pa.array(node, pa.binary()), pa.array(n, pa.int32()), pa.array(maps, pa.binary()), *none], names)
     parts = counts.reshape(-1, 1 << SLICE_BITS)
     used = np.flatnonzero(parts.any(axis=1))
-    none = [pa.nulls(len(used), t) for t in (pa.int64(), pa.binary(), pa.int32(), pa.binary())]
+    none = [pa.nulls(len(used), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())]
     yield pa.RecordBatch.from_arrays([*none, pa.array(used, pa.int32()), pa.array([np.minimum(parts[i], 2**31 - 1).astype("<i4").tobytes() for i in used], pa.binary())], names)
 
 
@@ -382,8 +382,10 @@ def _open_cells(rows: DataFrame) -> DataFrame:
     return members.select(columns).unionAll(sides.select(columns))
 
 
-def link_documents(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def link_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", with_groups: bool = False) -> DataFrame:
     """(key, n_shingles, component_id) for each document: the size of its set and the smallest key that links lead to.
+    With with_groups, also th (Spark's xxhash64 of the text) and group_id, which is one for all rows that links connect and for
+    no others, also where rows with one key have texts that are not linked; it is null for the empty set and a null key.
 
     A null or empty text has the empty set, links with nothing and is a component of its own. Rows with a null key have
     a null component. Repeated rows repeat; rows with one key and different texts each have their own set and component.
@@ -391,14 +393,14 @@ def link_documents(documents: DataFrame, key: str = "doc_id", text: str = "text"
     """
     spark, parts = documents.sparkSession, spread(documents)
     kind = documents.schema[key].dataType
-    rows = documents.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    summary = saved(rows.mapInArrow(_summaries, "doc long, node binary, n int, bitmap binary, slice int, counts binary"), "summaries")
+    rows = documents.select(F.col(key).cast("long").alias("doc"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+    summary = saved(rows.mapInArrow(_summaries, "doc long, th long, node binary, n int, bitmap binary, slice int, counts binary"), "summaries")
     sketch = np.zeros(1 << SKETCH_BITS, np.int32)
     slices = summary.where("slice is not null").select("slice", "counts").repartition(parts, "slice").sortWithinPartitions("slice")
     for number, counts in slices.mapInArrow(_summed, "slice int, counts binary").collect():
         sketch[number << SLICE_BITS : (number + 1) << SLICE_BITS] = np.frombuffer(counts, "<i4")
     shared = spark.sparkContext.broadcast(sketch)
-    known = summary.where("slice is null").select("doc", "node", "n")
+    known = summary.where("slice is null").select("doc", "th", "node", "n")
     named = summary.where("node is not null and doc is not null").groupBy("node")
 
     tokens = rows.where("doc is not null").mapInArrow(_prefixes(shared), "token long, salt int, high long, low long")
@@ -435,6 +437,8 @@ def link_documents(documents: DataFrame, key: str = "doc_id", text: str = "text"
     # by set, then by document: copies of a text meet only the rows of their own set
     size = known.where("node is not null and doc is not null").groupBy("node").agg(F.min("doc").alias("least")).join(roots, "node", "left")
     smallest = size.where("root is not null").groupBy("root").agg(F.min("least").alias("component"))
-    size = size.join(smallest, "root", "left").select("node", F.coalesce("component", "least").alias("component"))
-    found = known.join(size, "node", "left").select("doc", "n", F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component"))
-    return found.select(F.col("doc").cast(kind).alias(key), F.col("n").cast("long").alias("n_shingles"), F.col("component").cast(kind).alias("component_id"))
+    size = size.join(smallest, "root", "left").select("node", F.coalesce("root", "node").alias("group"), F.coalesce("component", "least").alias("component"))
+    has_key = F.col("doc").isNotNull()
+    found = known.join(size, "node", "left").select("doc", "n", "th", F.when(has_key, F.col("group")).alias("group"), F.when(has_key, F.coalesce("component", "doc")).alias("component"))
+    columns = [F.col("doc").cast(kind).alias(key), F.col("n").cast("long").alias("n_shingles"), F.col("component").cast(kind).alias("component_id")]
+    return found.select(*columns, *[F.col("th"), F.col("group").alias("group_id")] * with_groups)

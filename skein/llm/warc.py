@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,7 +82,7 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
 
 
 _HEAD = "page_id long, payload_bytes long, stated string, record_type string, refers_to long"
-_PIECE = f"file string, block long, at long, size long, follows long, leaves long, digest string, {_HEAD}"
+_PIECE = f"file string, block long, at long, size long, follows long, leaves long, digest string, name binary, {_HEAD}"
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -127,7 +128,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each piece: as if it were a record, where that record's successor would be, and where the chain from it
     leaves this split (null if it ends inside). A record that is one piece gets the digest of its block."""
     names = [x.split()[0] for x in _PIECE.split(", ")]
-    kinds = [pa.string(), *[pa.int64()] * 5, pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    kinds = [pa.string(), *[pa.int64()] * 5, pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
     def out(rows: list[list]) -> pa.RecordBatch:
         at = np.array([r[2] for r in rows], np.int64)
@@ -143,7 +144,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rows and rows[-1][:2] != [file, block]:
             yield out(rows)
             rows = []
-        row = [file, block, at, len(data), None, None, None, *[None] * 5]
+        row = [file, block, at, len(data), None, None, None, xxhash.xxh3_128_digest(data), *[None] * 5]
         if found := _head(data):
             body, fields = found
             size = int(fields["Content-Length"])
@@ -153,7 +154,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if claim == len(data):
                 row[6] = hashlib.sha1(data[body : body + size]).hexdigest()
             whole = number("Payload-Length") if "Payload-Length" in fields else size
-            row[7:] = [number("WARC-Record-ID"), whole, fields.get("WARC-Payload-Digest", "").removeprefix("sha1:"), fields.get("WARC-Type"), number("WARC-Refers-To")]
+            row[8:] = [number("WARC-Record-ID"), whole, fields.get("WARC-Payload-Digest", "").removeprefix("sha1:"), fields.get("WARC-Type"), number("WARC-Refers-To")]
         rows.append(row)
     if rows:
         yield out(rows)
@@ -177,9 +178,7 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = live & (follows != at + np.array(table.column("size")) + len(MAGIC))
         inside = np.where(head < 0, base + at >= len(MAGIC), many[np.maximum(head, 0)])  # before a file's first magic is nothing
         owner = pa.array(base + at[np.maximum(head, 0)], pa.int64(), mask=head < 0)
-        file, block = table.column("file")[0].as_py(), table.column("block")[0].as_py()
-        place = pa.array([_place(file, block, x) if i else None for x, i in zip(at.tolist(), inside.tolist(), strict=True)], pa.int64())
-        extra = {"top": pa.array(base + at), "behind": pa.array(base + follows), "live": pa.array(live), "inside": pa.array(inside), "owner": owner, "place": place}
+        extra = {"top": pa.array(base + at), "behind": pa.array(base + follows), "live": pa.array(live), "inside": pa.array(inside), "owner": owner}
         for name, column in extra.items():
             table = table.append_column(name, column)
         yield from table.drop_columns(["follows", "leaves", "base", "entry"]).combine_chunks().to_batches()
@@ -206,23 +205,26 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 3, (pa.string(), pa.int64(), pa.string()), strict=True)], ["file", "owner", "found"])
 
 
-def _place(file: str, block: int, at: int) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{file} {block} {at}".encode(), digest_size=8).digest(), "little", signed=True)
+def _place(name: bytes) -> int:
+    """What Spark's xxhash64 of the name is."""
+    return int.from_bytes(xxhash.xxh64_digest(name, seed=42), "big", signed=True)
 
 
 def _located(wanted):
-    """The pieces that may be wanted, about 4 MB at a time."""
+    """The pieces that may be wanted, about 4 MB at a time, by the name of their bytes. How Spark deals out the files this
+    time does not matter: what stands between two magics is the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            columns = list(zip(*held, strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["file", "block", "at", "piece"])
+            columns = list(zip(*held, strict=True)) or [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.binary()), strict=True)], ["file", "name", "piece"])
 
         held, size = [], 0
-        for row in _placed(batches):
-            if may_be_member(wanted.value, np.array([_place(*row[:3])]))[0]:
-                held.append(row)
-                size += len(row[3])
+        for file, _, _, piece in _placed(batches):
+            name = xxhash.xxh3_128_digest(piece)
+            if may_be_member(wanted.value, np.array([_place(name)]))[0]:
+                held.append((file, name, piece))
+                size += len(piece)
             if size > 4 << 20:
                 yield out()
                 held, size = [], 0
@@ -267,7 +269,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     entries = _entries(based.select("file", "block", "at", (F.col("base") + F.col("at")).alias("top"), (F.col("base") + F.col("leaves")).alias("leaves")))
     order = ["file", "block", "at"]
     rows = based.join(entries, ["file", "block"], "left").repartition(spread(pieces), "file", "block").sortWithinPartitions(*order)
-    schema = f"file string, block long, at long, size long, digest string, {_HEAD}, top long, behind long, live boolean, inside boolean, owner long, place long"
+    schema = f"file string, block long, at long, size long, digest string, name binary, {_HEAD}, top long, behind long, live boolean, inside boolean, owner long"
     chain = saved(rows.select(*[x.split()[0] for x in _PIECE.split(", ")], "base", "entry").mapInArrow(_chain, schema), "chain")
     records = chain.where("live")
     ends = splits.groupBy("file").agg(F.sum("bytes").alias("total")).join(records.groupBy("file").agg(F.max("behind").alias("reached")), "file", "left")
@@ -276,10 +278,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     discard(pieces, splits)
     inside = chain.where("inside")
     if inside.limit(1).count():  # blocks with magics in them: their pieces, and no others, are brought together
-        owned = inside.select(*order, "top", F.last("owner", ignorenulls=True).over(Window.partitionBy("file").orderBy("top")).alias("owner"))
-        wanted = spark.sparkContext.broadcast(member_bits(inside.select("place")))
-        again = _pieces(spark, path).mapInArrow(_located(wanted), "file string, block long, at long, piece binary")
-        parts = again.join(owned, order).select("file", "owner", "top", "piece")
+        owned = inside.select("file", "name", "top", F.last("owner", ignorenulls=True).over(Window.partitionBy("file").orderBy("top")).alias("owner"))
+        wanted = spark.sparkContext.broadcast(member_bits(inside.select(F.xxhash64("name").alias("place"))))
+        again = _pieces(spark, path).mapInArrow(_located(wanted), "file string, name binary, piece binary")
+        # pieces of equal bytes are one here; the join gives each place its own
+        parts = again.dropDuplicates(["file", "name"]).join(owned, ["file", "name"]).select("file", "owner", "top", "piece")
         found = parts.repartition(spread(chain), "file", "owner").sortWithinPartitions("file", "owner", "top").mapInArrow(_digests, "file string, owner long, found string")
         records = records.drop("owner").join(found.withColumnRenamed("owner", "top"), ["file", "top"], "left").withColumn("digest", F.coalesce("found", "digest"))
     wrong = F.raise_error(F.concat(F.lit("the payload at "), (F.col("top") - size).cast("string"), F.lit(" does not have the digest in its header")))

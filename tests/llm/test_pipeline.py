@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import base64
+import random
+from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 import numpy as np
@@ -65,9 +68,48 @@ def test_run(spark, odd, empty):
     assert corpus_pipeline.run(spark, empty).collect() == []
 
 
-def test_repeated_rows_and_null_keys(spark, odd):
-    docs = spark.read.parquet(f"{odd}/documents.parquet")
-    twice = docs.unionAll(docs).unionAll(docs.limit(3).selectExpr("cast(null as bigint) as doc_id", *docs.columns[1:]))
-    for _, stage in corpus_pipeline.STAGES:
-        out = stage(spark, twice, odd).collect()
-        assert {r["doc_id"] for r in out} - {None}
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(seed: int, n: int = 120) -> str:
+    rnd = random.Random(seed)
+    return " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 8))) for _ in range(n))
+
+
+def shared() -> list[tuple]:
+    """Ids on two texts, repeated rows, null ids and texts, and rows that differ in another column alone."""
+    a, q, z = words(1), words(2), words(3)
+    near = a.replace(a.split()[60], "changed", 1)
+    texts = [(1, a), (5, near), (5, z), (7, q), (7, q), (8, q), (9, None), (9, None), (9, ""), (10, ""), (None, a), (None, a), (11, "two words"), (12, "two words"), (5, words(4))]
+    return [(k, t, "en", "s", None if t is None else len(t)) for k, t in texts] + [(7, q, "en", "another", len(q))]
+
+
+def test_near_duplicates_by_row(spark):
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(shared(), SCHEMA), "")
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    a, q, z = words(1), words(2), words(3)
+    expected = [(1, a, "s"), (5, z, "s"), (5, words(4), "s"), (7, q, "another"), (9, None, "s"), (9, "", "s"), (10, "", "s"), (None, a, "s"), (None, a, "s"), (11, "two words", "s")]
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in out.collect()) == Counter(expected)
+
+
+def test_stages_on_repeated_rows_and_null_keys(spark, odd):
+    docs = spark.createDataFrame(shared(), SCHEMA)
+    rows = Counter(map(tuple, docs.collect()))
+    kept = Counter(map(tuple, corpus_pipeline.quality(spark, docs, odd).collect()))
+    assert kept == Counter({r: n for r, n in rows.items() if r[1] and len(r[1].split()) >= 50})
+    kept = Counter(map(tuple, corpus_pipeline.benchmark_leaks(spark, docs, odd).collect()))
+    assert kept == rows  # no row holds a window
+    cut = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.repeats(spark, docs, odd).collect())
+    a, q = words(1), words(2)
+    assert cut[(None, a)] == 2 and cut[(1, "")] == 1 and cut[(7, q)] == 3 and cut[(8, "")] == 1 and cut[(9, "")] == 3 and cut[(11, "two words")] == 1
+    out = Counter((r["doc_id"], r["n_tokens"] > 0) for r in corpus_pipeline.tokens(spark, docs, odd).collect())
+    assert out == Counter((k, bool(t)) for k, t, *_ in shared())
+
+
+def test_scratch_of_the_stages_goes(spark, odd):
+    from skein.sources.scratch import scratch_path
+
+    folder = Path(scratch_path(spark, "any").removeprefix("file://")).parent
+    before = {*folder.iterdir()} if folder.exists() else set()
+    assert corpus_pipeline.run(spark, odd).count()
+    assert [p.name.split("-")[0] for p in {*folder.iterdir()} - before] == ["decontaminate"]

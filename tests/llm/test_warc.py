@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 HEAD = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{}>\r\nWARC-Payload-Digest: sha1:{}\r\nContent-Length: {}\r\n\r\n"
 
@@ -42,6 +43,19 @@ def test_records_over_ranges(spark, tmp_path, in_ranges):
     assert Counter(map(tuple, rows)) == Counter((i, len(p), hashlib.sha1(p).hexdigest(), "response", None) for i, p in enumerate(every))
 
 
+def test_second_read_in_other_ranges(spark, tmp_path, in_ranges):
+    """Executors come and go between the two reads, and Spark deals the files out anew."""
+    from skein.llm import warc
+
+    every = payloads()
+    (tmp_path / "a.warc").write_bytes(b"".join(record(i, p) for i, p in enumerate(every)))
+    found = warc.read_warc(spark, f"file://{tmp_path}")
+    for size in (1500, 40_000, 1 << 27):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        rows = found.select("*", F.lit(size)).collect()
+        assert Counter(r[:5] for r in rows) == Counter((i, len(p), hashlib.sha1(p).hexdigest(), "response", None) for i, p in enumerate(every))
+
+
 def test_broken_archives_raise(spark, tmp_path, in_ranges):
     from skein.llm import warc
 
