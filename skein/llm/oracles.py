@@ -77,5 +77,26 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGI
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN g USING (doc_id)"""
 
 
+def _filter_audit() -> str:
+    letters = "(SELECT unnest(range(5)) AS j)"
+    pick = ", ".join(f"p{k}.j AS j{k}" for k in range(1, 6))
+    joins = " ".join(f"JOIN {letters} p{k} ON p{k}.j NOT IN ({', '.join(f'p{i}.j' for i in range(1, k))})" for k in range(2, 6))
+    subset = lambda k: " + ".join(["0", *(f"(1 << j{i})" for i in range(1, k))])
+    named = " || ".join(f"chr(CAST(65 + j{k} AS INTEGER))" for k in range(1, 6))
+    each = " UNION ALL ".join(f"SELECT {named} AS filter_order, {k} AS step, {subset(k)} AS before, j{k} AS j FROM orders" for k in range(1, 6))
+    lost = lambda c: f"CAST(b.{c} - a.{c} AS BIGINT)"
+    return f"""
+WITH marks AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_SPLIT.format("coalesce(text, '')", _WHITE)} AS ws FROM documents),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS mask FROM d LEFT JOIN marks USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM m GROUP BY part, mask),
+s AS (SELECT part, s, coalesce(sum(n) FILTER (WHERE mask & s = 0), 0) AS n, coalesce(sum(good) FILTER (WHERE mask & s = 0), 0) AS good, coalesce(sum(toxic) FILTER (WHERE mask & s = 0), 0) AS toxic, coalesce(sum(n) FILTER (WHERE mask = s), 0) AS own FROM c, (SELECT unnest(range(32)) AS s) GROUP BY part, s),
+orders AS (SELECT {pick} FROM {letters} p1 {joins}),
+steps AS ({each}),
+r AS (SELECT b.part, filter_order, step, j, a.n AS kept, {lost('n')} AS removed, CAST(z.n - y.n AS BIGINT) - {lost('n')} AS redundant, y.own AS unique_fails, {lost('good')} AS good_lost, {lost('toxic')} AS toxic_lost
+  FROM steps JOIN s b ON b.s = before JOIN s a ON a.part = b.part AND a.s = before + (1 << j) JOIN s z ON z.part = b.part AND z.s = 0 JOIN s y ON y.part = b.part AND y.s = (1 << j))
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, removed, redundant, CAST(unique_fails AS BIGINT) AS unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, j) AS BIGINT) AS shapley FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _quality_rules(), "op5_warc": _WARC, "op6_jaccard_join": _JACCARD, "op7_url_filter": _url_filter(), "op9_decontaminate": _DECONTAMINATE}
+    return {"op2_quality_rules": _quality_rules(), "op5_warc": _WARC, "op6_jaccard_join": _JACCARD, "op7_url_filter": _url_filter(), "op9_decontaminate": _DECONTAMINATE, "op11_filter_audit": _filter_audit()}
