@@ -131,11 +131,11 @@ class TreeBpe:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-#: Patterns that _unit_starts holds for. Under any other, a text is one unit.
+#: Patterns that unit_starts holds for. Under any other, a text is one unit.
 SPACED_PATTERNS = (public_tokenizers.PATTERN,)
 
 
-def _unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Places that no match of the pattern crosses: row starts, and spaces with a character on either side that is surely
     no white space (ASCII that prints, or two bytes from C3 up). What is between them is matched and encoded by itself."""
     n = len(data)
@@ -171,7 +171,7 @@ class TextEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, and where each row's begin and the last end."""
-        starts = _unit_starts(data, offsets) if self.spaced else distinct(offsets[:-1][np.diff(offsets) > 0])
+        starts = unit_starts(data, offsets) if self.spaced else distinct(offsets[:-1][np.diff(offsets) > 0])
         ids, total = gather(*self.spans.look_up(data, starts, np.append(starts[1:], len(data))))
         return ids, np.append(0, total)[np.searchsorted(starts, offsets)]
 

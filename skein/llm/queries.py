@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from skein.sources.scratch import scratch_path
 
-from . import byte_bpe, decontaminate, jaccard, quality_model, quality_rules, suffix_dedup, token_output, toxicity, url_filter, warc
+from . import byte_bpe, decontaminate, filter_audit, jaccard, quality_model, quality_rules, simhash, suffix_dedup, token_alignment, token_output, toxicity, url_filter, warc
 from .oracles import oracle_sql as oracle_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,9 +78,22 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(spark, path)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.link_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_byte_bpe, op4_suffix_dedup, op5_warc, op6_jaccard_join, op7_url_filter, op8_quality_model, op9_decontaminate, op10_token_output, pipeline)}
+    every = (op1_toxicity, op2_quality_rules, op3_byte_bpe, op4_suffix_dedup, op5_warc, op6_jaccard_join, op7_url_filter, op8_quality_model, op9_decontaminate, op10_token_output, op11_filter_audit, op12_simhash, op13_token_alignment, pipeline)
+    return {f.__name__: f for f in every}
