@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,9 +63,16 @@ def system_prompt(skills: DataFrame) -> DataFrame:
 
 
 def settings_from(spark: SparkSession, environment: dict[str, str], prefix: str) -> DataFrame:
-    """(path, value) of the variables with the prefix: `__` parts a path, names are lower-cased, as a settings reader does."""
-    rows = [(k[len(prefix) :].lower().replace("__", "."), v) for k, v in sorted(environment.items()) if k.upper().startswith(prefix.upper())]
-    return spark.createDataFrame(rows, "path string, value string")
+    """(path, value) of the variables of one process, as settings_of."""
+    return settings_of(spark.createDataFrame(sorted(environment.items()), "name string, value string"), prefix)
+
+
+def settings_of(variables: DataFrame, prefix: str) -> DataFrame:
+    """(path, value, and all other columns) of the variables (name, value) with the prefix: `__` parts a path, names are
+    lower-cased, as a settings reader does."""
+    own = variables.where(F.upper(F.substring("name", 1, len(prefix))) == prefix.upper())
+    path = F.replace(F.lower(F.substring("name", len(prefix) + 1, 1 << 30)), F.lit("__"), F.lit("."))
+    return own.select(path.alias("path"), "value", *(c for c in variables.columns if c not in ("name", "value")))
 
 
 def _typed(raw: Column, kind: str, allowed: tuple[str, ...]) -> Column:
@@ -76,15 +85,15 @@ def _typed(raw: Column, kind: str, allowed: tuple[str, ...]) -> Column:
     return raw.cast(kind)
 
 
-def settings_tree(settings: DataFrame, root_dir: str) -> DataFrame:
-    """One row with a struct for each section, of typed fields: a field's own variable, else its place in a section given
+def settings_tree(settings: DataFrame, root_dir: str, by: Sequence[str] = ()) -> DataFrame:
+    """One row (or one for each value of the columns by, where many tenants' settings are in one table) with a struct for each section, of typed fields: a field's own variable, else its place in a section given
     as one JSON object, else the default. root_dir is the default of backend.root_dir.
 
     Values that don't fit their type or choice raise an error; of several values for one path the greatest counts; paths
     of no field are ignored. Without any settings all is default.
     """
-    once = settings.groupBy("path").agg(F.max("value").alias("value")).where("path is not null and value is not null")
-    given = once.agg(F.map_from_entries(F.collect_list(F.struct("path", "value"))).alias("given"))
+    once = settings.groupBy(*by, "path").agg(F.max("value").alias("value")).where("path is not null and value is not null")
+    given = once.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("path", "value"))).alias("given"))
 
     def field(section: str, name: str, kind: str, default: str | None) -> Column:
         own, whole = (F.try_element_at("given", F.lit(p)) for p in (f"{section}.{name}", section))
@@ -92,7 +101,7 @@ def settings_tree(settings: DataFrame, root_dir: str) -> DataFrame:
         raw = F.coalesce(own, F.get_json_object(whole, f"$.{name}"), F.lit(usual).cast("string"))
         return _typed(raw, kind, CHOICES.get(f"{section}.{name}", ())).alias(name)
 
-    return given.select(*(F.struct(*(field(section, *f) for f in fields)).alias(section) for section, fields in SECTIONS.items()))
+    return given.select(*by, *(F.struct(*(field(section, *f) for f in fields)).alias(section) for section, fields in SECTIONS.items()))
 
 
 def equipment(settings: DataFrame) -> DataFrame:
@@ -105,5 +114,6 @@ def equipment(settings: DataFrame) -> DataFrame:
 
 
 def map_setting(settings: DataFrame, path: str) -> DataFrame:
-    """A JSON object in a setting as a map; malformed text gives null."""
-    return settings.where(F.col("path") == path).select(F.from_json("value", "map<string,string>").alias("value"))
+    """A JSON object in a setting as a map, beside all other columns; malformed text gives null."""
+    others = [c for c in settings.columns if c not in ("path", "value")]
+    return settings.where(F.col("path") == path).select(*others, F.from_json("value", "map<string,string>").alias("value"))

@@ -11,27 +11,41 @@ COVERED, PARTIAL, MISSING = "Covered", "Partial", "Missing"
 _KEY = ["slug", "dim", "sub"]
 
 
-def coverage(spec: DataFrame, findings: DataFrame) -> DataFrame:
-    """Each commitment of the spec with its finding; without one it is Missing."""
-    return spec.select(_KEY).join(findings.select(*_KEY, "status", "note"), _KEY, "left").withColumn("status", F.coalesce("status", F.lit(MISSING)))
+def coverage(spec: DataFrame, findings: DataFrame, chapters: DataFrame | None = None) -> DataFrame:
+    """Each commitment of the spec (slug, dim, sub) with its finding; without one it is Missing. With chapters (slug,
+    chapter), of which each is reviewed by itself, each chapter's findings against all commitments of its slug."""
+    key, wanted = list(_KEY), spec.select(_KEY)
+    if chapters is not None:
+        key, wanted = ["slug", "chapter", "dim", "sub"], wanted.join(chapters.select("slug", "chapter"), "slug")
+    return wanted.join(findings.select(*key, "status", "note"), key, "left").select(*key, F.coalesce("status", F.lit(MISSING)).alias("status"), "note")
+
+
+def _review(covered: DataFrame) -> list[str]:
+    """What one review is of: a chapter, or a whole story."""
+    return [c for c in ("slug", "chapter") if c in covered.columns]
 
 
 def severity(covered: DataFrame, families: DataFrame) -> DataFrame:
     """Findings with their rank: core Missing, core Partial, then those of the source relationship; Covered is no finding."""
-    core = F.col("family") == "core"
+    core, own = F.col("family") == "core", _review(covered)
     rank = F.when(core & (F.col("status") == MISSING), 1).when(core & (F.col("status") == PARTIAL), 2).when(~core, 3)
     found = covered.join(families.select("dim", "family").distinct(), "dim").where(F.col("status") != COVERED)
-    return found.select(*_KEY, "status", rank.alias("rank")).orderBy("slug", "rank", "dim", "sub")
+    return found.select(*own, "dim", "sub", "status", rank.alias("rank")).orderBy(*own, "rank", "dim", "sub")
 
 
 def gate(covered: DataFrame, families: DataFrame) -> DataFrame:
-    """Per slug: blocked if any core commitment is Missing."""
+    """Per review: blocked if any core commitment is Missing. Of chapters also may_start: no chapter before is blocked, as
+    a blocked one keeps those behind it from being drafted. The first blocked chapter of a slug is an aggregate."""
     rows = covered.join(families.select("dim", "family").distinct(), "dim")
-    return rows.groupBy("slug").agg(F.bool_or((F.col("family") == "core") & (F.col("status") == MISSING)).alias("blocked"))
+    judged = rows.groupBy(*_review(covered)).agg(F.bool_or((F.col("family") == "core") & (F.col("status") == MISSING)).alias("blocked"))
+    if "chapter" not in covered.columns:
+        return judged
+    first = judged.groupBy("slug").agg(F.min(F.when(F.col("blocked"), F.col("chapter"))).alias("first_blocked"))
+    return judged.join(first, "slug").select("slug", "chapter", "blocked", F.coalesce(F.col("chapter") <= F.col("first_blocked"), F.lit(True)).alias("may_start"))
 
 
 def status_counts(covered: DataFrame) -> DataFrame:
-    return covered.groupBy("slug", "dim", "status").agg(F.count("*").alias("n"))
+    return covered.groupBy(*_review(covered), "dim", "status").agg(F.count("*").alias("n"))
 
 
 def without_plan(spec: DataFrame, plan: DataFrame) -> DataFrame:
@@ -56,10 +70,15 @@ def unpaid_setups(briefs: DataFrame) -> DataFrame:
     return setups.join(paid, ["slug", "element"], "left").where("paid is null or paid <= chapter").select("slug", "chapter", "element")
 
 
-def pov_drift(briefs: DataFrame) -> DataFrame:
-    """Chapters whose point of view is not that of the chapter before, unless an exception is noted."""
+def pov_drift(briefs: DataFrame, voices: DataFrame | None = None) -> DataFrame:
+    """Chapters whose point of view is not that of the chapter before or, with voices (slug, wanted), not that which the
+    spec chose, unless an exception is noted. A spec without a choice asks for none. (slug, chapter, was, wanted, pov);
+    without voices there is no wanted."""
     last = F.lag("pov").over(Window.partitionBy("slug").orderBy("chapter"))
-    return briefs.withColumn("was", last).where("was <> pov and not coalesce(pov_exception, false)").select("slug", "chapter", "was", "pov")
+    rows, off, columns = briefs.withColumn("was", last), "was <> pov", ["slug", "chapter", "was", "pov"]
+    if voices is not None:
+        rows, off, columns = rows.join(voices.select("slug", "wanted"), "slug", "left"), "coalesce(was <> pov, false) or wanted <> pov", ["slug", "chapter", "was", "wanted", "pov"]
+    return rows.where(f"({off}) and not coalesce(pov_exception, false)").select(columns)
 
 
 def continuity(summaries: DataFrame) -> DataFrame:
@@ -68,10 +87,10 @@ def continuity(summaries: DataFrame) -> DataFrame:
     return summaries.select("slug", "chapter", F.array_join(F.collect_list("summary").over(before), " ").alias("so_far"))
 
 
-def whole_story(briefs: DataFrame) -> DataFrame:
+def whole_story(briefs: DataFrame, voices: DataFrame | None = None) -> DataFrame:
     """Per slug: setups without payoff, and chapters that drift."""
     unpaid = unpaid_setups(briefs).groupBy("slug").agg(F.count("*").alias("unpaid"))
-    drift = pov_drift(briefs).groupBy("slug").agg(F.count("*").alias("drifts"))
+    drift = pov_drift(briefs, voices).groupBy("slug").agg(F.count("*").alias("drifts"))
     out = briefs.select("slug").distinct().join(unpaid, "slug", "left").join(drift, "slug", "left")
     return out.select("slug", F.coalesce("unpaid", F.lit(0)).cast("long").alias("unpaid"), F.coalesce("drifts", F.lit(0)).cast("long").alias("drifts"))
 

@@ -51,6 +51,13 @@ def thread(messages: DataFrame, thread_id) -> DataFrame:
     return messages.where(F.col("thread_id") == thread_id).orderBy("seq")
 
 
+def shown_of(asked: DataFrame, messages: DataFrame) -> DataFrame:
+    """(thread_id, found, n_shown) of the threads asked for: an absent thread has an empty history and shows nothing."""
+    counts = history_counts(messages).select("thread_id", "n_shown", F.lit(True).alias("found"))
+    out = asked.select("thread_id").join(counts, "thread_id", "left")
+    return out.select("thread_id", F.coalesce("found", F.lit(False)).alias("found"), F.coalesce("n_shown", F.lit(0)).cast("long").alias("n_shown"))
+
+
 def unanswered(messages: DataFrame) -> DataFrame:
     """Human messages with no later ai message in their thread: an aggregate, not a range join."""
     last = messages.where("type = 'ai'").groupBy("thread_id").agg(F.max("seq").alias("last_reply"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import content as C
 from skein.operators import config, docs, history, limits, render, stream
-from skein.plans import fixtures as X
+import fixtures as X
 from skein.sources import files, sessions
 from skein.streaming import segments as live
 

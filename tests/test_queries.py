@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 
 import duckdb
+import fixture_queries
 import pytest
 
 from skein.plans import registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = "conversations documents events customer".split()
+TABLES = "region nation customer supplier part orders lineitem events documents conversations labels pages".split()
 
 
 @pytest.fixture(scope="module")
@@ -25,15 +26,32 @@ def plain(x):
     return round(x, 9) if isinstance(x, float) and math.isfinite(x) else x
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
-def test_against_sql(spark, duck, name):
-    df = registry.queries()[name](spark, SF)
+def agree(duck, df, sql: str) -> None:
     rows = sorted((tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect()), key=repr)
-    if name not in registry.oracle_sql():
-        assert rows
-        return
-    got = duck.execute(registry.oracle_sql()[name])
+    got = duck.execute(sql)
     names = [c[0] for c in got.description]
     order = sorted(range(len(names)), key=names.__getitem__)
     assert sorted(df.columns) == sorted(names)
     assert rows == sorted((tuple(plain(r[i]) for i in order) for r in got.fetchall()), key=repr)
+    assert rows
+
+
+@pytest.mark.parametrize("name", sorted(registry.queries()))
+def test_against_sql(spark, duck, name):
+    df = registry.queries()[name](spark, SF)
+    if name in registry.oracle_sql():
+        agree(duck, df, registry.oracle_sql()[name])
+    else:
+        assert df.count()
+
+
+@pytest.mark.parametrize("name", sorted(fixture_queries.QUERIES))
+def test_fixtures_against_sql(spark, duck, name):
+    agree(duck, fixture_queries.QUERIES[name](spark, ""), fixture_queries.SQL[name])
+
+
+def test_every_query_reads_a_table(spark):
+    """Its plan, or that of a table it has written, scans a file of the folder."""
+    for name, query in registry.queries().items():
+        if name not in ("reply_segments_streamed", "stored_messages", "thread_state", "input_history", "whole_files", "goldens") and not name.startswith("streamed_"):
+            assert any(SF in f for f in query(spark, SF).inputFiles()), name
