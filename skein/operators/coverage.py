@@ -81,9 +81,10 @@ def pov_drift(briefs: DataFrame, voices: DataFrame | None = None) -> DataFrame:
     return rows.where(f"({off}) and not coalesce(pov_exception, false)").select(columns)
 
 
-def continuity(summaries: DataFrame) -> DataFrame:
-    """Before each chapter: the summaries (slug, chapter, summary) of those before it, in order, as one text."""
-    before = Window.partitionBy("slug").orderBy("chapter").rowsBetween(Window.unboundedPreceding, -1)
+def continuity(summaries: DataFrame, most: int | None = None) -> DataFrame:
+    """Before each chapter: the summaries (slug, chapter, summary) of those before it, in order, as one text; with most, of
+    the last so many. Without that bound the texts of a story grow with the square of its chapters."""
+    before = Window.partitionBy("slug").orderBy("chapter").rowsBetween(Window.unboundedPreceding if most is None else -most, -1)
     return summaries.select("slug", "chapter", F.array_join(F.collect_list("summary").over(before), " ").alias("so_far"))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from skein.functions.content import extract_text, speaker, strip
 
+from .scan import Running, running
+
 #: Message types of the roles in a conversations table.
 ROLES = {"user": "human", "assistant": "ai"}
 
@@ -39,6 +41,16 @@ def transcript(messages: DataFrame) -> DataFrame:
     return messages.select("thread_id", "seq", extract_text(F.col("content")).alias("text")).groupBy("thread_id").agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY seq, text)").alias("transcript"))
 
 
+def transcript_pages(messages: DataFrame, chars: int) -> DataFrame:
+    """(thread_id, page, text): the transcript of each thread in pages, each with the messages that begin in its stretch of
+    so many characters. Threads may be of any length: how far a message is from the start is a scan over time slices.
+    Messages of one seq come in the order of their texts."""
+    rows = messages.select("thread_id", "seq", extract_text(F.col("content")).alias("text")).withColumn("size", F.length("text").cast("long"))
+    found = running(rows, ["thread_id"], ["seq", "text"], {"end": Running("sum", "size")})
+    paged = found.withColumn("page", F.floor((F.col("end") - F.col("size")) / F.lit(chars)))
+    return paged.groupBy("thread_id", "page").agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY seq, text)").alias("text"))
+
+
 def latest_state(messages: DataFrame) -> DataFrame:
     """The last message of each thread, by partial aggregates rather than a window; of several at the last seq the greatest
     by type, then text."""

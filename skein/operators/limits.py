@@ -9,10 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
+from .scan import Running, running
+
 #: Default limits of model and tool calls in a run; retries, factor and first delay; rate, burst.
 MODEL_CALLS, TOOL_CALLS = 50, 200
 RETRIES, FACTOR, FIRST_DELAY = 3, 2.0, 1.0
 RATE, BURST = 25.0, 50
+#: Fixed value: microseconds after which a waiting call looks for a token again.
+POLL_MICROS = 100_000
 #: Share of a retry's delay that jitter may add or take away.
 JITTER = 0.25
 #: Slots of time that far from 0 are one.
@@ -103,3 +107,26 @@ def token_bucket(calls: DataFrame, key: str, at: str = "at", rate: float = RATE,
     dealt = dealt.repartition("key", "piece").sortWithinPartitions("key", "piece", "at")
     schema = StructType([StructField("key", dealt.schema["key"].dataType), StructField("at", DoubleType()), StructField("granted", BooleanType())])
     return dealt.mapInArrow(_granted(schema, float(rate), float(burst)), schema).withColumnRenamed("key", key)
+
+
+def call_starts(calls: DataFrame, keys: list[str], at: str, ties: list[str], rate: float = RATE, burst: int = BURST, poll_micros: int = POLL_MICROS) -> DataFrame:
+    """The calls with start and delay (microseconds, as at is): when a call that waits for a token of its group's bucket gets
+    through. Calls are served in order of at, then of ties, which should make the order total; a waiting call looks for a
+    token every poll_micros. The bucket is full at first and holds burst tokens.
+
+    With T microseconds to a token, the bucket is full again at F(i) = max(at(i), F(i-1)) + T after call i, which is
+    (i + 1) T + the largest at(j) - j T of all calls j so far; call i gets its token at max(at(i), F(i-1) - (burst - 1) T). So
+    two scans, of a count and of a maximum, give all starts, however long a group's queue is. Calls without a time have no
+    start and take no token.
+    """
+    step = round(1e6 / rate)
+    timed = calls.where(F.col(at).isNotNull())
+    order = [at, *ties]
+    counted = running(timed.withColumn("_one", F.lit(1).cast("long")), keys, order, {"_i": Running("sum", "_one")})
+    ahead = running(counted.withColumn("_lag", F.col(at) - F.col("_i") * step), keys, order, {"_most": Running("max", "_lag")})
+    # of the calls before: their maximum is that of all unless this call alone sets it, and then it need not wait
+    full = (F.col("_i") * step) + F.col("_most")
+    token = F.greatest(F.col(at), F.when(F.col("_lag") < F.col("_most"), full - (burst - 1) * step).otherwise(F.col(at) - (burst - 1) * step))
+    polls = F.ceil((token - F.col(at)) / F.lit(poll_micros)).cast("long")
+    out = ahead.select(*calls.columns, (F.col(at) + polls * poll_micros).alias("start"), (polls * poll_micros).alias("delay"))
+    return out.unionAll(calls.where(F.col(at).isNull()).select("*", F.lit(None).cast("long"), F.lit(None).cast("long")))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.content import tool_label
 
+from .scan import Running, running
+
 
 def routed(events: DataFrame) -> DataFrame:
     """Tokens of the model node, all updates, and ends; empty tokens go, those of white space stay."""
@@ -25,9 +27,10 @@ def labels(events: DataFrame) -> DataFrame:
 
 def segments(events: DataFrame) -> DataFrame:
     """Text between tool calls, one row a segment, without empty ones: (session_id, run, segment, text). A segment's number
-    is the number of boundaries before it in its run. Tokens at one seq are put together in the order of their texts."""
-    order = Window.partitionBy("session_id", "run").orderBy("seq")
+    is the number of boundaries before it in its run; at one seq boundaries come first, and tokens are put together in the
+    order of their texts. A run of any length is dealt over time slices; only a segment's text is put together in one task."""
     # an update cuts the text only if the model calls a tool in it; an end or interrupt always does
-    cuts = F.expr("cast((mode = 'updates' and node = 'model' and size(tool_calls) > 0) or mode in ('end', 'interrupt') as bigint)")
-    numbered = routed(events).withColumn("segment", F.sum(cuts).over(order))
+    cuts = F.expr("coalesce(cast((mode = 'updates' and node = 'model' and size(tool_calls) > 0) or mode in ('end', 'interrupt') as bigint), 0L)")
+    rows = routed(events).select("session_id", "run", "seq", "mode", "text", cuts.alias("cut")).where("cut = 1 or mode = 'messages'")
+    numbered = running(rows.withColumn("after", 1 - F.col("cut")), ["session_id", "run"], ["seq", "after", "text"], {"segment": Running("sum", "cut")})
     return numbered.where("mode = 'messages'").groupBy("session_id", "run", "segment").agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY seq, text)").alias("text"))

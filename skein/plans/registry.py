@@ -11,7 +11,7 @@ from skein.functions import content as C
 from skein.operators import catalog, config, coverage, docs, history, limits, render, stream
 from skein.sources import files, sessions
 from skein.sources.scratch import scratch_path
-from skein.streaming import segments as live
+from skein.streaming import segments as token_stream
 
 from . import derived as X
 
@@ -31,10 +31,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
+    from . import analytics, live  # noqa: F401  they add their own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import analytics, live  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -110,7 +114,7 @@ def reply_segments_streamed(spark, d):
     rows = _turn_events(spark, d)
     ends = rows.groupBy("session_id", "run").agg((F.max("seq") + 1).alias("seq")).select("session_id", "run", "seq", F.lit("end").alias("mode"))
     rows.unionByName(ends, allowMissingColumns=True).write.parquet(events)
-    live.run_segments(spark, events, out, checkpoint)
+    token_stream.run_segments(spark, events, out, checkpoint)
     return spark.read.schema("session_id string, run bigint, segment bigint, text string").parquet(out)
 
 

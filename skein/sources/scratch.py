@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @functools.cache
@@ -50,3 +50,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if _OPEN:
         _OPEN[-1].append(path)
     return path
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again: cuts the lineage and outlives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by saved() that no later step reads."""
+    for df in tables:
+        if path := getattr(df, "scratch", None):
+            delete(df.sparkSession, path)
