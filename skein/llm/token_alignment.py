@@ -2,36 +2,41 @@
 
 Texts are cut, with a space before them, into units that neither tokenizer's tokens cross (see byte_bpe.unit_starts; the
 second one's vocabulary has no piece with a space behind other characters, which is checked). Each distinct unit is
-tokenized once for a block and kept for later ones. The token ends of all new units are marked in two packed bitsets; their
-AND has the shared cuts; counts of the bits up to a cut (rank, by prefix sums of popcounts) say which tokens of either end
-there, so that cuts become groups of tokens and links between tokens that end together. As both tokenizers cut at unit
-ends, what holds for units adds up to what holds for texts.
-
-A first pass over the documents counts id pairs, aggregated in each task by unit, then by pair. Their number is bounded by
-the vocabularies' product alone, so the table of counts is taken in blocks of at most BLOCK_PAIRS, by the second
-tokenizer's id, each broadcast and added up by a pass over the documents; most corpora need one.
+tokenized once for a block and kept for later ones, and checked to be spelled out by the tokens of both. The token ends of a
+block of texts are then marked in two packed bitsets; their AND has the shared cuts; counts of the bits up to a cut (rank,
+by prefix sums of popcounts) say which tokens of either end there, so that cuts become groups of tokens and links between
+tokens that end together.
+
+Tokens are made once: what is kept of a document, in a table of the shared folder, is its counts, the digest of its groups
+and its links as packed id pairs. Pairs are counted from that table, in each task first. The number of different pairs is
+bounded by the vocabularies' product alone, so the table of counts is taken in blocks of at most BLOCK_PAIRS, each broadcast
+and added up by a pass over the links; most corpora need one.
 """
 
 from __future__ import annotations
 
+import base64
 import functools
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import unit_starts
-from .common import blocks, discard, saved
-from .span_ids import SpanIds
+from .common import blocks, column_bytes, discard, saved
+from .span_ids import SpanIds, gather
 
-#: Id pairs whose counts a task holds at a time, and units after which a worker forgets what it has met.
-BLOCK_PAIRS, MOST_UNITS = 1 << 21, 1 << 19
+#: Id pairs whose counts a task holds at a time, pairs that a counting task holds before it gives them out, and units that a
+#: worker keeps.
+BLOCK_PAIRS, HELD_PAIRS, UNITS = 1 << 21, 1 << 22, 1 << 19
 _SPACE = "▁"
+#: The cell of a unit that one of the tokenizers does not give back byte for byte.
+_BAD = np.uint32(0xFFFFFFFF)
 
 
 class Bits:
@@ -70,18 +75,29 @@ def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return cuts + 1, a.rank(cuts), b.rank(cuts)
 
 
-@dataclass
-class Units:
-    """What is known of units, by number: counts of tokens and of groups, where the unit's pairs begin in the list of all
-    pairs, its groups as text, and whether both tokenizers give back its bytes."""
+class Tokens:
+    """What tokens are spelled like: all their bytes, one after the other, and where each begins."""
 
-    n_a: np.ndarray
-    n_b: np.ndarray
-    n_groups: np.ndarray
-    first: np.ndarray
-    pairs: np.ndarray
-    said: list[bytes]
-    good: np.ndarray
+    def __init__(self, spelled: list[bytes]) -> None:
+        self.size = np.array([*map(len, spelled)], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(spelled), np.uint8)
+
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        return gather(self.bytes, self.begin[ids], self.size[ids])[0]
+
+
+def _spelled_out(tokens: Tokens, ids: np.ndarray, counts: np.ndarray, spans: list[bytes]) -> np.ndarray:
+    """Flags the spans that are the bytes of their tokens, counts of each in ids."""
+    width = np.array([*map(len, spans)], np.int64)
+    total = np.append(0, np.cumsum(tokens.size[ids]))
+    end = np.cumsum(counts)
+    good = total[end] - total[end - counts] == width
+    mine = tokens.spell(ids[np.repeat(good, counts)])
+    theirs = np.frombuffer(b"".join([s for s, g in zip(spans, good.tolist(), strict=True) if g]), np.uint8)
+    own = np.flatnonzero(good)
+    good[np.repeat(own, width[own])[mine != theirs]] = False
+    return good
 
 
 class Aligner:
@@ -91,59 +107,93 @@ class Aligner:
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True  # their strings in a text are text
+        own = Tokenizer.from_file(path_a)
         byte_of = _bytes_of_letters()
-        entries = {i: t for t, i in self.a.get_vocab(with_added_tokens=False).items()}
-        self.bytes_a = [bytes(map(byte_of.__getitem__, entries[i])) if i in entries else b"" for i in range(max(entries) + 1)]
+        entries = {i: bytes(map(byte_of.__getitem__, t)) for t, i in own.get_vocab(with_added_tokens=False).items()}
+        self.a = _ranked(path_a, entries) or _plain(own)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
         if any(_SPACE in p.lstrip(_SPACE) for p in pieces):
             raise ValueError("the second tokenizer has pieces with a space behind other characters")
-        self.size_a, self.size_b = (np.array([*map(len, x)], np.int64) for x in (self.bytes_a, self.bytes_b))
-        self.forget()
-
-    def forget(self) -> None:
-        self.spans = SpanIds(self._new)
-        self.units = Units(*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(1, np.int64), np.zeros(0, np.int64), [], np.zeros(0, bool))
+        spelled_a = [entries.get(i, b"") for i in range(max(entries) + 1)]
+        spelled_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.tokens_a, self.tokens_b = Tokens(spelled_a), Tokens(spelled_b)
+        self.vocabulary_b = len(spelled_b)
+        #: the smallest type that holds a pair as id of A * vocabulary of B + id of B
+        self.pair_type = np.dtype("<u4" if len(spelled_a) * len(spelled_b) < 1 << 32 else "<u8")
+        self.said = Tokens([f"{i}{end}".encode() for n, ends in ((len(spelled_a), ",|"), (len(spelled_b), ",;")) for end in ends for i in range(n)])
+        self.spans = SpanIds(self._new, UNITS)
 
     def _new(self, spans: list[bytes]) -> list[bytes]:
-        """Tokenizes and aligns the spans, each with a space in front, and gives each the number of its unit."""
+        """Tokenizes the spans, each with a space in front: how many tokens of A, those, and those of B."""
         texts = [s.decode("utf-8", "replace") for s in spans]
-        ids_a = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
-        ids_b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        spell = lambda ids, of: b"".join(map(of.__getitem__, ids))
-        good = np.array([spell(a, self.bytes_a) == s == spell(b, self.bytes_b) for s, a, b in zip(spans, ids_a, ids_b, strict=True)], bool)
-        kept = np.flatnonzero(good).tolist()
-        n_a, n_b, n_groups = (np.zeros(len(spans), np.int64) for _ in range(3))
-        n_a[good], n_b[good] = [len(ids_a[i]) for i in kept], [len(ids_b[i]) for i in kept]
-        flat_a = np.array([x for i in kept for x in ids_a[i]], np.int64)
-        flat_b = np.array([x for i in kept for x in ids_b[i]], np.int64)
-        cuts, rank_a, rank_b = align(np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b]))
-        ends = np.searchsorted(cuts, np.cumsum([len(spans[i]) for i in kept]), "right")
-        n_groups[good] = np.diff(ends, prepend=0)
-        pairs = flat_a[rank_a - 1] << 32 | flat_b[rank_b - 1]
-        said, a, b = [b""] * len(spans), flat_a.tolist(), flat_b.tolist()
-        groups = [f"{','.join(map(str, a[p:q]))}|{','.join(map(str, b[r:s]))}" for p, q, r, s in zip([0, *rank_a.tolist()], rank_a.tolist(), [0, *rank_b.tolist()], rank_b.tolist(), strict=False)]
-        for i, p, q in zip(kept, [0, *ends.tolist()], ends.tolist(), strict=False):
-            said[i] = ";".join(groups[p:q]).encode()
-        u, number = self.units, len(self.units.said)
-        u.n_a, u.n_b, u.n_groups, u.good = (np.concatenate(x) for x in ((u.n_a, n_a), (u.n_b, n_b), (u.n_groups, n_groups), (u.good, good)))
-        u.first, u.pairs = np.concatenate([u.first, u.first[-1] + np.cumsum(n_groups)]), np.concatenate([u.pairs, pairs])
-        u.said.extend(said)
-        return [np.uint32(number + i).tobytes() for i in range(len(spans))]
-
-    def look_up(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The units of each row's text (with a space in front, unless it is empty) by number, where each row's begin and
-        the last end, and which rows have tokens."""
+        every = self.a(texts), self.b.encode([t[1:] for t in texts], num_threads=1)
+        counts = [np.array([*map(len, ids)], np.int64) for ids in every]
+        flat = [np.array([x for one in ids for x in one], np.uint32) for ids in every]
+        good = _spelled_out(self.tokens_a, flat[0], counts[0], spans) & _spelled_out(self.tokens_b, flat[1], counts[1], spans)
+        end = np.cumsum(1 + counts[0] + counts[1])
+        begin = end - 1 - counts[0] - counts[1]
+        cells = np.empty(int(end[-1]), np.uint32)
+        cells[begin] = np.where(good, counts[0], _BAD)
+        for ids, n, first in ((flat[0], counts[0], begin + 1), (flat[1], counts[1], begin + 1 + counts[0])):
+            total = np.cumsum(n)
+            cells[np.repeat(first - total + n, n) + np.arange(len(ids))] = ids
+        raw = cells.tobytes()
+        return [raw[4 * p : 4 * q] for p, q in zip(begin.tolist(), end.tolist(), strict=True)]
+
+    def measure(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], list[str], np.ndarray]:
+        """Of texts: per row the numbers of tokens of A, of B and of groups, and the digests of the groups; the pairs of all
+        rows, one after the other."""
+        rows = len(offsets) - 1
         data, offsets = spaced(data, offsets)
         starts = unit_starts(data, offsets)
-        table, begin, _ = self.spans.look_up(data, starts, np.append(starts[1:], len(data)))
-        unit = table[begin].astype(np.int64)
-        at = np.searchsorted(starts, offsets)
-        bad = np.append(0, np.cumsum(~self.units.good[unit]))[at]
-        return unit, at, (np.diff(bad) == 0) & (np.diff(at) > 0)
+        width = np.append(starts[1:], len(data))[: len(starts)] - starts
+        table, begin, size = self.spans.look_up(data, starts, starts + width)
+        n_a = table[begin]
+        row = np.searchsorted(offsets, starts, "right") - 1
+        good = np.ones(rows, bool)
+        good[row[n_a == _BAD]] = False
+        use = good[row]
+        begin, size, row, width, n_a = begin[use], size[use], row[use], width[use], n_a[use].astype(np.int64)
+        a, b = (gather(table, first, n)[0].astype(np.int64) for first, n in ((begin + 1, n_a), (begin + 1 + n_a, size - 1 - n_a)))
+        ends_a, ends_b = np.cumsum(self.tokens_a.size[a]), np.cumsum(self.tokens_b.size[b])
+        cuts, rank_a, rank_b = align(ends_a, ends_b)
+        edge = np.append(0, np.cumsum(np.bincount(row, width, rows).astype(np.int64)))  # each row's bytes, bad rows left out
+        counts = [np.diff(np.searchsorted(x, edge, "right")) for x in (ends_a, ends_b, cuts)]
+        # the groups as text: A's tokens of a group stand behind B's of the groups before, B's behind A's of this one too
+        of_a, of_b = np.diff(rank_a, prepend=0), np.diff(rank_b, prepend=0)
+        order = np.empty(len(a) + len(b), np.int64)
+        last = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        last[0][rank_a - 1], last[1][rank_b - 1] = True, True
+        v_a, v_b = len(self.tokens_a.size), self.vocabulary_b
+        order[np.arange(len(a)) + np.repeat(rank_b - of_b, of_a)] = a + v_a * last[0]
+        order[np.arange(len(b)) + np.repeat(rank_a, of_b)] = 2 * v_a + b + v_b * last[1]
+        raw = self.said.spell(order).tobytes()
+        place = np.append(0, np.cumsum(self.said.size[order]))[np.append(0, np.cumsum(counts[0] + counts[1]))].tolist()
+        digests = [hashlib.sha256(raw[p : q - 1]).hexdigest() if q > p else "" for p, q in zip(place, place[1:], strict=False)]
+        return counts, digests, (a[rank_a - 1] * v_b + b[rank_b - 1]).astype(self.pair_type)
+
+
+def _plain(own):
+    """Ids of texts by the tokenizers library."""
+    own.encode_special_tokens = True  # their strings in a text are text
+    return lambda texts: [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+
+
+def _ranked(path: str, entries: dict[int, bytes]):
+    """Ids of texts by the same vocabulary's file of ranks, where one lies beside a byte-level vocabulary's own: the same
+    ids in a third of the time. None if there is no such file, or if its tokens are not the same."""
+    import tiktoken
+
+    try:
+        with open(f"{path.removesuffix('.json')}.tiktoken", "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    except FileNotFoundError:
+        return None
+    if ranks != {t: i for i, t in entries.items()}:
+        return None
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda texts: [*map(own.encode_ordinary, texts)]
 
 
 def _bytes_of_letters() -> dict[str, int]:
@@ -169,78 +219,68 @@ def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
-def _counted(path_a: str, path_b: str):
-    """Pairs of each task with their counts; a task's counts are given out when it forgets its units, and at its end."""
+_MEASURES = "n_a long, n_b long, n_groups long, groups_sha256 string, links binary"
+
 
+def _tokenized(path_a: str, path_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .token_alignment import MOST_UNITS, aligner  # the module's own cache, which a pickled global would not be
-
-        own, met = aligner(path_a, path_b), np.zeros(0, np.int64)
-
-        def out() -> pa.RecordBatch:
-            u = own.units
-            times = np.repeat(met, np.diff(u.first)[: len(met)])
-            some = np.flatnonzero(times)
-            pair, which = np.unique(u.pairs[some], return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(np.bincount(which.ravel(), times[some], len(pair)).astype(np.int64))], ["pair", "n"])
-
-        for _, data, offsets in blocks(batches, "text"):
-            unit, at, good = own.look_up(data, offsets)
-            counts = np.bincount(unit[np.repeat(good, np.diff(at))], minlength=len(own.units.said))
-            counts[: len(met)] += met
-            met = counts
-            if len(own.units.said) > MOST_UNITS:
-                yield out()
-                own.forget()
-                met = np.zeros(0, np.int64)
-        yield out()
+        from .token_alignment import aligner  # the module's own cache, which a pickled global would not be
+
+        own = aligner(path_a, path_b)
+        for rows, data, offsets in blocks(batches, "text"):
+            counts, digests, pairs = own.measure(data, offsets)
+            end = pairs.itemsize * np.append(0, np.cumsum(counts[2]))
+            links = pa.Array.from_buffers(pa.large_binary(), rows.num_rows, [None, pa.py_buffer(end.astype(np.int64)), pa.py_buffer(pairs.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.column("id"), *map(pa.array, counts), pa.array(digests), links], ["id", "n_a", "n_b", "n_groups", "groups_sha256", "links"])
 
     return run
 
 
-def _measured(path_a: str, path_b: str, counts: Broadcast):
-    """Adds to n_best and count_sum what the pairs of a block of counts give."""
+def _pairs(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of all rows, and where each row's begin and the last end."""
+    data, offsets = column_bytes(column)
+    return np.frombuffer(data.tobytes(), kind).astype(np.int64), offsets // kind.itemsize
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .token_alignment import MOST_UNITS, aligner
 
-        own = aligner(path_a, path_b)
-        pair, n, best = counts.value
-        sums, bests = (np.zeros(1, np.int64) for _ in range(2))  # of all pairs before each place in the list of pairs
-
-        def known() -> tuple[np.ndarray, np.ndarray]:
-            new = own.units.pairs[len(sums) - 1 :]
-            place = np.minimum(np.searchsorted(pair, new), max(0, len(pair) - 1))
-            hit = pair[place] == new if len(pair) else np.zeros(len(new), bool)
-            more = [np.where(hit, x[place], 0) if len(pair) else np.zeros(len(new), np.int64) for x in (n, best)]
-            return tuple(np.concatenate([x, x[-1] + np.cumsum(y)]) for x, y in zip((sums, bests), more, strict=True))
+def _counted(kind: np.dtype):
+    """Pairs of each task with their counts."""
 
-        for rows, data, offsets in blocks(batches, "text"):
-            unit, at, good = own.look_up(data, offsets)
-            sums, bests = known()
-            u, first = own.units, own.units.first
-            # one more unit at the end, so that the last row's sum has an end; rows without tokens give nothing
-            total = lambda by_unit: np.diff(np.append(0, np.cumsum(by_unit[unit]))[at]) * good
-            said, digests = u.said, []
-            for a, b, ok in zip(at.tolist(), at[1:].tolist(), good.tolist(), strict=False):
-                digests.append(hashlib.sha256(b";".join(map(said.__getitem__, unit[a:b].tolist()))).hexdigest() if ok else "")
-            gain = [total(x[first[1:]] - x[first[:-1]]) for x in (bests, sums)]
-            columns = [rows.column("id"), rows.column("text"), *(pa.array(total(x)) for x in (u.n_a, u.n_b, u.n_groups)), *(pa.array(np.array(rows.column(c)) + x) for c, x in zip(("n_best", "count_sum"), gain, strict=True)), pa.array(digests)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "text", "n_a", "n_b", "n_groups", "n_best", "count_sum", "groups_sha256"])
-            if len(said) > MOST_UNITS:
-                own.forget()
-                sums, bests = (np.zeros(1, np.int64) for _ in range(2))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            pair, which = np.unique(np.concatenate([p for p, _ in held] or [np.zeros(0, np.int64)]), return_inverse=True)
+            return pair, np.bincount(which.ravel(), np.concatenate([n for _, n in held] or [np.zeros(0)]), len(pair)).astype(np.int64)
+
+        for batch in batches:
+            held.append(np.unique(_pairs(batch.column("links"), kind)[0], return_counts=True))
+            size += len(held[-1][0])
+            if size > HELD_PAIRS:
+                held = [merged()]
+                size = len(held[0][0])
+                if 2 * size > HELD_PAIRS:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["pair", "n"])
+                    held, size = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["pair", "n"])
 
     return run
 
 
-def link_counts(documents: DataFrame, path_a: str, path_b: str, text: str = "text") -> DataFrame:
-    """(a, b, n, best): how many links of the corpus hold each pair of ids linked, and whether no other pair of the second
-    id has more. Null and empty texts, and those that either tokenizer does not give back byte for byte, have no links."""
-    found = documents.select(F.col(text).alias("text")).mapInArrow(_counted(path_a, path_b), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    found = saved(found.select(F.shiftright("pair", 32).alias("a"), F.col("pair").bitwiseAND(0xFFFFFFFF).alias("b"), "n"), "pairs")
-    most = found.groupBy("b").agg(F.max("n").alias("most"))
-    return saved(found.join(most, "b").select("a", "b", "n", (F.col("n") == F.col("most")).alias("best")), "link_counts")
+def _gained(kind: np.dtype, counts: Broadcast):
+    """Adds to n_best and count_sum what the pairs of a block of counts give."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, n, best = counts.value
+        for batch in batches:
+            links, at = _pairs(batch.column("links"), kind)
+            place = np.minimum(np.searchsorted(pair, links), max(0, len(pair) - 1))
+            hit = pair[place] == links if len(pair) else np.zeros(len(links), bool)
+            for name, x in (("n_best", best), ("count_sum", n)):
+                more = np.diff(np.append(0, np.cumsum(np.where(hit, x[place], 0) if len(pair) else hit))[at])
+                batch = batch.set_column(batch.schema.get_field_index(name), name, pa.array(np.array(batch.column(name)) + more))
+            yield batch
+
+    return run
 
 
 def align_documents(documents: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text: str = "text", block_pairs: int = BLOCK_PAIRS) -> DataFrame:
@@ -253,14 +293,19 @@ def align_documents(documents: DataFrame, path_a: str, path_b: str, key: str = "
     every executor.
     """
     spark, kind = documents.sparkSession, documents.schema[key].dataType.simpleString()
-    counts = link_counts(documents, path_a, path_b, text)
+    own = aligner(path_a, path_b)
+    rows = documents.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(_tokenized(path_a, path_b), f"id {kind}, {_MEASURES}")
+    tokens = saved(rows, "tokens")
+    pairs = saved(tokens.select("links").mapInArrow(_counted(own.pair_type), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
+    b = (F.col("pair") % own.vocabulary_b).alias("b")
+    most = pairs.groupBy(b).agg(F.max("n").alias("most"))
+    counts = saved(pairs.select("pair", "n", b).join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best")), "link_counts")
     number = max(1, -(-counts.count() // block_pairs))
-    out = documents.select(F.col(key).alias("id"), F.col(text).alias("text"), F.lit(0).cast("long").alias("n_best"), F.lit(0).cast("long").alias("count_sum"))
+    out = tokens.select("id", "n_a", "n_b", "n_groups", F.lit(0).cast("long").alias("n_best"), F.lit(0).cast("long").alias("count_sum"), "groups_sha256", "links")
     for k in range(number):
-        part = counts.where(F.pmod(F.xxhash64("a", "b"), F.lit(number)) == k).select((F.shiftleft("a", 32).bitwiseOR(F.col("b"))).alias("pair"), "n", F.col("best").cast("long").alias("best")).toArrow()
+        part = counts.where(F.pmod(F.xxhash64("pair"), F.lit(number)) == k).toArrow()
         columns = [np.array(part.column(c)) for c in ("pair", "n", "best")]
         by = np.argsort(columns[0])
-        held = spark.sparkContext.broadcast(tuple(c[by] for c in columns))
-        out = out.select("id", "text", "n_best", "count_sum").mapInArrow(_measured(path_a, path_b, held), f"id {kind}, text string, n_a long, n_b long, n_groups long, n_best long, count_sum long, groups_sha256 string")
-    discard(counts)
+        out = out.mapInArrow(_gained(own.pair_type, spark.sparkContext.broadcast(tuple(c[by] for c in columns))), out.schema)
+    discard(pairs, counts)
     return out.select(F.col("id").alias(key), "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256")

@@ -105,20 +105,35 @@ def test_awkward_texts(spark, libraries, block):
     assert sum(r[1] > 0 for r in rows) > 300 and sum(r[1] == 0 for r in rows) > 100
 
 
-def test_forgetting_changes_nothing(spark, libraries, monkeypatch):
-    from skein.llm import common, token_alignment
+def test_what_is_known_changes_nothing(libraries):
+    """The same texts again, and with room for a few units alone."""
+    from skein.llm import token_alignment
 
     docs = awkward()[:300]
-    own = token_alignment.Aligner(A, B)
     data = [(t or "").encode() for _, t in docs]
     offsets = np.cumsum([0, *map(len, data)])
     flat = np.frombuffer(b"".join(data), np.uint8)
-    before = own.look_up(flat, offsets)
-    said = [b";".join(own.units.said[u] for u in before[0][a:b]) for a, b in zip(before[1], before[1][1:], strict=False)]
-    own.forget()
-    after = own.look_up(flat, offsets)
-    assert said == [b";".join(own.units.said[u] for u in after[0][a:b]) for a, b in zip(after[1], after[1][1:], strict=False)]
-    assert common.BLOCK_BYTES == 1 << 21
+    own, small = token_alignment.Aligner(A, B), token_alignment.Aligner(A, B)
+    small.spans.capacity = 10
+    plain = lambda m: ([x.tolist() for x in m[0]], m[1], m[2].tolist())
+    first = plain(own.measure(flat, offsets))
+    assert first == plain(own.measure(flat, offsets)) == plain(small.measure(flat, offsets)) == plain(small.measure(flat, offsets))
+    assert plain(own.measure(flat[:0], np.zeros(3, np.int64))) == ([[0, 0]] * 3, ["", ""], [])
+
+
+def test_both_ways_to_the_first_tokenizers_ids(libraries):
+    """Ranks give the ids of the tokenizers library, for each token of the vocabulary as a text too."""
+    from tokenizers import Tokenizer
+
+    from skein.llm import token_alignment
+
+    own = Tokenizer.from_file(A)
+    byte_of = token_alignment._bytes_of_letters()
+    entries = {i: bytes(byte_of[c] for c in t) for t, i in own.get_vocab(with_added_tokens=False).items()}
+    ranked, plain = token_alignment._ranked(A, entries), token_alignment._plain(own)
+    texts = [x.decode() for x in entries.values() if x.decode("utf-8", "ignore").encode() == x] + [t for _, t in awkward() if t and len(t) < 5000]
+    assert ranked(texts) == plain(texts)
+    assert token_alignment._ranked(A, {0: b"other"}) is None and token_alignment._ranked("/absent.json", entries) is None
 
 
 def test_ranks():
