@@ -6,8 +6,8 @@ by their count over the whole corpus. A match of a prefix fixes where the window
 bounds drop those that would leave the document, and the rest are compared word by word over the window: first the words'
 hashes, then their bytes.
 
-The benchmark is a stated query set: it is taken in blocks of at most BLOCK_ITEM_BYTES, each scanned against all
-documents, so what a task holds has a fixed bound whatever the benchmark's size.
+The benchmark is a stated query set: its different items are taken in blocks of about BLOCK_ITEM_BYTES, each scanned
+against all documents, so what a task holds is bounded by that and one item whatever the benchmark's size.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.scan import Running, running
+
 from .common import blocks, byte_set, equal_spans, lower_table, run_hashes, span_hashes, word_spans
 
 WINDOW = 10
@@ -142,11 +144,13 @@ class Index:
 
 
 def _blocks_of(benchmark: DataFrame, key: str, text: str) -> Iterator[list[tuple[str, str]]]:
-    items = benchmark.select(F.col(key).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(1, -(-total // BLOCK_ITEM_BYTES))
-    for k in range(count):
-        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k).collect()]
+    """The different items in order, cut where another BLOCK_ITEM_BYTES of text have come: a block has less than that and
+    its last item. Where each item stands is a scan over slices of the items, whatever their number."""
+    items = benchmark.select(F.col(key).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null").distinct()
+    placed = running(items.withColumn("bytes", F.octet_length("text").cast("long")), [], ["item", "text"], {"end": Running("sum", "bytes")})
+    dealt = placed.select("item", "text", F.floor((F.col("end") - F.col("bytes")) / BLOCK_ITEM_BYTES).alias("block"))
+    for (k,) in dealt.select("block").distinct().orderBy("block").collect():  # a number for each 4 MB
+        yield [tuple(r) for r in dealt.where(F.col("block") == k).select("item", "text").collect()]
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", carry: Sequence[str] = ()) -> DataFrame:

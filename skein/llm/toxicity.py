@@ -83,7 +83,8 @@ class Model:
 
 
 def sample_labelled(labels: DataFrame, documents: DataFrame, label: str, rows: int, key: str, text: str) -> tuple[DataFrame, dict[int, int]]:
-    """Texts and labels of at most so many labelled keys of each class, and the classes' counts among all labels."""
+    """Texts and labels of at most so many labelled keys of each class, and the classes' counts among all labels. Of several
+    labels of one key the larger counts; a key with several texts has its label on each of them."""
     known = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     some = None

@@ -88,7 +88,7 @@ def awkward() -> list[tuple]:
     texts = ["".join(rnd.choices(letters, k=rnd.randint(1, 60))) for _ in range(400)]
     plain = [x for x in letters if x != "▁"]
     texts += ["".join(rnd.choices(plain, k=rnd.randint(1, 60))) for _ in range(400)]
-    texts += [None, "", " ", "  ", "▁", "a ▁b", "�", "\u0000", "x" * 3001, "word " * 2000, "ab" * 700_000]
+    texts += [None, "", " ", "  ", "▁", "a ▁b", "�", "\u0000", "x" * 3001, "word " * 2000, "ab" * 1_100_000]
     docs = [(i, t) for i, t in enumerate(texts)]
     return [*docs, (None, "the end"), (None, None), (7, "the end"), (7, "the end")]
 
