@@ -23,8 +23,8 @@ ORDERS = (3, 4, 5)
 BITS = 22
 #: Labelled texts of each class in the sample: those with the smallest hashes of their keys.
 SAMPLE_A_CLASS = 5000
-#: Kept n-grams at most, and the standard errors by which their shares must differ.
-FEATURES, LEAST_Z = 1536, 4.5
+#: The standard errors by which an n-gram's shares in the two classes must differ; all such n-grams are kept.
+LEAST_Z = 4.5
 #: Texts that an n-gram must occur in to be kept.
 LEAST_TEXTS = 4
 SMOOTHING, RIDGE, STEPS = 0.5, 1.0, 40
@@ -101,7 +101,7 @@ def train(labels: DataFrame, documents: DataFrame, label: str = "toxic", key: st
     sample, counts = sample_labelled(labels, documents, label, rows, key, text)
     if len(counts) < 2:
         return Model(np.zeros(0, np.int64), np.zeros(0), {(): 0.0, (0,): -4.0, (1,): 4.0}[tuple(counts)])
-    sample = saved(sample.repartition(8, "id"), "toxicity-sample")
+    sample = saved(sample.repartition("id"), "toxicity-sample")
     seen = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(seen) < 2:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(counts[1] / counts[0])))
@@ -125,9 +125,9 @@ def train(labels: DataFrame, documents: DataFrame, label: str = "toxic", key: st
     share = (F.col("p") + F.col("q")) / F.lit(float(has + hasnt))
     z = F.abs(F.col("p") / F.lit(float(has)) - F.col("q") / F.lit(float(hasnt))) / F.sqrt(share * (1 - share) * F.lit(1 / has + 1 / hasnt) + F.lit(1e-12))
     ratio = F.ln((F.col("p") + SMOOTHING) / (F.col("q") + SMOOTHING)) - F.ln(F.lit((has + 2 * SMOOTHING) / (hasnt + 2 * SMOOTHING)))
-    kept = sums.where(F.col("p") + F.col("q") >= LEAST_TEXTS).select("bucket", ratio.alias("ratio"), z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "bucket").limit(FEATURES).collect()
-    kept.sort(key=lambda r: r["bucket"])
-    buckets, ratios = np.array([r["bucket"] for r in kept], np.int64), np.array([r["ratio"] for r in kept])
+    kept = sums.where(F.col("p") + F.col("q") >= LEAST_TEXTS).select("bucket", ratio.alias("ratio"), z.alias("z")).where(F.col("z") >= LEAST_Z).toArrow()  # no more than there are buckets
+    by = np.argsort(np.array(kept.column("bucket")))
+    buckets, ratios = np.array(kept.column("bucket"), np.int64)[by], np.array(kept.column("ratio"), float)[by]
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,31 +143,50 @@ def train(labels: DataFrame, documents: DataFrame, label: str = "toxic", key: st
                 rows = [(pairs[a:b] & ((1 << BITS) - 1)).astype(np.int32) for a, b in zip(cut, cut[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32())), pa.array(label[start : start + len(texts)], pa.int32())], ["features", "label"])
 
-    rows_of = sample.mapInArrow(present, "features array<int>, label int").collect()
-    x, y = np.zeros((len(rows_of), len(buckets)), np.float32), np.array([r["label"] for r in rows_of], float)
-    for i, r in enumerate(rows_of):
-        x[i, r["features"]] = 1
-    x *= ratios.astype(np.float32)
+    got = sample.mapInArrow(present, "features array<int>, label int").toArrow().combine_chunks()
+    lists = got.column("features").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
+    y = np.array(got.column("label"), float)
+    x = Presence(np.array(lists.flatten()), np.array(lists.value_lengths(), np.int64), ratios)
     weight = np.where(y == 1, counts[1] / has, counts[0] / hasnt)
     weights, bias = _logistic(x, y, weight / weight.mean())
     return Model(buckets, weights * ratios, bias)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+@dataclass
+class Presence:
+    """A sparse matrix: which features each text has, times their scale."""
+
+    feature: np.ndarray
+    count: np.ndarray
+    scale: np.ndarray
+
+    def by_text(self, v: np.ndarray) -> np.ndarray:
+        """The matrix times a value for each feature."""
+        total = np.append(0, np.cumsum((self.scale * v)[self.feature]))
+        end = np.cumsum(self.count)
+        return total[end] - total[end - self.count]
+
+    def by_feature(self, u: np.ndarray) -> np.ndarray:
+        """A value for each text times the matrix."""
+        return self.scale * np.bincount(self.feature, np.repeat(u, self.count), len(self.scale))
+
+
+def _logistic(x: Presence, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
     """Ridge logistic regression by accelerated gradient steps whose length the data's curvature bounds."""
-    w, bias = np.zeros(x.shape[1]), float(np.log((weight[y == 1].sum() + 1e-9) / (weight[y == 0].sum() + 1e-9)))
-    if not x.shape[1]:
+    size_x = len(x.scale)
+    w, bias = np.zeros(size_x), float(np.log((weight[y == 1].sum() + 1e-9) / (weight[y == 0].sum() + 1e-9)))
+    if not size_x:
         return w, bias
-    v = np.ones(x.shape[1], np.float32)
+    v = np.ones(size_x)
     for _ in range(10):
-        v = x.T @ (weight * (x @ v)).astype(np.float32)
+        v = x.by_feature(weight * x.by_text(v))
         size = float(np.linalg.norm(v)) or 1.0
         v = v / size
     rate_w, rate_b = 1 / (size / 4 + RIDGE), 2 / weight.sum()
     old_w, old_b, look_w, look_b = w, bias, w, bias
     for k in range(STEPS * 5):
-        error = weight * (1 / (1 + np.exp(-np.clip(x @ look_w.astype(np.float32) + look_b, -500, 500))) - y)
-        w, bias = look_w - rate_w * (x.T @ error.astype(np.float32) + RIDGE * look_w), look_b - rate_b * error.sum()
+        error = weight * (1 / (1 + np.exp(-np.clip(x.by_text(look_w) + look_b, -500, 500))) - y)
+        w, bias = look_w - rate_w * (x.by_feature(error) + RIDGE * look_w), look_b - rate_b * error.sum()
         look_w, look_b = w + k / (k + 3) * (w - old_w), bias + k / (k + 3) * (bias - old_b)
         old_w, old_b = w, bias
     return w, float(bias)
@@ -176,7 +195,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndar
 def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and score, 0 to 1, of each whole text. A null or empty text, or one shorter than an n-gram, has the bias alone.
     Repeated rows repeat, an empty table gives an empty one, other columns are ignored. Nothing is shuffled; the model has
-    FEATURES entries at most."""
+    at most an entry for each of the 2^BITS buckets."""
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

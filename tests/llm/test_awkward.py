@@ -158,7 +158,7 @@ def test_log_count_ratios(spark, monkeypatch):
 
     bad, fine = ["zzz vile", "vile zzz", "so vile zzz", "vile", "very vile zzz"] * 4, ["so kind", "kind words", "very kind", "so so", "words"] * 4
     rows_ = [(i, t) for i, t in enumerate(bad + fine)]
-    monkeypatch.setattr(toxicity, "_logistic", lambda x, y, w: (np.ones(x.shape[1]), 0.0))
+    monkeypatch.setattr(toxicity, "_logistic", lambda x, y, w: (np.ones(len(x.scale)), 0.0))
     monkeypatch.setattr(toxicity, "LEAST_Z", 3.0)
     labels = spark.createDataFrame([(i, int(i < len(bad))) for i in range(len(rows_))], "doc_id long, toxic int")
     model = toxicity.train(labels, spark.createDataFrame(rows_, "doc_id long, text string"))
@@ -173,6 +173,18 @@ def test_log_count_ratios(spark, monkeypatch):
     assert bucket("so ") not in value
 
 
+def test_sparse_products():
+    from skein.llm import toxicity
+
+    rng = np.random.default_rng(1)
+    dense = rng.random((30, 12)) < 0.3
+    dense[4] = False
+    scale = rng.normal(size=12)
+    x = toxicity.Presence(np.nonzero(dense)[1], dense.sum(axis=1), scale)
+    v, u = rng.normal(size=12), rng.normal(size=30)
+    assert np.allclose(x.by_text(v), (dense * scale) @ v) and np.allclose(x.by_feature(u), (dense * scale).T @ u)
+
+
 def test_flat_trees_against_a_walk():
     from skein.llm import quality_model as q
 
