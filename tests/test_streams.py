@@ -107,3 +107,22 @@ def test_view_takes_in_each_batch_once(spark, tmp_path):
     assert {r["key"]: r["n"] for r in view.read().collect()} == {k: len([r for r in rows if r[1] == k]) + len([r for r in rows if r[1] == k and r[4] == 0]) for k in range(7)}
     view.upsert(df.limit(0), 10)
     assert view.versions() == [0, 1, 2, 3, 9, 10] and view.read().count() == 7
+
+
+def test_an_abandoned_run_of_tokens_ends_by_itself(spark, tmp_path):
+    import time
+
+    from skein.streaming import segments as live
+
+    row = lambda seq, mode, text: ("s", 1, seq, mode, "model" if mode == "messages" else None, text, None)
+    spark.createDataFrame([row(1, "messages", "one"), row(2, "end", None), row(3, "messages", "left "), row(4, "messages", "open")], live.EVENTS).coalesce(1).write.parquet(f"{tmp_path}/in")
+    found = live.segments(live.read_events(spark, f"{tmp_path}/in"), idle_millis=1000)
+    query = found.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(processingTime="1 second").start(f"{tmp_path}/out")
+    schema, until = "session_id string, run bigint, segment bigint, text string", time.time() + 60
+    rows = []
+    while len(rows) < 2 and time.time() < until:
+        time.sleep(1)
+        if (tmp_path / "out" / "_spark_metadata").exists():
+            rows = sorted(map(tuple, spark.read.schema(schema).parquet(f"{tmp_path}/out").collect()))
+    query.stop()
+    assert rows == [("s", 1, 0, "one"), ("s", 1, 1, "left open")]
