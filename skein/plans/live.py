@@ -62,26 +62,27 @@ def _windows_sql(hours: str, size: int, keys: str) -> str:
     return f"SELECT start, start + INTERVAL {size} HOUR AS \"end\", {keys}, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM (SELECT a.*, {start} AS start FROM (SELECT *, unnest({hours}) AS h FROM {_ARRIVED}) a) x JOIN {_MARKS} USING (batch) WHERE (mark IS NULL OR start + INTERVAL {size} HOUR > mark) AND start + INTERVAL {size} HOUR <= {_LAST} GROUP BY ALL"
 
 
-_COUNTS = [F.count("*").alias("n"), F.sum("cents").alias("cents")]
+def _counts():
+    return [F.count("*").alias("n"), F.sum("cents").alias("cents")]
 
 
 @query(_windows_sql(f"[({_HOURS}) // 6 * 6]", 6, "event_type"))
 def streamed_tumbling_windows(spark, d):
     """Six hours at a time by type; rows for closed windows are left out."""
-    return _plain(_out(spark, windows.windowed(_stream(spark, d, _LATE), "ts", F.window("ts", "6 hours"), f"{DELAY} seconds", ["event_type"], _COUNTS)), "start", "end")
+    return _plain(_out(spark, windows.windowed(_stream(spark, d, _LATE), "ts", F.window("ts", "6 hours"), f"{DELAY} seconds", ["event_type"], _counts())), "start", "end")
 
 
 @query(_windows_sql(f"[({_HOURS}) // 8 * 8, ({_HOURS}) // 8 * 8 - 8, ({_HOURS}) // 8 * 8 - 16]", 24, "event_type"))
 def streamed_sliding_windows(spark, d):
     """A day at a time, every eight hours."""
-    return _plain(_out(spark, windows.windowed(_stream(spark, d, _LATE), "ts", F.window("ts", "24 hours", "8 hours"), f"{DELAY} seconds", ["event_type"], _COUNTS)), "start", "end")
+    return _plain(_out(spark, windows.windowed(_stream(spark, d, _LATE), "ts", F.window("ts", "24 hours", "8 hours"), f"{DELAY} seconds", ["event_type"], _counts())), "start", "end")
 
 
 @query(f"WITH k AS (SELECT a.* FROM {_arrived(_LOST)} a JOIN {_marks(_LOST)} USING (batch) WHERE mark IS NULL OR ts + INTERVAL 12 HOUR > mark), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM (SELECT *, (coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 12 HOUR, true))::INT AS new FROM k)), w AS (SELECT min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS \"end\", user_id, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM s GROUP BY user_id, session) SELECT * FROM w WHERE \"end\" <= {_LAST}")
 def streamed_session_windows(spark, d):
     """Sessions of a user, ended by twelve hours without an event. Late rows come three micro-batches after their time here:
     one that came while its own session was closed, but its window not, would make a session of its own."""
-    return _plain(_out(spark, windows.windowed(_stream(spark, d, _LOST), "ts", F.session_window("ts", "12 hours"), f"{DELAY} seconds", ["user_id"], _COUNTS)), "start", "end")
+    return _plain(_out(spark, windows.windowed(_stream(spark, d, _LOST), "ts", F.session_window("ts", "12 hours"), f"{DELAY} seconds", ["user_id"], _counts())), "start", "end")
 
 
 @query(f"SELECT event_id, event_type, ts FROM {_ARRIVED} JOIN {_MARKS} USING (batch) WHERE make_timestamp(({_HOURS}) // 6 * 6 * 3600000000) + INTERVAL 6 HOUR <= mark")
