@@ -3,7 +3,10 @@
 Whole numbers are put in bins of 2^level values. An interval is the disjoint union of at most two bins a level, its
 canonical cover, of O(log length) bins in all; a point is in one bin of each level. So a point lies in an interval if and
 only if exactly one of its bins is in the interval's cover: an equi-join by (level, bin) gives each pair once. Where only
-counts or sums are asked for, intervals are added up by bin before they meet any point, so that pairs are never made.
+counts are asked for, intervals are added up by bin before they meet any point, so that pairs are never made.
+
+A point is looked up once for each level. Times in microseconds have many, so the levels can start at a finest one: an
+interval's ends then lie in up to two bins that it covers in part, and whoever meets it there is held against it exactly.
 """
 
 from __future__ import annotations
@@ -22,19 +25,24 @@ def micros(at: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), at.cast("timestamp_ntz"))
 
 
-def cover(low: str, high: str) -> Column:
-    """The canonical cover of [low, high], both ends in, as an array of (level, bin); empty if high is below low. A level
-    adds its leftmost bin where that is a right child, and its rightmost where that is a left child."""
+def cover(low: str, high: str, finest: int = 0) -> Column:
+    """The cover of [low, high], both ends in, as an array of (level, bin, part); empty if high is below low. Inside, a level
+    adds its leftmost bin where that is a right child, and its rightmost where that is a left child. Bins of the finest
+    level that an end cuts are marked as parts."""
     left = f"shiftright({low} + (shiftleft(1L, k) - 1), k)"
     right = f"shiftright({high} + 1, k)"
-    some = f"array(CASE WHEN {left} & 1 = 1 THEN named_struct('level', k, 'bin', {left}) END, CASE WHEN {right} & 1 = 1 THEN named_struct('level', k, 'bin', {right} - 1) END)"
-    levels = f"filter(sequence(0, {LEVELS - 1}), k -> {left} < {right})"
-    return F.expr(f"filter(flatten(transform({levels}, k -> {some})), b -> b is not null)")
+    bin_ = lambda level, place, part: f"named_struct('level', {level}, 'bin', {place}, 'part', {part})"
+    some = f"array(CASE WHEN {left} & 1 = 1 THEN {bin_('k', left, 'false')} END, CASE WHEN {right} & 1 = 1 THEN {bin_('k', f'{right} - 1', 'false')} END)"
+    whole = f"flatten(transform(filter(sequence({finest}, {LEVELS - 1}), k -> {left} < {right}), k -> {some}))"
+    mask = (1 << finest) - 1
+    cut = lambda place, end: f"CASE WHEN {low} <= {high} AND ({place} & {mask}L) <> 0 THEN {bin_(str(finest), f'shiftright({end}, {finest})', 'true')} END"
+    parts = f"array_distinct(array({cut(low, low)}, {cut(f'({high} + 1)', high)}))"
+    return F.expr(f"filter(concat({whole}, {parts}), b -> b is not null)")
 
 
-def _binned(intervals: DataFrame, low: str, high: str) -> DataFrame:
+def _binned(intervals: DataFrame, low: str, high: str, finest: int) -> DataFrame:
     """The intervals' rows, one for each bin of their covers."""
-    return intervals.where(f"{low} <= {high}").select("*", F.inline(cover(low, high)).alias("_level", "_bin"))
+    return intervals.where(f"{low} <= {high}").select("*", F.inline(cover(low, high, finest)).alias("_level", "_bin", "_part"))
 
 
 def _placed(points: DataFrame, at: str, levels: list[int]) -> DataFrame:
@@ -43,25 +51,32 @@ def _placed(points: DataFrame, at: str, levels: list[int]) -> DataFrame:
     return points.where(f"{at} is not null").select("*", some).withColumn("_bin", F.expr(f"shiftright({at}, _level)"))
 
 
-def _levels(intervals: DataFrame, low: str, high: str) -> list[int]:
+def _levels(intervals: DataFrame, low: str, high: str, finest: int) -> list[int]:
     """Levels that covers use: those up to the bit length of the longest interval, which an aggregate finds."""
     longest = intervals.where(f"{low} <= {high}").agg(F.max(F.col(high) - F.col(low))).first()[0]
-    return [] if longest is None else list(range((longest + 1).bit_length()))
+    return [] if longest is None else list(range(finest, max(finest + 1, (longest + 1).bit_length())))
 
 
-def interval_join(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, keys: Sequence[str] = ()) -> DataFrame:
+def interval_join(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, keys: Sequence[str] = (), finest: int = 0) -> DataFrame:
     """Each point (a long) with each interval [low, high] (longs) that it lies in and whose keys it shares: all columns of
     both, the keys once. Nulls in either lie in nothing. The tables' other columns must differ by name."""
-    levels = _levels(intervals, low, high)
-    pairs = _placed(points, at, levels).join(_binned(intervals, low, high), [*keys, "_level", "_bin"])
-    return pairs.drop("_level", "_bin")
+    levels = _levels(intervals, low, high, finest)
+    pairs = _placed(points, at, levels).join(_binned(intervals, low, high, finest), [*keys, "_level", "_bin"])
+    return pairs.where(f"not _part or {at} between {low} and {high}").drop("_level", "_bin", "_part")
 
 
-def interval_counts(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, keys: Sequence[str] = (), name: str = "n") -> DataFrame:
+def interval_counts(points: DataFrame, intervals: DataFrame, at: str, low: str, high: str, keys: Sequence[str] = (), name: str = "n", finest: int = 0) -> DataFrame:
     """The points, each with the number of intervals that it lies in and whose keys it shares; also where these are far more
-    than could be paired. A point with a null lies in none. Points of one place are counted once and joined back."""
-    levels = _levels(intervals, low, high)
-    bins = _binned(intervals.select(*keys, low, high), low, high).groupBy(*keys, "_level", "_bin").agg(F.count("*").alias("_n"))
-    places = _placed(points.select(*keys, at).distinct(), at, levels)
-    counts = places.join(bins, [*keys, "_level", "_bin"]).groupBy(*keys, at).agg(F.sum("_n").alias("_n"))
+    than could be paired. A point with a null lies in none. Points of one place are counted once and joined back. Pairs are
+    made in the bins of the finest level that intervals end in, and of equal ends one pair."""
+    levels = _levels(intervals, low, high, finest)
+    ends = intervals.groupBy(*keys, low, high).agg(F.count("*").alias("_n"))
+    bins = _binned(ends, low, high, finest)
+    whole = bins.where("not _part").groupBy(*keys, "_level", "_bin").agg(F.sum("_n").alias("_n"))
+    places = points.select(*keys, at).distinct()
+    met = _placed(places, at, levels).join(whole, [*keys, "_level", "_bin"]).select(*keys, at, "_n")
+    if finest:
+        cut = _placed(places, at, [finest]).join(bins.where("_part"), [*keys, "_level", "_bin"]).where(f"{at} between {low} and {high}")
+        met = met.unionAll(cut.select(*keys, at, "_n"))
+    counts = met.groupBy(*keys, at).agg(F.sum("_n").alias("_n"))
     return points.join(counts, [*keys, at], "left").select(*points.columns, F.coalesce("_n", F.lit(0)).alias(name))

@@ -40,6 +40,8 @@ def last_order_when_shipped(spark, d):
 
 # Events lie after the last order; a quarter of a century earlier they are among them.
 _THEN = "(ts - INTERVAL 25 YEAR)"
+#: Bins of times start at 2^32 microseconds, some 72 minutes.
+_FINEST = 32
 
 
 def _points(spark, d):
@@ -51,14 +53,14 @@ def open_orders(spark, d):
     """How many orders are open (between their first and last shipped line) at each event: counted, not paired."""
     spans = _table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("low"), F.max("l_shipdate").alias("high"))
     spans = spans.select(micros(F.col("low")).alias("low"), micros(F.col("high")).alias("high"))
-    return interval_counts(_points(spark, d), spans, "at", "low", "high", name="n_open").select("event_id", "n_open")
+    return interval_counts(_points(spark, d), spans, "at", "low", "high", name="n_open", finest=_FINEST).select("event_id", "n_open")
 
 
 @query(f"SELECT event_id, l_orderkey, l_linenumber, l_partkey FROM events JOIN lineitem ON user_id = l_suppkey AND {_THEN} BETWEEN l_shipdate AND l_shipdate + to_days(CAST(l_quantity AS INTEGER))")
 def lines_under_way(spark, d):
     """Events with the lines of the supplier of the user's number that are under way then, a day for each piece."""
     lines = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("user_id"), micros(F.col("l_shipdate")).alias("low"), (micros(F.col("l_shipdate")) + F.col("l_quantity").cast("int") * F.lit(86_400_000_000)).alias("high"))
-    return interval_join(_points(spark, d), lines, "at", "low", "high", ["user_id"]).select("event_id", "l_orderkey", "l_linenumber", "l_partkey")
+    return interval_join(_points(spark, d), lines, "at", "low", "high", ["user_id"], _FINEST).select("event_id", "l_orderkey", "l_linenumber", "l_partkey")
 
 
 # --- scans, ranks and percentiles over groups of any size

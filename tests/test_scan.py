@@ -87,27 +87,30 @@ def spans(seed: int = 2, n: int = 200) -> list[tuple]:
     return [*out, ("x", None, 5, n), ("x", 5, None, n + 1), ("x", -(1 << 50), 1 << 50, n + 2)]
 
 
-def test_covers(spark):
-    rows = spark.createDataFrame([r for r in spans() if None not in r[1:3] and r[2] - r[1] < 1000], "k string, low long, high long, i int").select("low", "high", cover("low", "high").alias("c")).collect()
+@pytest.mark.parametrize("finest", [0, 1, 4, 12])
+def test_covers(spark, finest):
+    rows = spark.createDataFrame([r for r in spans() if None not in r[1:3] and r[2] - r[1] < 1000], "k string, low long, high long, i int").select("low", "high", cover("low", "high", finest).alias("c")).collect()
     for low, high, bins in rows:
-        inside = [v for level, b in bins for v in range(b << level, (b + 1) << level)]
+        inside = [v for level, b, part in bins for v in range(b << level, (b + 1) << level) if not part or low <= v <= high]
         assert sorted(inside) == list(range(low, high + 1)) and len(bins) <= 2 * max(1, (high - low + 1).bit_length())
+        assert all(level >= finest for level, _, _ in bins) and (finest or not any(part for _, _, part in bins))
 
 
-def test_interval_joins(spark):
+@pytest.mark.parametrize("finest", [0, 3, 7])
+def test_interval_joins(spark, finest):
     rnd = random.Random(9)
     points = [(rnd.choice(["x", "y", None]), rnd.choice([None, *range(-600, 600)]), i) for i in range(150)]
     p = spark.createDataFrame([*points, points[0]], "k string, at long, id int")
-    v = spark.createDataFrame(spans(), "k string, low long, high long, i int")
+    v = spark.createDataFrame([*spans(), spans()[3]], "k string, low long, high long, i int")
+    every, all_spans = [*points, points[0]], [*spans(), spans()[3]]
     hit = lambda at, s: None not in (at, s[1], s[2]) and s[1] <= at <= s[2]
-    every = [*points, points[0]]
-    found = interval_join(p.select("at", "id"), v.drop("k"), "at", "low", "high")
+    found = interval_join(p.select("at", "id"), v.drop("k"), "at", "low", "high", finest=finest)
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
-    assert sorted((r["id"], r["i"]) for r in found.collect()) == sorted((i, s[3]) for _, at, i in every for s in spans() if hit(at, s))
-    keyed = interval_join(p, v, "at", "low", "high", ["k"]).collect()
-    assert sorted((r["id"], r["i"]) for r in keyed) == sorted((i, s[3]) for k, at, i in every for s in spans() if k is not None and k == s[0] and hit(at, s))
-    counts = interval_counts(p, v, "at", "low", "high", ["k"]).collect()
-    assert sorted(map(tuple, counts), key=repr) == sorted(((k, at, i, sum(k is not None and k == s[0] and hit(at, s) for s in spans())) for k, at, i in every), key=repr)
+    assert sorted((r["id"], r["i"]) for r in found.collect()) == sorted((i, s[3]) for _, at, i in every for s in all_spans if hit(at, s))
+    keyed = interval_join(p, v, "at", "low", "high", ["k"], finest).collect()
+    assert sorted((r["id"], r["i"]) for r in keyed) == sorted((i, s[3]) for k, at, i in every for s in all_spans if k is not None and k == s[0] and hit(at, s))
+    counts = interval_counts(p, v, "at", "low", "high", ["k"], finest=finest).collect()
+    assert sorted(map(tuple, counts), key=repr) == sorted(((k, at, i, sum(k is not None and k == s[0] and hit(at, s) for s in all_spans)) for k, at, i in every), key=repr)
     assert {r["n"] for r in interval_counts(p, v.limit(0), "at", "low", "high").collect()} == {0}
 
 
