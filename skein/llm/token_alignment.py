@@ -31,9 +31,9 @@ from .byte_bpe import unit_starts
 from .common import blocks, column_bytes, discard, saved
 from .span_ids import SpanIds, gather
 
-#: Id pairs whose counts a task holds at a time, pairs that a counting task holds before it gives them out, and units that a
-#: worker keeps.
-BLOCK_PAIRS, HELD_PAIRS, UNITS = 1 << 21, 1 << 22, 1 << 19
+#: Id pairs whose counts a task holds at a time, pairs that a counting task holds before it gives them out, units that a
+#: worker keeps, and bytes of text that it aligns together (some 60 bytes of arrays for each).
+BLOCK_PAIRS, HELD_PAIRS, UNITS, ALIGNED_BYTES = 1 << 21, 1 << 22, 1 << 18, 1 << 20
 _SPACE = "▁"
 #: The cell of a unit that one of the tokenizers does not give back byte for byte.
 _BAD = np.uint32(0xFFFFFFFF)
@@ -227,7 +227,7 @@ def _tokenized(path_a: str, path_b: str):
         from .token_alignment import aligner  # the module's own cache, which a pickled global would not be
 
         own = aligner(path_a, path_b)
-        for rows, data, offsets in blocks(batches, "text"):
+        for rows, data, offsets in blocks(batches, "text", ALIGNED_BYTES):
             counts, digests, pairs = own.measure(data, offsets)
             end = pairs.itemsize * np.append(0, np.cumsum(counts[2]))
             links = pa.Array.from_buffers(pa.large_binary(), rows.num_rows, [None, pa.py_buffer(end.astype(np.int64)), pa.py_buffer(pairs.tobytes())]).cast(pa.binary())
