@@ -31,8 +31,8 @@ from .span_ids import SpanIds, gather
 SHARD_TOKENS = 1 << 20
 #: Pairs that occur so often are replaced, the most frequent of them in a round, in rounds until there are none.
 MIN_PAIRS, RULES_A_ROUND = 64, 4096
-#: Bytes of text in a block.
-BLOCK_BYTES = 1 << 22
+#: Bytes of text in a block, and words that a worker keeps.
+BLOCK_BYTES, WORDS = 1 << 22, 1 << 19
 #: Marks that may stand behind a word and make one token group together.
 _MARKS = "!#$%&*+,-./:;<=>?@|)"
 #: White space that ends a word; any other is left to the library.
@@ -55,7 +55,7 @@ class WordEncoder:
         vocabulary = self.own.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.spans = SpanIds(self._new)
+        self.spans = SpanIds(self._new, WORDS)
 
     def _each(self, words: list[str]) -> list[bytes]:
         return [np.array(x.ids, np.uint32).tobytes() for x in self.own.encode_batch_fast(words, add_special_tokens=False)]
