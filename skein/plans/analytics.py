@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import coverage, funnels, history, lattice, limits, sketches
 from skein.operators.asof import asof_join
+from skein.operators.frames import moving
 from skein.operators.intervals import interval_counts, interval_join, micros
 from skein.operators.ranks import percentiles, ranked, tiles
 from skein.operators.scan import Running, running
@@ -111,6 +112,29 @@ def transcript_pages(spark, d):
     return history.transcript_pages(_messages(spark, d), 500)
 
 
+# --- moving aggregates
+
+_VALUE_CENTS = "CAST(round(value * 100) AS BIGINT)"
+_HOUR = 3_600_000_000
+
+
+@query(f"SELECT event_id, event_type, count(*) OVER w AS n, min(value) OVER w AS least, max(value) OVER w AS most, CAST(sum({_VALUE_CENTS}) OVER w AS BIGINT) AS cents FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW)")
+def last_day_of_type(spark, d):
+    """Each event with its type's number, least and largest value and sum over the 24 hours up to it. There are few types."""
+    rows = _table(spark, d, "events").select("event_id", "event_type", "value", micros(F.col("ts")).alias("at"), F.expr(_VALUE_CENTS).alias("c"))
+    found = moving(rows, ["event_type"], "at", 24 * _HOUR, 0, {"n": ("count", "event_id"), "least": ("min", "value"), "most": ("max", "value"), "cents": ("sum", "c")})
+    return found.select("event_id", "event_type", "n", "least", "most", "cents")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, cents, count(*) OVER w AS n, max(l_quantity) OVER w AS most, CAST(sum(cents) OVER w AS BIGINT) AS sold FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem) WINDOW w AS (ORDER BY CAST(l_shipdate AS DATE) - DATE '1970-01-01' RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING)")
+def week_around_shipment(spark, d):
+    """Each line with the lines shipped up to three days before or after it, of all lines as one group."""
+    days = F.unix_date(F.to_date("l_shipdate")).cast("long")
+    rows = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.expr(_CENTS).alias("cents"), days.alias("day"))
+    found = moving(rows, [], "day", 3, 3, {"n": ("count", "day"), "most": ("max", "l_quantity"), "sold": ("sum", "cents")})
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents", "n", "most", "sold")
+
+
 # --- waiting for a rate limit
 
 _STEP, _BURST = 1000 * 1_000_000, 5
