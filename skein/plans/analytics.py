@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skein.operators import coverage, funnels, history, lattice, limits, sketches
 from skein.operators.asof import asof_join
 from skein.operators.frames import moving
+from skein.operators.gaps import filled
 from skein.operators.intervals import interval_counts, interval_join, micros
 from skein.operators.ranks import percentiles, ranked, tiles
 from skein.operators.scan import Running, running
@@ -135,6 +136,14 @@ def week_around_shipment(spark, d):
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents", "n", "most", "sold")
 
 
+@query("WITH b AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, max(value) AS most FROM events GROUP BY ALL), d AS (SELECT user_id, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM b GROUP BY user_id) SELECT user_id, day, coalesce(n, 0) AS n, last_value(most IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY day) AS most FROM d LEFT JOIN b USING (user_id, day)")
+def user_days(spark, d):
+    """Each user's days from the first event to the last: events, and the largest value of the last day that had any."""
+    days = _table(spark, d, "events").groupBy("user_id", F.unix_date(F.to_date("ts")).cast("long").alias("day")).agg(F.count("*").alias("n"), F.max("value").alias("most"))
+    found = filled(days, ["user_id"], "day", ["most"])
+    return found.select("user_id", F.date_from_unix_date(F.col("day").cast("int")).alias("day"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), "most")
+
+
 # --- waiting for a rate limit
 
 _STEP, _BURST = 1000 * 1_000_000, 5
