@@ -333,25 +333,27 @@ def input_history(spark, d):
 
 
 def _note_files(spark, d) -> str:
-    """A folder with a file for each note, below id=..."""
-    path = scratch_path(spark, "notes")
-    X.frame(spark, d, "notes").repartition("id").write.partitionBy("id").text(path)
+    """A folder with a file for each note, part=.../id=....txt; a part is named by the first digit of its ids and a hash."""
+    path, id_ = scratch_path(spark, "notes"), F.col("id").cast("string")
+    part = F.concat_ws("-", F.substring(id_, 1, 1), F.pmod(F.xxhash64("id"), F.lit(64)))
+    name = F.concat(F.lit("part="), part, F.lit("/id="), id_, F.lit(".txt"))
+    files.write_documents(X.frame(spark, d, "notes").select(name.alias("path"), F.concat("text", F.lit("\n")).alias("text")), path)
     return path
 
 
 def _by_id(found: DataFrame) -> DataFrame:
-    return found.select(F.regexp_extract("path", r"id=(\d+)/", 1).cast("long").alias("id"), "text")
+    return found.select(F.regexp_extract("path", r"id=(\d+)\.txt$", 1).cast("long").alias("id"), "text")
 
 
 @query(f"SELECT id, text || chr(10) AS text FROM {X.rows('notes')}")
 def whole_files(spark, d):
-    return _by_id(files.read_documents(spark, f"{_note_files(spark, d)}/*/*.txt"))
+    return _by_id(files.read_documents(spark, _note_files(spark, d)))
 
 
 @query(f"SELECT id, CASE WHEN CAST(id AS VARCHAR) LIKE '1%' THEN text || chr(10) ELSE '' END AS section FROM {X.rows('notes')}")
 def optional_sections(spark, d):
     path = _note_files(spark, d)
-    found = _by_id(files.read_documents(spark, f"{path}/id=1*/*.txt", optional=True).unionAll(files.read_documents(spark, f"{path}/absent/*.txt", optional=True)))
+    found = _by_id(files.read_documents(spark, f"{path}/part=1-*", optional=True).unionAll(files.read_documents(spark, f"{path}/part=absent-*", optional=True)))
     return X.frame(spark, d, "notes").select("id").join(found, "id", "left").select("id", F.coalesce("text", F.lit("")).alias("section"))
 
 
