@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
+from skein.operators.intervals import interval_join
 from skein.plans import registry
 from skein.sources import files
 
@@ -23,3 +26,27 @@ def test_documents_are_written_as_they_are(spark, tmp_path):
     files.write_documents(spark.createDataFrame(rows, "path string, text string"), f"file://{tmp_path}/out")
     assert {str(p.relative_to(tmp_path / "out")): p.read_bytes().decode() for p in (tmp_path / "out").rglob("*") if p.is_file()} == dict(rows[:3])
     assert {r["text"] for r in files.read_documents(spark, f"file://{tmp_path}/out").collect()} - {""} == {t for _, t in rows[:3] if t}
+
+
+def test_interval_join_shuffles_an_interval_twice_at_most(spark):
+    """Intervals were shuffled once for each bin of their covers."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        points = spark.range(100).select((F.col("id") * 10_007).alias("at"), "id")
+        spans = spark.range(500).select((F.col("id") * 1_003 + 1).alias("low"), (F.col("id") * 1_003 + 90_000).alias("high"), F.col("id").alias("span"))
+        found = interval_join(points, spans, "at", "low", "high")
+        plan = found._jdf.queryExecution().executedPlan()
+        got = {(r["id"], r["span"]) for r in found.collect()}
+        written, nodes = 0, [plan]
+        while nodes:
+            node = nodes.pop()
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+            if node.nodeName() == "Exchange":
+                written += node.metrics().apply("shuffleRecordsWritten").value()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert got == {(i, s) for i in range(100) for s in range(500) if s * 1_003 + 1 <= i * 10_007 <= s * 1_003 + 90_000}
+    assert 600 <= written <= 2 * 500 + 100
