@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
+from skein.sources.scratch import delete, scratch_path
 
 #: The state store that lies on disk beside each task, with changes in the checkpoint; timers need it.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -23,9 +25,14 @@ def state_session(spark: SparkSession) -> SparkSession:
 
 def write_batches(rows: DataFrame, batch: str, path: str, numbers: range) -> None:
     """The rows of each number, one file after the other, so that a source that takes a file at a time, the oldest first,
-    has them as its micro-batches. A number without rows gives none."""
+    has them as its micro-batches. A number without rows gives none. The rows are computed once, by all tasks, and dealt to
+    folders by number; each number's file is written from its folder."""
+    dealt = scratch_path(rows.sparkSession, "dealt")
+    rows.where(F.col(batch).isin(*numbers)).withColumn("_number", F.col(batch).cast("int")).write.partitionBy("_number").parquet(dealt)
+    stored = rows.sparkSession.read.schema(StructType([*rows.schema.fields, StructField("_number", IntegerType())])).parquet(dealt)
     for k in numbers:
-        rows.where(F.col(batch) == k).coalesce(1).write.mode("append").parquet(path)
+        stored.where(F.col("_number") == k).drop("_number").coalesce(1).write.mode("append").parquet(path)
+    delete(rows.sparkSession, dealt)
 
 
 def read_batches(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
