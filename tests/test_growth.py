@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from skein.operators.intervals import interval_join
 from skein.plans import registry
 from skein.sources import files
+from skein.streaming import replay, runs
 
 
 def test_notes_lie_in_a_bounded_number_of_folders(spark, tmp_path):
@@ -50,3 +51,29 @@ def test_interval_join_shuffles_an_interval_twice_at_most(spark):
             spark.conf.unset(k)
     assert got == {(i, s) for i in range(100) for s in range(500) if s * 1_003 + 1 <= i * 10_007 <= s * 1_003 + 90_000}
     assert 600 <= written <= 2 * 500 + 100
+
+
+def test_micro_batches_are_dealt_from_one_pass(spark, tmp_path):
+    """The rows were computed once for each number, by one task."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def number(i):
+        seen.add(1)
+        return i % 10
+
+    replay.write_batches(spark.range(500).select("id", number("id").alias("batch")), "batch", f"{tmp_path}/in", range(10))
+    assert seen.value <= 1000  # a filter and a column
+    stored = spark.read.parquet(f"{tmp_path}/in").select("batch", F.input_file_name().alias("file")).groupBy("batch", "file").count()
+    assert stored.orderBy("batch").select("batch", "count").collect() == [(k, 50) for k in range(10)]
+
+
+def test_many_keys_share_a_bucket_of_runs(spark, tmp_path):
+    """The state was asked several times for each key and micro-batch."""
+    rows = spark.range(1200).selectExpr("id % 60 AS key", "timestamp_seconds(1700000000 + id * 60 + if(id >= 1140, 100000, 0)) AS ts", "id AS value", "cast(id div 400 AS int) AS batch")
+    own = replay.state_session(spark)
+    replay.write_batches(rows, "batch", f"{tmp_path}/in", range(3))
+    found = runs.runs(replay.read_batches(own, f"{tmp_path}/in", rows.schema), "key", "ts", "value", 3600, "1 minute", buckets=2)
+    replay.run(found, f"{tmp_path}/out", f"{tmp_path}/check")
+    got = spark.read.parquet(f"{tmp_path}/out").orderBy("key").select("key", "n", "total").collect()
+    assert got == [(k, 19, sum(range(k, 1140, 60))) for k in range(60)]
