@@ -25,6 +25,9 @@ from skein.sources.scratch import saved
 
 KINDS = ("sum", "max", "min", "last")
 
+#: Rows that a slice has, about, where there are more than the cores take at once.
+SLICE_ROWS = 500_000
+
 
 @dataclass(frozen=True)
 class Running:
@@ -111,15 +114,22 @@ def _before(kind: str, held, value):
     return held + value if kind == "sum" else (max if kind == "max" else min)(held, value)
 
 
+def _dealt(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The rows by range: many of them in slices of a given number, which are not coalesced."""
+    slices = -(-rows.count() // SLICE_ROWS)
+    return rows.repartitionByRange(slices, *by) if slices > rows.sparkSession.sparkContext.defaultParallelism else rows.repartitionByRange(*by)
+
+
 def running(rows: DataFrame, keys: Sequence[str], order: Sequence[str], measures: dict[str, Running]) -> DataFrame:
     """The rows with a column for each measure: its running value within the group of the keys, in ascending order (nulls
     first, as Spark sorts). Without keys all rows are one group.
 
     Rows that are equal in keys and order come in any order, so the order should be total; a group whose rows are all equal
-    in it can't be dealt out. No rows give none. One range shuffle, one table, and a broadcast of a row for each slice.
+    in it can't be dealt out. No rows give none. One range shuffle, one table, and a broadcast of a row for each slice. The
+    rows are counted first, so that slices become more with them, and not larger.
     """
     by = [*keys, *order]
-    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by) if by else rows
+    dealt = _dealt(rows, by).sortWithinPartitions(*by) if by else rows
     kinds: dict[str, DataType] = {m: rows.schema[r.column].dataType for m, r in measures.items()}
     fields = [StructField(m, t) for m, t in kinds.items()]
     schema = StructType([*rows.schema.fields, *fields, StructField("_slice", rows.select(F.lit("")).schema[0].dataType), StructField("_place", LongType()), StructField("_head", BooleanType())])

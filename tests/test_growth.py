@@ -6,6 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from skein.operators import scan
 from skein.operators.intervals import interval_join
 from skein.plans import registry
 from skein.sources import files
@@ -77,3 +78,12 @@ def test_many_keys_share_a_bucket_of_runs(spark, tmp_path):
     replay.run(found, f"{tmp_path}/out", f"{tmp_path}/check")
     got = spark.read.parquet(f"{tmp_path}/out").orderBy("key").select("key", "n", "total").collect()
     assert got == [(k, 19, sum(range(k, 1140, 60))) for k in range(60)]
+
+
+def test_slices_become_more_with_the_rows(spark, monkeypatch):
+    """Their number was the session's, so that a task's sort grew with the table."""
+    monkeypatch.setattr(scan, "SLICE_ROWS", 100)
+    found = scan.running(spark.range(2000).selectExpr("id", "1L AS one"), [], ["id"], {"n": scan.Running("sum", "one")})
+    assert found.where("n <> id + 1").count() == 0
+    files_ = found.select(F.input_file_name().alias("f")).groupBy("f").count().collect()
+    assert len(files_) == 20 and max(r["count"] for r in files_) < 200
