@@ -27,6 +27,12 @@ class SpanIds:
         self.ids, self.raw = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
         self.fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
+    def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these spans, one span after the other, and how many each has."""
+        raw = data.tobytes()
+        cells = self.new([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]) if len(starts) else []
+        return np.frombuffer(b"".join(cells), np.uint32), np.array([*map(len, cells)], np.int64) // 4
+
     def _learn(self, keys: np.ndarray, size: np.ndarray, ids: np.ndarray, width: np.ndarray, raw: np.ndarray) -> None:
         self.fresh.append((keys, size, ids, width, raw))
         if sum(len(x[0]) for x in self.fresh) * 5 > len(self.keys):
@@ -58,12 +64,8 @@ class SpanIds:
             some = np.flatnonzero(known)
             known[some] = equal_spans(data, starts[where[some]], self.raw, self.at[entry[some]], width[where[some]])
         fresh = np.flatnonzero(~known)
-        raw = data.tobytes()
         asked = np.concatenate([where[fresh], odd])
-        spans = [raw[a:b] for a, b in zip(starts[asked].tolist(), ends[asked].tolist(), strict=True)]
-        cells = self.new(spans) if spans else []
-        flat = np.frombuffer(b"".join(cells), np.uint32)
-        more = np.array([*map(len, cells)], np.int64) // 4
+        flat, more = self._encoded(data, starts[asked], ends[asked])
         first = np.cumsum(more) - more + len(self.ids)
         size, begin = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
         if len(self.keys):
@@ -75,12 +77,12 @@ class SpanIds:
         learn = np.flatnonzero(~taken[fresh] & (width[where[fresh]] <= LONG_SPAN))
         if len(self.keys) < self.capacity and len(learn):
             mine = fresh[learn]
-            kept = [cells[i] for i in learn.tolist()]
-            self._learn(keys[mine], more[learn], np.frombuffer(b"".join(kept), np.uint32), width[where[mine]], np.frombuffer(b"".join([spans[i] for i in learn.tolist()]), np.uint8))
+            kept = gather(flat, first[learn] - len(self.ids), more[learn])[0]
+            self._learn(keys[mine], more[learn], kept, width[where[mine]], gather(data, starts[where[mine]], width[where[mine]])[0])
         return table, begin, size
 
 
 def gather(table: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of the spans, one span after the other, and each span's end in them."""
+    """The ids (or bytes) of the spans, one span after the other, and each span's end in them."""
     total = np.cumsum(size)
     return table[np.repeat(begin - total + size, size) + np.arange(total[-1] if len(total) else 0)], total

@@ -16,6 +16,7 @@ The shards are rows of a Parquet table (part, shard, ids before it in the part,
 from __future__ import annotations
 
 import functools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_set, heads, mix, spread, word_spans
+from .common import blocks, byte_set, heads, spread, word_spans
 from .span_ids import SpanIds, gather
 
 SHARD_TOKENS = 1 << 20
@@ -39,6 +40,48 @@ _MARKS = "!#$%&*+,-./:;<=>?@|)"
 _SPACES = byte_set((0x20, 0x20), (0x09, 0x0A), (0x0D, 0x0D))
 
 
+#: ASCII letters, what follows C3 in a letter of two bytes (all but the signs of times and division), and the marks.
+_LETTERS, _AFTER_C3 = byte_set((0x41, 0x5A), (0x61, 0x7A)), byte_set((0x80, 0x96), (0x98, 0xB6), (0xB8, 0xBF))
+_MARK_BYTES = byte_set(*((ord(x), ord(x)) for x in _MARKS))
+#: Words that go to the library in one string.
+GROUP = 256
+
+
+def token_groups(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """1 for words of letters up to U+00FF, 2 for such with marks behind them, 0 for any other word."""
+    letter, mark = _LETTERS[data], _MARK_BYTES[data]
+    pair = np.flatnonzero((data[:-1] == 0xC3) & _AFTER_C3[data[1:]])
+    letter[pair] = letter[pair + 1] = True
+    back = letter.copy()  # a letter behind something else
+    back[1:] &= ~letter[:-1]
+    letters, others, turns = (np.concatenate([[0], np.cumsum(x, dtype=np.int32)]) for x in (letter, ~(letter | mark), back))
+    whole = letters[ends] - letters[starts] == ends - starts
+    fits = letter[starts] & (others[ends] == others[starts]) & (turns[ends] == turns[starts + 1])
+    return np.where(fits, np.where(whole, 1, 2), 0)
+
+
+class WordIds(SpanIds):
+    """Words by their kind: those of token_groups() are put together as bytes, others go to new()."""
+
+    def __init__(self, own: WordEncoder) -> None:
+        super().__init__(own._new, WORDS)
+        self.groups = own.groups
+
+    def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        data, ends = gather(data, starts, ends - starts)
+        starts = np.append(0, ends[:-1])[: len(ends)]
+        count = token_groups(data, starts, ends)
+        plain, rest = np.flatnonzero(count), np.flatnonzero(count == 0)
+        ids, size, failed = self.groups(data, starts[plain], ends[plain], count[plain])
+        rest = np.concatenate([rest, plain[failed]])
+        others, more = super()._encoded(data, starts[rest], ends[rest])
+        place = np.empty(len(starts), np.int64)
+        sizes = np.empty(len(starts), np.int64)
+        sizes[plain], place[plain] = size, np.cumsum(size) - size
+        sizes[rest], place[rest] = more, np.cumsum(more) - more + len(ids)
+        return gather(np.concatenate([ids, others]), place, sizes)[0], sizes
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, a distinct word of a block at a time.
 
@@ -49,24 +92,44 @@ class WordEncoder:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library would start threads for all of the machine's
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
         vocabulary = self.own.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.spans = SpanIds(self._new, WORDS)
+        self.spans = WordIds(self)
 
     def _each(self, words: list[str]) -> list[bytes]:
         return [np.array(x.ids, np.uint32).tobytes() for x in self.own.encode_batch_fast(words, add_special_tokens=False)]
 
+    def groups(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words that make one token group, or two, each: their ids one word after the other, how many each has, and the
+        words of strings whose tokens end otherwise (their ids are left out)."""
+        width = np.stack([ends - starts, np.ones(len(starts), np.int64)], 1).ravel()
+        text, total = gather(np.append(data, np.uint8(0x20)), np.stack([starts, np.full(len(starts), len(data))], 1).ravel(), width)
+        raw, stops, size = text.tobytes(), total[1::2], np.zeros(len(starts), np.int64)
+        cuts = [*range(0, len(starts), GROUP), len(starts)] if len(starts) else [0]
+        strings = [raw[stops[a - 1] if a else 0 : stops[b - 1] - 1].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)]
+        out, failed = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for a, b, got in zip(cuts, cuts[1:], self.own.encode_batch_fast(strings, add_special_tokens=False), strict=False):
+            ids, last = np.array(got.ids, np.uint32), np.cumsum(count[a:b]) - 1
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) != last[-1] + 1:  # a letter became something else in lower case
+                failed.append(np.arange(a, b))
+                continue
+            size[a:b] = np.diff(stop[last], prepend=0)
+            out.append(ids)
+        return np.concatenate(out), size, np.concatenate(failed)
+
     def _new(self, raw: list[bytes]) -> list[bytes]:
         words = [w.decode("utf-8", "replace") for w in raw]
         count = [1 if w.isalpha() else 2 if w.rstrip(_MARKS).isalpha() else 0 for w in words]
         plain = [i for i, n in enumerate(count) if n]
         out: list[bytes] = [b""] * len(words)
         odd = [i for i, n in enumerate(count) if not n]
-        groups = [plain[k : k + 256] for k in range(0, len(plain), 256)]
+        groups = [plain[k : k + GROUP] for k in range(0, len(plain), GROUP)]
         for group, got in zip(groups, self.own.encode_batch_fast([" ".join([words[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(got.ids, np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
@@ -95,6 +158,12 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _slots(pair: np.ndarray) -> np.ndarray:
+    """20 bits of each pair."""
+    with np.errstate(over="ignore"):
+        return pair * np.uint32(0x9E3779B1) >> np.uint32(12) if pair.dtype == np.uint32 else pair * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)
+
+
 def compress(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """Re-Pair: (symbols, each document's first symbol and the end, pair of each rule, expansion length of each rule, first
     nonterminal). No pair crosses the end of a document."""
@@ -103,25 +172,35 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last[np.cumsum(sizes, dtype=np.int64) - 1] = True
     base = int(seq.max()) + 1 if len(seq) else 0
     rules = np.zeros((0, 2), np.uint32)
-    while len(seq) > 1:
+    # where a pair may still be frequent: a replacement makes pairs of its new symbol, and any other pair only rarer
+    live = ~last
+    while len(at := np.flatnonzero(live)):
         top = base + len(rules)
-        pair = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
-        ordered = np.sort(pair[~last[:-1]])
-        head = heads(ordered) if len(ordered) else np.zeros(0, np.int64)
+        kind, half = (np.uint32, 16) if top <= 1 << 16 else (np.uint64, 32)
+        pair = seq[at].astype(kind) << kind(half) | seq[at + 1]
+        ordered = np.sort(pair)
+        head = heads(ordered)
         count = np.diff(np.append(head, len(ordered)))
         often = np.flatnonzero(count >= MIN_PAIRS)
-        often = np.sort(often[np.argsort(-count[often], kind="stable")[:RULES_A_ROUND]])
         if not len(often):
             break
-        value = ordered[head[often]]
+        value, chosen = ordered[head[often]], np.zeros(len(often), bool)
+        chosen[np.argsort(-count[often], kind="stable")[:RULES_A_ROUND]] = True
         # most places hold no frequent pair; a table of hashes tells which are worth a search
-        maybe, hashed = np.zeros(1 << 20, bool), (mix(pair) >> np.uint64(44)).astype(np.int32)
-        maybe[(mix(value) >> np.uint64(44)).astype(np.int32)] = True
-        at = np.flatnonzero(maybe[hashed] & ~last[:-1])
-        number = np.minimum(np.searchsorted(value, pair[at]), len(value) - 1)
-        found = value[number] == pair[at]
+        slot = _slots(pair)
+        maybe = np.zeros(1 << 20, bool)
+        maybe[_slots(value)] = True
+        some = np.flatnonzero(maybe[slot])
+        at, pair = at[some], pair[some]
+        number = np.minimum(np.searchsorted(value, pair), len(value) - 1)
+        found = value[number] == pair
         at, number = at[found], number[found]
-        value = np.stack([value >> np.uint64(32), value & np.uint64(0xFFFFFFFF)], 1)
+        live[:] = False
+        live[at] = True
+        at, number = at[chosen[number]], (np.cumsum(chosen) - 1)[number[chosen[number]]]
+        value = value[chosen].astype(np.uint64)
+        mask = np.uint64((1 << half) - 1)
+        value = np.stack([value >> np.uint64(half), value & mask], 1)
         # of places in a row every second one is taken, so that no two overlap
         new = np.concatenate([[True], np.diff(at) > 1])
         run = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
@@ -130,7 +209,11 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
         last[at] = last[at + 1]
         left = np.ones(len(seq), bool)
         left[at + 1] = False
-        seq, last = seq[left], last[left]
+        seq, last, live = seq[left], last[left], live[left]
+        made = seq >= top
+        live |= made
+        live[:-1] |= made[1:]
+        live &= ~last
         rules = np.concatenate([rules, value.astype(np.uint32)])
     lengths: list[int] = []
     for a, b in rules.tolist():
