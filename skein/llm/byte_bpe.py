@@ -7,7 +7,8 @@ happen in the two tokens alone. So a sequence is the encoding of its bytes if an
 encoding of its own bytes; runs of an encoding are encodings. Hence only the window's two outer seams need a look, and
 what a window has settled need not be encoded again when the next one starts behind it. A window takes as many tokens
 from the right as the last one took from the left, so that a join encodes no more than a few times its tokens: a run of
-one character costs its length times the depth of the tree. Decoding concatenates up the same kind of tree.
+one character costs its length times the depth of the tree. The trees of many short pieces are reduced together in numpy,
+a level of all at a time; there a window takes all tokens of both halves, so it has no outer seams. Decoding concatenates up the same kind of tree.
 """
 
 from __future__ import annotations
@@ -26,17 +27,118 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, distinct
+from .common import blocks, distinct, mix
 from .span_ids import SpanIds, gather
 
 #: Bytes up to which merges are applied to a piece directly, and ids up to which bytes are put together directly.
 LEAF_BYTES, LEAF_IDS = 8, 256
 #: Encoded pieces that a worker keeps, for new units made of known pieces, and the characters that such a piece may have.
 CACHE_PIECES, CACHE_CHARS = 50_000, 64
+#: Bytes up to which pieces are reduced with others, how many at a time, and log2 of the seams that a worker keeps for them.
+BATCH_BYTES, BATCH_PIECES, SEAM_BITS = 32, 1 << 13, 18
 #: Bytes up to which the next merge is looked for in all pairs; longer windows keep their pairs in a heap.
 SHORT_BYTES = 64
 
 
+class Forest:
+    """Trees of many short pieces at a time. A matrix has a column of ids for each piece, -1 behind its end."""
+
+    def __init__(self, ranks: dict[bytes, int], bytes_of: list[bytes]) -> None:
+        self.none = len(bytes_of)
+        pairs = {}
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None:
+                    pairs[a << 32 | b] = rank
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.rank = np.array([pairs[k] for k in self.keys.tolist()] + [self.none], np.int64)
+        self.keys = np.append(self.keys, np.iinfo(np.int64).max)
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        self.byte_pair = self.pair(np.repeat(self.byte, 256), np.tile(self.byte, 256))
+        self.spelt = np.frombuffer(b"".join(bytes_of), np.uint8)
+        self.width = np.array([*map(len, bytes_of)], np.int64)
+        self.at = np.cumsum(self.width) - self.width
+        self.seam, self.stays = np.full(1 << SEAM_BITS, -1, np.int64), np.zeros(1 << SEAM_BITS, bool)
+
+    def pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of what two tokens make, none if that is no token or there is no second one."""
+        key = (left << 32) + right
+        place = np.searchsorted(self.keys, key)
+        return np.where(self.keys[place] == key, self.rank[place], self.none)
+
+    def merged(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The encodings of data[start : start + size], and how many ids each has: in a round the lowest-ranked pair of each
+        column merges, the leftmost of equals. So each column that goes on loses a row in a round."""
+        high = int(size.max()) if len(size) else 0
+        out, left = np.full((high, len(size)), -1, np.int64), size.copy()
+        if not high:
+            return out, left
+        row = np.arange(high)[:, None]
+        raw = data[np.minimum(starts + row, len(data) - 1)].astype(np.int64)
+        ids = np.where(row < size, self.byte[raw], -1)
+        # the rank of each pair, with its row in the lowest bits
+        ranks = np.where(row[1:] < size, self.byte_pair[raw[:-1] << 8 | raw[1:]], self.none) << 6 | row[:-1]
+        mine, none = np.arange(len(size)), self.none << 6
+        while True:
+            best = ranks.min(axis=0) if len(ranks) else np.full(len(mine), none)
+            ends = best >= none
+            out[: len(ids), mine[ends]] = ids[:, ends]
+            if ends.all():
+                return out, left
+            goes = ~ends
+            mine, best, ids, ranks = mine[goes], best[goes], ids[:, goes], ranks[:, goes]
+            left[mine] -= 1
+            i, new, column = best & 63, best >> 6, np.arange(len(mine))
+            ids = np.where(row[: len(ids) - 1] > i, ids[1:], ids[:-1])
+            ids[i, column] = new
+            ranks = np.where(row[: len(ranks) - 1] >= i, ranks[1:] - 1, ranks[:-1])
+            some = np.flatnonzero(i > 0)
+            ranks[i[some] - 1, some] = self.pair(ids[i[some] - 1, some], new[some]) << 6 | i[some] - 1
+            some = np.flatnonzero(i < len(ranks))
+            ranks[i[some], some] = self.pair(new[some], ids[i[some] + 1, some]) << 6 | i[some]
+
+    def stay(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Flags pairs of neighbours that are the encoding of their own bytes. Those met last are kept."""
+        key = (left << 32) + right
+        slot = (mix(key) >> np.uint64(64 - SEAM_BITS)).astype(np.int64)
+        known = self.seam[slot] == key
+        out = self.stays[slot]
+        if len(ask := np.flatnonzero(~known)):
+            keys, first, which = np.unique(key[ask], return_index=True, return_inverse=True)
+            a, b, place = left[ask[first]], right[ask[first]], slot[ask[first]]
+            data, total = gather(self.spelt, np.stack([self.at[a], self.at[b]], 1).ravel(), np.stack([self.width[a], self.width[b]], 1).ravel())
+            size = self.width[a] + self.width[b]
+            ids, n = self.merged(data, total[1::2] - size, size)
+            fine = (n == 2) & (ids[0] == a) & (ids[1] == b)
+            out[ask] = fine[which.ravel()]
+            place, one = np.unique(place, return_index=True)
+            self.seam[place], self.stays[place] = keys[one], fine[one]
+        return out
+
+    def trees(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What merged() gives, by halves: those whose seam does not stay are encoded again."""
+        big = np.flatnonzero(size > LEAF_BYTES)
+        if not len(big):
+            return self.merged(data, starts, size)
+        small, half = np.flatnonzero(size <= LEAF_BYTES), size[big] // 2
+        ids, n = self.trees(data, np.concatenate([starts[small], starts[big], starts[big] + half]), np.concatenate([size[small], half, size[big] - half]))
+        high, s, b, column = len(ids), len(small), len(big), np.arange(len(big))
+        (one, n_one), (two, n_two) = (ids[:, s : s + b], n[s : s + b]), (ids[:, s + b :], n[s + b :])
+        both = np.full((2 * high, b), -1, np.int64)
+        both[:high] = one
+        for j in range(high):
+            some = np.flatnonzero(n_two > j)
+            both[n_one[some] + j, some] = two[j, some]
+        total = n_one + n_two
+        again = np.flatnonzero(~self.stay(one[n_one - 1, column], two[0]))
+        window, total[again] = self.merged(data, starts[big[again]], size[big[again]])
+        both[:, again] = -1
+        both[: len(window), again] = window[: 2 * high]
+        out, left = np.full((2 * high, len(size)), -1, np.int64), np.empty(len(size), np.int64)
+        out[:high, small], left[small], out[:, big], left[big] = ids[:, :s], n[:s], both, total
+        return out, left
+
+
 class TreeBpe:
     """Encoder and decoder for a file of ranks: a base64 token and its rank on each line."""
 
@@ -119,6 +221,30 @@ class TreeBpe:
         half = len(raw) // 2
         return self.join(self.tree(raw[:half]), self.tree(raw[half:]))
 
+    @functools.cached_property
+    def forest(self) -> Forest | None:
+        """None for ranks that lack a byte."""
+        return Forest(self.ranks, self.bytes_of) if all(bytes([i]) in self.ranks for i in range(256)) else None
+
+    def many(self, pieces: list[bytes]) -> list[bytes]:
+        """What piece() gives for each, as bytes of uint32 ids."""
+        out: list[bytes] = [b""] * len(pieces)
+        short = []
+        for i, raw in enumerate(pieces):
+            if 2 < len(raw) <= BATCH_BYTES and raw not in self.ranks and self.forest:
+                short.append(i)
+            else:
+                out[i] = array("I", self.piece(raw)).tobytes()
+        short.sort(key=lambda i: len(pieces[i]))
+        for k in range(0, len(short), BATCH_PIECES):
+            some = [pieces[i] for i in short[k : k + BATCH_PIECES]]
+            size = np.array([*map(len, some)], np.int64)
+            ids, n = self.forest.trees(np.frombuffer(b"".join(some), np.uint8), np.cumsum(size) - size, size)
+            flat, at = ids.T[ids.T >= 0].astype(np.uint32).tobytes(), 0
+            for i, stop in zip(short[k : k + BATCH_PIECES], np.cumsum(4 * n).tolist(), strict=True):
+                out[i], at = flat[at:stop], stop
+        return out
+
     def piece(self, raw: bytes) -> list[int]:
         """A piece that is a token as a whole is that token; any other is merged."""
         return [self.ranks[raw]] if raw in self.ranks else self.tree(raw)
@@ -158,16 +284,15 @@ class TextEncoder:
         self.pieces: dict[str, bytes] = {}
         self.spans = SpanIds(self._new)
 
-    def _piece(self, piece: str) -> bytes:
-        if (out := self.pieces.get(piece)) is None:
-            out = array("I", self.bpe.piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
-            if len(self.pieces) < CACHE_PIECES and len(piece) <= CACHE_CHARS:
-                self.pieces[piece] = out
-        return out
-
     def _new(self, units: list[bytes]) -> list[bytes]:
-        split, piece = self.split, self._piece
-        return [b"".join(map(piece, split(u.decode("utf-8", "replace")))) for u in units]
+        split, known = self.split, self.pieces
+        found = [split(u.decode("utf-8", "replace")) for u in units]
+        new = list({x: None for some in found for x in some if x not in known})
+        ids = dict(zip(new, self.bpe.many([x.encode("utf-8", "surrogatepass") for x in new]), strict=True))
+        room = CACHE_PIECES - len(known)
+        known.update([(x, i) for x, i in ids.items() if len(x) <= CACHE_CHARS][:room] if room > 0 else [])
+        piece = (known | ids).__getitem__
+        return [b"".join(map(piece, some)) for some in found]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, and where each row's begin and the last end."""

@@ -1,0 +1,76 @@
+"""Trees of many short pieces at a time: results of the library, and no piece merged by itself."""
+
+from __future__ import annotations
+
+import base64
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+
+PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def library():
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def words(seed: int, n: int = 4000) -> list[str]:
+    rnd = random.Random(seed)
+    parts = ["the", "ing", "er", "ou", "wh", "ble", "ção", "ö", "é", "x", "中", "9", "!?", "Tion", "ssss"]
+    return ["".join(rnd.choices(parts, k=rnd.randint(1, 11))) for _ in range(n)]
+
+
+def test_new_words_are_reduced_together(library, monkeypatch):
+    from skein.llm import byte_bpe
+
+    own, alone, wide = byte_bpe.TextEncoder(PATH, public_tokenizers.PATTERN), [], []
+    one, many = own.bpe._merged, own.bpe.forest.merged
+    monkeypatch.setattr(own.bpe, "_merged", lambda raw: alone.append(raw) or one(raw))
+    monkeypatch.setattr(own.bpe.forest, "merged", lambda data, starts, size: wide.append((len(size), size.max(initial=0))) or many(data, starts, size))
+    for seed in (1, 1, 2):
+        texts = [" ".join(words(seed)), "", "a", " ".join(words(seed + 10, 20_000))]
+        raw = [t.encode() for t in texts]
+        ids, at = own.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [library.encode_ordinary(t) for t in texts]
+    # longer pieces have trees of their own; a batch has a bound, four leaves a piece included
+    pieces = {p for seed in (1, 2, 11, 12) for t in words(seed, 20_000) for p in own.split(" " + t) if len(p.encode()) > byte_bpe.BATCH_BYTES}
+    assert len(wide) > 2 and max(n for n, _ in wide) <= 4 * byte_bpe.BATCH_PIECES and max(w for _, w in wide) <= byte_bpe.BATCH_BYTES
+    assert len(alone) <= 40 * len(pieces) + 10
+
+
+def test_pieces_of_any_bytes(library):
+    from skein.llm.byte_bpe import TreeBpe
+
+    tree, rnd = TreeBpe(PATH), random.Random(4)
+    tokens = rnd.sample(list(tree.ranks), 3000)
+    pieces = [b"".join(rnd.choices(tokens, k=rnd.randint(1, 5))) for _ in range(6000)] + [rnd.randbytes(rnd.randint(0, 40)) for _ in range(2000)]
+    pieces += [bytes([c]) * n for c in b"x \n\xff" for n in range(1, 41)]
+    for _ in range(2):  # the second time with known seams
+        assert [np.frombuffer(x, np.uint32).tolist() for x in tree.many(pieces)] == [library._core_bpe.encode_single_piece(p) if p else [] for p in pieces]
+
+
+def test_ranks_without_all_bytes(tmp_path):
+    from skein.llm.byte_bpe import TreeBpe
+
+    path = tmp_path / "few"
+    path.write_text("\n".join(f"{base64.b64encode(x).decode()} {i}" for i, x in enumerate((b"a", b"b", b"ab", b"abab"))))
+    tree = TreeBpe(str(path))
+    assert tree.forest is None
+    assert [np.frombuffer(x, np.uint32).tolist() for x in tree.many([b"ab", b"aba", b"ababb"])] == [[2], [2, 0], [3, 1]]
+
+
+def test_no_short_piece_is_merged_by_itself(monkeypatch):
+    from skein.llm.byte_bpe import TextEncoder
+
+    own, alone = TextEncoder(PATH, public_tokenizers.PATTERN), []
+    one = own.bpe._merged
+    monkeypatch.setattr(own.bpe, "_merged", lambda raw: alone.append(raw) or one(raw))
+    raw = " ".join("".join(random.Random(i).choices("abcdefgh", k=12)) for i in range(3000)).encode()
+    ids, _ = own.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert own.bpe.decode(ids.tolist()) == raw
+    assert len(alone) < 30  # one by one they take some 10,000 merges of leaves and windows
